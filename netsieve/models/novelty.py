@@ -7,14 +7,16 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from netsieve.functions.guards import col, ge
+from netsieve.functions.guards import col, ge, nan_to_null
 from netsieve.models.linear import LinearModel, argmax_label, fit_logistic
 from netsieve.models.preprocess import fit_scaler
 from netsieve.operators.mapping import ATTACK, unknown_label
 from netsieve.operators.prototypes import Prototypes, nearest_distance, score_open_set
 from netsieve.operators.ranking import stratified_split
 from netsieve.operators.search import choose_threshold
-from netsieve.operators.triage import NOVEL_LABEL, add_suspected_zero_day, attack_uncertain, fuse_decisions, novelty_labels
+from netsieve.operators.triage import (
+    NOVEL_LABEL, add_suspected_zero_day, attack_uncertain, fuse_decisions, minmax_score, novelty_labels,
+)
 from netsieve.sources.bundles import Bundle
 
 
@@ -59,42 +61,82 @@ class Detector:
             raise ValueError(f"binary model needs a class {ATTACK!r}, has {self.binary.classes}")
 
 
-def detect_novel(df: DataFrame, d: Detector, options: NoveltyOptions = NoveltyOptions()) -> DataFrame:
-    """Family prediction, anomaly score, novelty flag and suspected-zero-day score; input columns are kept."""
+def _with_scores(df: DataFrame, d: Detector, options: NoveltyOptions, binary: bool, open_set: bool) -> DataFrame:
+    """Add what the models say, in one projection over features that are scaled once."""
     names = df.columns
-    probs = [f"_f{i}" for i in range(len(d.families.classes))]
-    out = d.families.add_probabilities(df, "_f")
-    cols = [F.col(p) for p in probs]
-    top = F.greatest(*cols)
-    out = out.withColumns({"supervised_prediction": argmax_label(cols, d.families.classes), "max_class_probability": top, "anomaly_score": d.anomaly_score})
+    out, z = d.families.scaler.add_scaled(df, "_z")
+    out = d.families.add_probabilities(out, "_f", features=z)
+    probs = [F.col(f"_f{i}") for i in range(len(d.families.classes))]
+    added = {"supervised_prediction": argmax_label(probs, d.families.classes), "max_class_probability": F.greatest(*probs), "anomaly_score": d.anomaly_score}
     if options.temperature != 1.0:
-        soft = d.families.add_probabilities(out.drop(*probs), "_f", options.temperature)
-        out = soft.withColumn("max_class_probability", F.greatest(*cols))
+        out = d.families.add_probabilities(out, "_t", options.temperature, z)
+        added["max_class_probability"] = F.greatest(*[F.col(f"_t{i}") for i in range(len(probs))])
+    if binary:
+        same = d.binary.scaler == d.families.scaler
+        out, y = (out, z) if same else d.binary.scaler.add_scaled(out, "_y")
+        out = d.binary.add_probabilities(out, "_b", features=y)
+        pair = [F.col(f"_b{i}") for i in range(len(d.binary.classes))]
+        added["binary_prediction"] = argmax_label(pair, d.binary.classes)
+        added["p_attack"] = pair[d.binary.classes.index(ATTACK)]
+    if open_set and d.prototypes is not None:
+        added["open_set_nearest_distance"] = nearest_distance(z, d.prototypes)
+    return out.withColumns(added).select(*[col(n) for n in names], *added)
+
+
+def _reference(df: DataFrame, d: Detector, options: NoveltyOptions, open_set: bool) -> Column:
+    """Largest anomaly score and distance range, as one struct: stored values where given, otherwise read from the
+    table by a single scalar subquery that needs only the feature columns."""
+    lo, hi = d.open_set_range or (None, None)
+    stored_set = not open_set or d.prototypes is None or lo is not None
+    if options.reference_max is not None and stored_set:
+        return F.struct(F.lit(float(options.reference_max)).alias("top"), F.lit(lo).cast("double").alias("lo"), F.lit(hi).cast("double").alias("hi"))
+    score = nan_to_null(d.anomaly_score)
+    if stored_set:
+        rows = df.select(score.alias("s"))
+        ends = [F.lit(lo).cast("double"), F.lit(hi).cast("double")]
+    else:
+        out, z = d.families.scaler.add_scaled(df, "_z")
+        rows = out.select(score.alias("s"), nan_to_null(nearest_distance(z, d.prototypes)).alias("d"))
+        ends = [F.min("d"), F.max("d")]
+    top = F.max("s") if options.reference_max is None else F.lit(float(options.reference_max))
+    return rows.agg(F.struct(top.alias("top"), ends[0].alias("lo"), ends[1].alias("hi"))).scalar()
+
+
+def _detect(df: DataFrame, d: Detector, options: NoveltyOptions, binary: bool, open_set: bool) -> DataFrame:
+    names = df.columns
+    with_set = open_set and d.prototypes is not None
+    out = _with_scores(df, d, options, binary, with_set).withColumn("_ref", _reference(df, d, options, with_set))
     out = novelty_labels(
-        out.drop(*probs), d.threshold, options.confidence_threshold, options.require_low_confidence, options.novel_label,
+        out, d.threshold, options.confidence_threshold, options.require_low_confidence, options.novel_label,
         options.tier_strong_label, options.tier_percentile, tier_cut=options.tier_cut,
     )
-    out = add_suspected_zero_day(out, d.threshold, options.reference_max, options.weight_anomaly, options.weight_uncertainty)
-    return out.select(
-        *[col(n) for n in names], "prediction", "supervised_prediction", "max_class_probability", "anomaly_score",
-        "anomaly_threshold", "suspected_zero_day_pct", "is_novel_flagged",
-        F.lit(d.families.version).alias("supervised_model_version"), F.lit(d.anomaly_type).alias("anomaly_model_type"),
-        F.lit(d.anomaly_version).alias("anomaly_bundle_version"),
-    )
+    out = add_suspected_zero_day(out, d.threshold, F.col("_ref.top"), options.weight_anomaly, options.weight_uncertainty)
+    if with_set:
+        out = minmax_score(out, "open_set_nearest_distance", "open_set_ood_score", F.col("_ref.lo"), F.col("_ref.hi"))
+    if binary:
+        out = attack_uncertain(out, options.min_szd_pct)
+    # Output columns, in order.
+    cols = ["binary_prediction", "p_attack"] if binary else []
+    cols += [
+        "prediction", "supervised_prediction", "max_class_probability", "anomaly_score", "anomaly_threshold",
+        "suspected_zero_day_pct", "is_novel_flagged",
+    ]
+    versions = {"supervised_model_version": d.families.version, "anomaly_model_type": d.anomaly_type, "anomaly_bundle_version": d.anomaly_version}
+    if binary:
+        versions["binary_bundle_version"] = d.binary.version
+    tail = (["is_attack_uncertain"] if binary else []) + (["open_set_nearest_distance", "open_set_ood_score"] if with_set else [])
+    return out.select(*[col(n) for n in names], *cols, *[F.lit(v).alias(k) for k, v in versions.items()], *tail)
+
+
+def detect_novel(df: DataFrame, d: Detector, options: NoveltyOptions = NoveltyOptions()) -> DataFrame:
+    """Family prediction, anomaly score, novelty flag and suspected-zero-day score; input columns are kept."""
+    return _detect(df, d, options, binary=False, open_set=False)
 
 
-def detect_attack_uncertain(df: DataFrame, d: Detector, options: NoveltyOptions = NoveltyOptions()) -> DataFrame:
-    """:func:`detect_novel` plus the binary prediction, the attack probability and ``is_attack_uncertain``."""
-    out = d.binary.add_probabilities(detect_novel(df, d, options), "_b")
-    probs = [F.col(f"_b{i}") for i in range(len(d.binary.classes))]
-    out = out.withColumns(
-        {
-            "binary_prediction": argmax_label(probs, d.binary.classes),
-            "p_attack": probs[d.binary.classes.index(ATTACK)],
-            "binary_bundle_version": F.lit(d.binary.version),
-        }
-    ).drop(*[f"_b{i}" for i in range(len(d.binary.classes))])
-    return attack_uncertain(out, options.min_szd_pct)
+def detect_attack_uncertain(df: DataFrame, d: Detector, options: NoveltyOptions = NoveltyOptions(), open_set: bool = False) -> DataFrame:
+    """:func:`detect_novel` plus the binary prediction, the attack probability and ``is_attack_uncertain``; with
+    ``open_set`` also the distance to the nearest prototype and its score."""
+    return _detect(df, d, options, binary=True, open_set=open_set)
 
 
 def add_open_set(df: DataFrame, d: Detector) -> DataFrame:
@@ -110,10 +152,7 @@ def score_and_fuse(
     open_set: bool = True,
 ) -> DataFrame:
     """From contract rows to decisions in one lazy plan; the same function serves batch and stream."""
-    scored = detect_attack_uncertain(df, d, options)
-    if open_set:
-        scored = add_open_set(scored, d)
-    return fuse_decisions(scored, **dict(thresholds or {}))
+    return fuse_decisions(detect_attack_uncertain(df, d, options, open_set), **dict(thresholds or {}))
 
 
 # ---- novelty calibrator --------------------------------------------------------------------------------------

@@ -28,6 +28,11 @@ class Scaler:
             out.append((x - F.lit(float(mean))) / F.lit(float(std)))
         return out
 
+    def add_scaled(self, df: DataFrame, prefix: str) -> tuple[DataFrame, list[Column]]:
+        """Scaled features as columns, so that several models read them without computing them again."""
+        names = [f"{prefix}{i}" for i in range(len(self.columns))]
+        return df.withColumns(dict(zip(names, self.expressions()))), [F.col(n) for n in names]
+
     def array(self) -> Column:
         return F.array(*self.expressions())
 

@@ -88,7 +88,7 @@ def suspected_zero_day_pct(
 def add_suspected_zero_day(
     df: DataFrame,
     threshold: float,
-    reference_max: float | None = None,
+    reference_max: float | Column | None = None,
     weight_anomaly: float = 0.5,
     weight_uncertainty: float = 0.5,
     score_col: str = "anomaly_score",
@@ -97,25 +97,28 @@ def add_suspected_zero_day(
     """Add ``suspected_zero_day_pct``. Without a reference the table's own maximum is used, as a scalar subquery;
     a stream must pass the reference, or its scores would depend on where micro-batches end."""
     if reference_max is None:
-        top = df.agg(F.max(nan_to_null(col(score_col)))).scalar()
+        df = df.withColumn("_top", df.agg(F.max(nan_to_null(col(score_col)))).scalar())
     else:
-        top = F.lit(float(reference_max))
+        df = df.withColumn("_top", reference_max if isinstance(reference_max, Column) else F.lit(float(reference_max)))
     pct = suspected_zero_day_pct(
-        col(score_col), F.lit(float(threshold)), col(proba_col), top, weight_anomaly, weight_uncertainty
+        col(score_col), F.lit(float(threshold)), col(proba_col), F.col("_top"), weight_anomaly, weight_uncertainty
     )
-    return df.withColumn("suspected_zero_day_pct", pct)
+    return df.withColumn("suspected_zero_day_pct", pct).drop("_top")
 
 
-def minmax_score(df: DataFrame, distance_col: str, out: str, lo: float | None = None, hi: float | None = None) -> DataFrame:
+def minmax_score(df: DataFrame, distance_col: str, out: str, lo: float | Column | None = None, hi: float | Column | None = None) -> DataFrame:
     """Scale a distance to [0, 1] by the table's range (or a given one); 0 when the range is empty."""
     d = col(distance_col)
     if lo is None or hi is None:
-        ends = df.agg(F.struct(F.min(nan_to_null(d)).alias("lo"), F.max(nan_to_null(d)).alias("hi"))).scalar()
-        low, high = ends.getField("lo"), ends.getField("hi")
+        # One scalar subquery, held in a column so that the plan contains it once.
+        df = df.withColumn("_span", df.agg(F.struct(F.min(nan_to_null(d)).alias("lo"), F.max(nan_to_null(d)).alias("hi"))).scalar())
     else:
-        low, high = F.lit(float(lo)), F.lit(float(hi))
-    wide = (high - low) >= 1e-12
-    return df.withColumn(out, F.when(wide, (d - low) / F.when(wide, high - low).otherwise(1.0)).otherwise(0.0))
+        ends = [v if isinstance(v, Column) else F.lit(float(v)) for v in (lo, hi)]
+        df = df.withColumn("_span", F.struct(ends[0].alias("lo"), ends[1].alias("hi")))
+    low, width = F.col("_span.lo"), F.col("_span.hi") - F.col("_span.lo")
+    # The guard keeps the divisor positive on rows whose result is 0 anyway.
+    score = F.when(width >= 1e-12, (d - low) / F.greatest(width, F.lit(1e-12))).otherwise(0.0)
+    return df.withColumn(out, score).drop("_span")
 
 
 def attack_uncertain(
