@@ -62,7 +62,12 @@ class Detector:
 
 
 def _with_scores(df: DataFrame, d: Detector, options: NoveltyOptions, binary: bool, open_set: bool) -> DataFrame:
-    """Add what the models say, in one projection over features that are scaled once."""
+    """Add what the models say, over features that are scaled once.
+
+    The scores leave through ``inline``, a generator over one struct. Spark pushes a filter on a decision through plain
+    projections by copying their arithmetic into the condition, once per use and level, which for three models makes
+    an expression too large to plan; a generator's output columns stop that.
+    """
     names = df.columns
     out, z = d.families.scaler.add_scaled(df, "_z")
     out = d.families.add_probabilities(out, "_f", features=z)
@@ -80,7 +85,8 @@ def _with_scores(df: DataFrame, d: Detector, options: NoveltyOptions, binary: bo
         added["p_attack"] = pair[d.binary.classes.index(ATTACK)]
     if open_set and d.prototypes is not None:
         added["open_set_nearest_distance"] = nearest_distance(z, d.prototypes)
-    return out.withColumns(added).select(*[col(n) for n in names], *added)
+    scores = F.struct(*[c.alias(name) for name, c in added.items()])
+    return out.select(*[col(n) for n in names], F.inline(F.array(scores)))
 
 
 def _reference(df: DataFrame, d: Detector, options: NoveltyOptions, open_set: bool) -> Column:
