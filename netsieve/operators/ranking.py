@@ -15,6 +15,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from netsieve.functions.guards import col, nan_to_null
+from netsieve.session import materialize
 
 SMALL = 1_000_000
 ACCURACY = 10_000
@@ -152,20 +153,21 @@ def running_totals(df: DataFrame, order: str, sums: Sequence[str], descending: b
     """Per distinct value of ``order``: the sums, their running totals, and the next value's sums (``next_<c>``).
 
     Rows are combined per distinct value before any shuffle, so a value held by a third of the table costs one row
-    per task. Distinct values are cut into ranges; windows run inside a range, and range totals (one row per range)
-    supply each range's starting point and its successor.
+    per task. The combined table is written once, because several passes need it and the input may be expensive.
+    Distinct values are cut into ranges; windows run inside a range, and range totals (one row per range) supply each
+    range's starting point and its successor.
     """
     spark = df.sparkSession
     buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     name = "_x"
     base = df.select(nan_to_null(col(order)).alias(name), *[col(s).alias(s) for s in sums]).where(F.col(name).isNotNull())
-    cuts = sorted(set(base.approxQuantile(name, [i / buckets for i in range(1, buckets)], 0.25 / buckets))) if buckets > 1 else []
+    per = materialize(base.groupBy(name).agg(*[F.sum(s).alias(s) for s in sums]), "totals")
+    cuts = sorted(set(per.approxQuantile(name, [i / buckets for i in range(1, buckets)], 0.25 / buckets))) if buckets > 1 else []
     splits = [float("-inf"), *[c for c in cuts if abs(c) != float("inf")], float("inf")]
     if len(splits) > 2:
-        base = Bucketizer(splits=splits, inputCol=name, outputCol="_b").transform(base)
+        per = Bucketizer(splits=splits, inputCol=name, outputCol="_b").transform(per)
     else:
-        base = base.withColumn("_b", F.lit(0.0))
-    per = base.groupBy("_b", name).agg(*[F.sum(s).alias(s) for s in sums])
+        per = per.withColumn("_b", F.lit(0.0))
 
     def sort(c: str) -> Column:
         return F.col(c).desc() if descending else F.col(c).asc()

@@ -395,13 +395,13 @@ def _plain(name: str) -> str:
     "p14_conn_to_contract",
     with_(
         FLOWS, "f AS (SELECT *, CASE WHEN duration > 0 THEN duration ELSE 1.0 END AS sd FROM flows)",
-        select="SELECT uid, " + ", ".join(f"round(CAST({e} AS DOUBLE) * {SCALE}::DOUBLE, 6) AS {_plain(n)}" for n, e in P14_SQL.items()) + " FROM f",
+        select="SELECT uid, " + ", ".join(f"round(CAST({e} AS DOUBLE) * {SCALE}::DOUBLE, 3) AS {_plain(n)}" for n, e in P14_SQL.items()) + " FROM f",
     ),
 )
 def p14(spark: SparkSession, sf: str) -> DataFrame:
     names = list(P14_SQL)
     out = mp.conn_to_contract(flows(spark, sf), names, ["uid"])
-    return out.select("uid", *[F.round(col(n) * SCALE, 6).alias(_plain(n)) for n in names])
+    return out.select("uid", *[F.round(col(n) * SCALE, 3).alias(_plain(n)) for n in names])
 
 
 @query("p15_prepare_input", with_(FLOWS, CONTRACT, select=f"SELECT uid, {CONTRACT_ROUNDED} FROM contract"))
