@@ -82,10 +82,10 @@ def s6(spark: SparkSession, sf: str) -> DataFrame:
 LOG_FIELDS = ["uid", "ts", "proto", "duration", "orig_bytes", "resp_bytes", "orig_pkts", "resp_pkts", "id.orig_p", "id.resp_p"]
 
 
-def _write_log(spark: SparkSession, sf: str, path: str) -> None:
-    """The flows as a tab-separated log with its header lines, written as text parts."""
-    lines = to_log_lines(flows(spark, sf), LOG_FIELDS)
-    header = spark.range(1).select(F.explode(F.array(F.lit("#separator \\x09"), F.lit("\t".join(["#fields", *LOG_FIELDS])), F.lit(""))).alias("value"))
+def write_log(rows: DataFrame, fields: list[str], path: str) -> None:
+    """Flows as a tab-separated log with its header lines, written as text parts."""
+    lines = to_log_lines(rows, fields)
+    header = rows.sparkSession.range(1).select(F.explode(F.array(F.lit("#separator \\x09"), F.lit("\t".join(["#fields", *fields])), F.lit(""))).alias("value"))
     header.write.mode("append").text(path)
     lines.write.mode("append").text(path)
 
@@ -97,7 +97,7 @@ LOG_SQL = with_(
 )
 
 
-def _log_view(df: DataFrame) -> DataFrame:
+def log_view(df: DataFrame) -> DataFrame:
     n = lambda c: to_number(col(c))
     return df.select(
         "uid", col("ts").try_cast("bigint").alias("ts"), F.trim("proto").alias("proto"), F.round(n("duration"), 6).alias("duration"),
@@ -109,15 +109,15 @@ def _log_view(df: DataFrame) -> DataFrame:
 @query("s7_read_conn_log", LOG_SQL)
 def s7(spark: SparkSession, sf: str) -> DataFrame:
     path = run_dir(spark, "s7")
-    _write_log(spark, sf, path)
-    return _log_view(read_conn_log(spark, path))
+    write_log(flows(spark, sf), LOG_FIELDS, path)
+    return log_view(read_conn_log(spark, path))
 
 
 @query("s8_read_plain_log", LOG_SQL)
 def s8(spark: SparkSession, sf: str) -> DataFrame:
     path = run_dir(spark, "s8")
     flows(spark, sf).select(*[col(c) for c in LOG_FIELDS]).write.csv(path, sep="\t", header=True)
-    return _log_view(read_plain_log(spark, path))
+    return log_view(read_plain_log(spark, path))
 
 
 CORPUS_SQL = "SELECT source || '-' || doc_id AS title, lang AS family, source, md5(text) AS digest, CAST(length(text) AS BIGINT) AS n FROM documents WHERE doc_id % 5 <> 0"

@@ -32,8 +32,12 @@ KEEP = ["uid", "label", "tenant_id"]
 
 
 def flows(spark: SparkSession, sf: str) -> DataFrame:
+    return as_flows(table(spark, sf, "lineitem"))
+
+
+def as_flows(lineitem: DataFrame) -> DataFrame:
     c = F.col
-    return table(spark, sf, "lineitem").select(
+    return lineitem.select(
         F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("uid"),
         F.when(c("l_suppkey") % 5 != 0, c("l_suppkey") % 5).alias("tenant_id"),
         epoch(c("l_shipdate")).alias("ts"),
@@ -291,9 +295,13 @@ JOBS = """jobs AS (
 
 
 def event_decisions(spark: SparkSession, sf: str) -> DataFrame:
+    return as_decisions(table(spark, sf, "events"))
+
+
+def as_decisions(events: DataFrame) -> DataFrame:
     """Events as scored decisions of tenants."""
     c = F.col
-    return table(spark, sf, "events").select(
+    return events.select(
         "event_id", "ts", (c("user_id") % 4).alias("tenant_id"), c("value").alias("p_attack"),
         F.when(c("event_type") == "error", F.lit("KnownAttack")).when(c("event_type") == "signup", F.lit("AttackUncertain"))
         .otherwise(F.lit("BenignOrLowRisk")).alias("decision_label"),

@@ -9,11 +9,12 @@ from dataclasses import replace
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
-from netsieve.functions.guards import col
+from netsieve.functions.guards import col, nan_to_null
 from netsieve.models.novelty import Detector, NoveltyOptions, score_and_fuse
 from netsieve.operators.mapping import prepare_input
 from netsieve.operators.policy import enrich
-from netsieve.operators.triage import add_risk, decision_counts, fuse_decisions, summarize_risk
+from netsieve.operators.prototypes import nearest_distance
+from netsieve.operators.triage import FUSION_DEFAULTS, add_risk, decision_counts, fuse_decisions, summarize_risk
 from netsieve.session import run_dir
 from netsieve.sources.sinks import emit_alerts
 
@@ -23,11 +24,6 @@ def table_stream(spark: SparkSession, folder: str, file_glob: str, schema) -> Da
     return spark.readStream.schema(schema).option("pathGlobFilter", file_glob).parquet(folder)
 
 
-def stream_options(options: NoveltyOptions, reference_max: float) -> NoveltyOptions:
-    """Options for a stream: the zero-day scale comes from a stored reference, not from the micro-batch."""
-    return replace(options, reference_max=reference_max)
-
-
 def triage(df: DataFrame, d: Detector, keep: Sequence[str], thresholds: Mapping[str, float] | None = None, options: NoveltyOptions = NoveltyOptions()) -> DataFrame:
     """Raw rows (contract or connection log) to decisions; works on batch and streaming tables."""
     return score_and_fuse(prepare_input(df, d.binary.feature_columns, keep), d, thresholds, options)
@@ -70,7 +66,7 @@ def start_scoring(
     return writer.foreachBatch(write).start()
 
 
-def run_once(spark: SparkSession, query: StreamingQuery) -> int:
+def run_once(query: StreamingQuery) -> int:
     """Wait for a one-shot pass; returns the rows it read."""
     query.awaitTermination()
     return sum(p["numInputRows"] for p in query.recentProgress)
@@ -84,6 +80,34 @@ def run_for(query: StreamingQuery, seconds: float) -> int:
     return rows
 
 
+def progress_rows(query: StreamingQuery) -> DataFrame:
+    """The query's recent batches as a table: batch id, rows so far, end offset of its source."""
+    spark, total, rows = SparkSession.active(), 0, []
+    for p in query.recentProgress:
+        total += p["numInputRows"]
+        rows.append((p["batchId"], total, str(p["sources"][0]["endOffset"])))
+    return spark.createDataFrame(rows, "batch_id bigint, rows_scored bigint, end_offset string")
+
+
+def stored_reference(df: DataFrame, d: Detector) -> tuple[NoveltyOptions, Detector]:
+    """Options and detector for a stream, with the anomaly maximum and the distance range of a reference table, so
+    that a row's scores do not depend on where micro-batches end."""
+    aggs = [F.max(nan_to_null(d.anomaly_score)).alias("top")]
+    if d.prototypes is not None:
+        distance = nan_to_null(nearest_distance(d.families.scaler.expressions(), d.prototypes))
+        aggs += [F.min(distance).alias("lo"), F.max(distance).alias("hi")]
+    row = df.agg(*aggs).first()
+    fixed = replace(d, open_set_range=(row["lo"], row["hi"])) if d.prototypes is not None else d
+    return NoveltyOptions(reference_max=row["top"]), fixed
+
+
+def load_thresholds(spark: SparkSession, path: str) -> dict[str, float]:
+    """Fusion thresholds from a JSON object; fields it lacks keep their defaults."""
+    schema = ", ".join(f"{k} double" for k in FUSION_DEFAULTS)
+    row = spark.read.schema(schema).option("multiLine", "true").json(path).first()
+    return {k: v if row is None or row[k] is None else row[k] for k, v in FUSION_DEFAULTS.items()}
+
+
 def read_output(spark: SparkSession, output: str, schema=None) -> DataFrame:
     reader = spark.read.schema(schema) if schema is not None else spark.read
     return reader.parquet(output)
@@ -98,7 +122,8 @@ def windowed_counts(events: DataFrame, ts: str, duration: str, watermark: str |
     """Decision counts per event-time window (and group), with risk columns. On a stream the watermark bounds the
     state: a window is final, and its state dropped, once the watermark has passed it."""
     if watermark:
-        events = events.withWatermark(ts, watermark)
+        # Watermarks are defined on instants, so zone-less times are read in the session time zone.
+        events = events.withColumn(ts, col(ts).cast("timestamp")).withWatermark(ts, watermark)
     keyed = events.withColumn("_win", F.window(col(ts), duration))
     counts = decision_counts(keyed, ["_win", *by])
     return add_risk(counts).select(F.col("_win.start").alias("window_start"), F.col("_win.end").alias("window_end"), *[c for c in counts.columns if c != "_win"], "risk_level", "attack_indicators", "danger_verdict")
