@@ -117,27 +117,24 @@ def fit_isolation_forest(
     """Trees on hash-chosen rows, grown in parallel, one group per tree.
 
     Sub-sampling is what an isolation forest is; every draw is a hash of the row's key, so the forest does not depend
-    on partitioning. A first hash filter leaves a few times as many rows as all trees need, a second draws each
-    tree's rows, and a tree's group holds a bounded number of rows.
+    on partitioning. About twice the rows a tree needs are sent to it: from a large table a hash filter keeps that
+    many rows and gives each to one tree; the rows of a small table go to several trees each. The tree then takes the
+    rows with the smallest hashes.
     """
     scaler = fit_scaler(df, features)
     n = df.count()
     psi = min(rows_per_tree, n)
-    pool = 4 * trees * rows_per_tree
-    span = float(2**62)
-
-    def below(h: Column, share: float) -> Column:
-        """True for that share of hash values."""
-        return F.pmod(h, F.lit(2**62)) < F.lit(int(min(1.0, share) * span))
-
+    sent = 2 * trees * rows_per_tree
     keys = [col(k) for k in key]
     rows = df.select(F.xxhash64(F.lit(seed), *keys).alias("_h"), *[x.alias(f"x{i}") for i, x in enumerate(scaler.expressions())])
-    picked = rows.where(below(F.col("_h"), pool / n)) if n > pool else rows
-    m = min(n, pool)
-    draws = picked.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))).withColumn(
-        "_r", F.xxhash64(F.col("_h"), F.col("tree"))
-    )
-    draws = draws.where(below(F.col("_r"), 2.0 * rows_per_tree / m)) if m > 2 * rows_per_tree else draws
+    if n > sent:
+        rows = rows.where(F.pmod(F.xxhash64("_h"), F.lit(2**62)) < F.lit(int(sent / n * 2**62)))
+    copies = min(trees, max(1, math.ceil(sent / max(n, 1))))
+    # A stride without common factor with the number of trees gives a row's copies to different trees.
+    stride = next(k for k in range(trees // 2 + 1, 2 * trees + 2) if math.gcd(k, trees) == 1)
+    tree = F.pmod(F.col("_h") + F.explode(F.sequence(F.lit(0), F.lit(copies - 1))) * stride, F.lit(trees))
+    draws = rows.select("_h", *[f"x{i}" for i in range(len(scaler.columns))], tree.cast("int").alias("tree"))
+    draws = draws.withColumn("_r", F.xxhash64("_h", "tree"))
     xs = [f"x{i}" for i in range(len(scaler.columns))]
     limit = max(1, math.ceil(math.log2(max(psi, 2))))
 

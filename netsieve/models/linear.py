@@ -15,6 +15,7 @@ from netsieve.models.preprocess import Scaler, fit_scaler
 from netsieve.operators.mapping import ATTACK
 from netsieve.operators.metrics import class_weights
 from netsieve.operators.schema import probability_columns
+from netsieve.session import spread
 from netsieve.sources.bundles import Bundle
 
 
@@ -135,9 +136,10 @@ def fit_logistic(
             for name, value in table.items():
                 w = w.when(F.col("_label") == name, F.lit(float(value)))
             weight = weight * w.otherwise(1.0)
-    train = train.select("_y", "_x", weight.alias("_w")).persist()
+    cached = train = train.select("_y", "_x", weight.alias("_w")).persist()
     try:
-        total = train.agg(F.sum("_w")).first()[0]
+        total, rows = train.agg(F.sum("_w"), F.count(F.lit(1))).first()
+        train = spread(train, rows).persist()
         lr = LogisticRegression(
             featuresCol="_x", labelCol="_y", weightCol="_w", regParam=1.0 / (c * total), elasticNetParam=0.0,
             standardization=False, maxIter=max_iter, tol=1e-6, family="binomial" if len(classes) == 2 else "multinomial",
@@ -145,6 +147,7 @@ def fit_logistic(
         m = lr.fit(train)
     finally:
         train.unpersist()
+        cached.unpersist()
     if len(classes) == 2:
         return LinearModel(classes, scaler, [m.coefficients.toArray().tolist()], [float(m.intercept)])
     return LinearModel(classes, scaler, m.coefficientMatrix.toArray().tolist(), m.interceptVector.toArray().tolist())

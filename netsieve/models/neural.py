@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, functions as F
 from netsieve.functions.guards import col
 from netsieve.models.linear import class_index, distinct_labels
 from netsieve.models.preprocess import Scaler, fit_scaler
+from netsieve.session import spread
 
 
 @dataclass
@@ -55,7 +56,8 @@ def fit_neural(
         for y, n in counts.items():
             times = times.when(F.col("_y") == y, F.lit(int(round(max(counts.values()) / n))))
         train = train.withColumn("_r", F.explode(F.sequence(F.lit(1), times.otherwise(1)))).drop("_r")
-    train = train.persist()
+    cached = train = train.persist()
+    train = spread(train, train.count()).persist()
     try:
         net = MultilayerPerceptronClassifier(
             featuresCol="_x", labelCol="_y", layers=[len(scaler.columns), *hidden, len(classes)], seed=seed, blockSize=128,
@@ -81,3 +83,4 @@ def fit_neural(
         return NeuralModel(classes, scaler, best)
     finally:
         train.unpersist()
+        cached.unpersist()

@@ -85,7 +85,8 @@ def _with_scores(df: DataFrame, d: Detector, options: NoveltyOptions, binary: bo
         added["p_attack"] = pair[d.binary.classes.index(ATTACK)]
     if open_set and d.prototypes is not None:
         added["open_set_nearest_distance"] = nearest_distance(z, d.prototypes)
-    scores = F.struct(*[c.alias(name) for name, c in added.items()])
+    out = out.withColumns({f"_s_{name}": c for name, c in added.items()})
+    scores = F.struct(*[F.col(f"_s_{name}").alias(name) for name in added])
     return out.select(*[col(n) for n in names], F.inline(F.array(scores)))
 
 

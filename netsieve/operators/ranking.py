@@ -8,7 +8,7 @@ aggregates, so only counts and a bounded number of values ever meet in one place
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.ml.feature import Bucketizer
@@ -17,136 +17,168 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from netsieve.functions.guards import col, nan_to_null
 from netsieve.session import materialize
 
-SMALL = 1_000_000
+# Sketch accuracy, and how many distinct values of one column may be collected to read a rank off.
 ACCURACY = 10_000
-
-
-def _wants(probs: Sequence[float], n: int) -> list[tuple[int, int, float]]:
-    """(lower rank, upper rank, weight of the upper) of each probability under linear interpolation."""
-    out = []
-    for p in probs:
-        pos = p * (n - 1)
-        lo = math.floor(pos)
-        out.append((lo, min(lo + 1, n - 1), pos - lo))
-    return out
+SMALL = 100_000
+GRID = [i / 500 for i in range(501)]
 
 
 @dataclass
 class _Range:
-    """Search range of one rank of one column; both ends are values of the column."""
+    """Values of one column among which one wanted rank lies, and about how many rows they are."""
 
-    name: str
+    column: str
     rank: int
     lo: float
     hi: float
-    answer: float | None = None
+    rows: float
+
+
+def _locate(base: DataFrame, todo: list[_Range]) -> list[tuple[_Range, int, list[tuple[float, int]]]]:
+    """Per range the rows below it and its (value, count) pairs, for all ranges in one aggregate.
+
+    Each row becomes one key per column: the value where it lies in a range, else only the gap it falls into. Gaps
+    collapse map-side, so what is shuffled and collected is the distinct values inside the ranges.
+    """
+    keys = []
+    spans: dict[str, list[tuple[float, float]]] = {}
+    for t in todo:
+        spans.setdefault(t.column, [])
+    for c in spans:
+        merged: list[list[float]] = []
+        for lo, hi in sorted((t.lo, t.hi) for t in todo if t.column == c):
+            if merged and lo <= merged[-1][1]:
+                merged[-1][1] = max(merged[-1][1], hi)
+            else:
+                merged.append([lo, hi])
+        spans[c] = [(lo, hi) for lo, hi in merged]
+        x = F.col(c)
+        gap, value = F.when(F.lit(False), F.lit(0)), F.when(F.lit(False), x)
+        for i, (lo, hi) in enumerate(spans[c]):
+            gap = gap.when(x < lo, F.lit(2 * i)).when(x <= hi, F.lit(2 * i + 1))
+            value = value.when((x >= lo) & (x <= hi), x)
+        # A segment is 2i below the i-th span (and above the one before), 2i+1 inside it.
+        segment = F.when(x.isNotNull(), gap.otherwise(F.lit(2 * len(spans[c]))))
+        keys.append(F.struct(F.lit(c).alias("c"), segment.alias("s"), value.alias("v")))
+    rows = base.select(F.explode(F.array(*keys)).alias("k")).where("k.s IS NOT NULL").groupBy("k").count().select("k.*", "count").collect()
+    by_column: dict[str, list[tuple[int, float | None, int]]] = {c: [] for c in spans}
+    for r in rows:
+        by_column[r["c"]].append((r["s"], r["v"], r["count"]))
+    out = []
+    for t in todo:
+        below, inside = 0, []
+        i = next(i for i, (lo, hi) in enumerate(spans[t.column]) if lo <= t.lo and t.hi <= hi)
+        for s, v, n in by_column[t.column]:
+            if s < 2 * i + 1:
+                below += n
+            elif s == 2 * i + 1:
+                inside.append((v, n))
+        out.append((t, below, sorted(inside)))
+    return out
+
+
+def _narrow(base: DataFrame, todo: list[_Range]) -> list[_Range]:
+    """Ranges cut to about 1/250 of their rows: one pass counts what lies below and sketches what lies inside."""
+    aggs = []
+    for i, t in enumerate(todo):
+        x = F.col(t.column)
+        inside = F.when((x >= t.lo) & (x <= t.hi), x)
+        aggs += [
+            F.count_if(x < t.lo).alias(f"b{i}"), F.count(inside).alias(f"n{i}"),
+            F.percentile_approx(inside, F.array(*[F.lit(g) for g in GRID]), ACCURACY).alias(f"q{i}"),
+        ]
+    got = base.agg(*aggs).first()
+    out = []
+    for i, t in enumerate(todo):
+        below, n, q = got[f"b{i}"], got[f"n{i}"], got[f"q{i}"]
+        if not below <= t.rank < below + n:
+            out.append(t)  # outside: _locate reports it and the range is reopened
+            continue
+        at = int((t.rank - below) / n * (len(GRID) - 1))
+        lo, hi = q[max(0, at - 1)], q[min(len(GRID) - 1, at + 2)]
+        # A value that fills the range cannot be cut further, nor need it be: it is one distinct value.
+        rows = 1.0 if lo == hi else n * 4.0 / (len(GRID) - 1)
+        out.append(_Range(t.column, t.rank, lo, hi, min(rows, t.rows / 2)))
+    return out
+
+
+def _select(base: DataFrame, probs: dict[str, Sequence[float]], ranks_of: Callable[[str, int], list[list[int]]], small: int) -> tuple[dict[str, int], dict[str, dict[int, float]]]:
+    """Row counts, and the values at the ranks that ``ranks_of(column, rows)`` lists for each probability."""
+    slack = 2.0 / ACCURACY
+    grid = {c: [min(1.0, max(0.0, p + d)) for p in ps for d in (-slack, slack)] for c, ps in probs.items()}
+    first = base.agg(
+        *[F.count(c).alias(f"n_{c}") for c in probs],
+        *[F.min(c).alias(f"lo_{c}") for c in probs],
+        *[F.max(c).alias(f"hi_{c}") for c in probs],
+        *[F.percentile_approx(F.col(c), F.array(*[F.lit(g) for g in grid[c]]), ACCURACY).alias(f"q_{c}") for c in probs],
+    ).first()
+    counts = {c: first[f"n_{c}"] for c in probs}
+    todo: list[_Range] = []
+    for c in probs:
+        n = counts[c]
+        for i, ranks in enumerate(ranks_of(c, n) if n else []):
+            whole = n * len(probs) <= small
+            lo, hi = (first[f"lo_{c}"], first[f"hi_{c}"]) if whole else first[f"q_{c}"][2 * i:2 * i + 2]
+            todo += [_Range(c, r, lo, hi, n if whole else n * 3 * slack) for r in sorted(set(ranks))]
+    found: dict[str, dict[int, float]] = {c: {} for c in probs}
+    while todo:
+        while any(t.rows > small for t in todo):
+            wide = [t for t in todo if t.rows > small]
+            todo = [t for t in todo if t.rows <= small] + _narrow(base, wide)
+        again = []
+        for t, below, inside in _locate(base, todo):
+            total = below
+            for value, n in inside:
+                total += n
+                if below <= t.rank < total:
+                    found[t.column][t.rank] = value
+                    break
+            else:
+                # The sketch's range missed the rank: continue on the side where it lies.
+                n = counts[t.column]
+                if t.rank < below:
+                    again.append(_Range(t.column, t.rank, first[f"lo_{t.column}"], t.lo, n))
+                else:
+                    again.append(_Range(t.column, t.rank, t.hi, first[f"hi_{t.column}"], n))
+        todo = again
+    return counts, found
 
 
 def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float], small: int = SMALL) -> dict[str, list[float | None]]:
     """Exact linearly interpolated quantiles of several columns; NULL and NaN are left out.
 
-    One sketch pass brackets every wanted rank. Up to ``small`` rows a second pass with the built-in exact aggregate
-    finishes; beyond that each bracket is narrowed, a constant factor per pass, until the values strictly inside it
-    fit in ``small``. Returns None for a column without values.
+    A sketch pass brackets every wanted rank; brackets with more than ``small`` rows are narrowed 250-fold per pass;
+    a last pass collects the few distinct values left and counts what lies below them. No pass holds more than
+    sketches, counts, or ``small`` values per rank. Returns None for a column without values.
     """
     probs = [float(p) for p in probs]
     alias = {c: f"c{i}" for i, c in enumerate(columns)}
     base = df.select(*[nan_to_null(col(c)).alias(a) for c, a in alias.items()])
-    counts = base.agg(*[F.count(a).alias(a) for a in alias.values()]).first()
-    if max([counts[a] for a in alias.values()], default=0) <= small:
-        arr = F.array(*[F.lit(p) for p in probs])
-        row = base.agg(*[F.percentile(F.col(a), arr).alias(a) for a in alias.values()]).first()
-        return {c: (list(row[a]) if row[a] is not None else [None] * len(probs)) for c, a in alias.items()}
-    ranks = {a: sorted({r for w in _wants(probs, counts[a]) for r in w[:2]}) for a in alias.values() if counts[a]}
-    found = select_ranks(base, ranks, {a: counts[a] for a in ranks}, small)
+
+    def around(p: float, n: int) -> tuple[int, int, float]:
+        pos = p * (n - 1)
+        lo = math.floor(pos)
+        return lo, min(lo + 1, n - 1), pos - lo
+
+    counts, found = _select(base, {a: probs for a in alias.values()}, lambda _, n: [list(around(p, n)[:2]) for p in probs], small)
     out: dict[str, list[float | None]] = {}
     for c, a in alias.items():
-        if not counts[a]:
-            out[c] = [None] * len(probs)
-            continue
-        vals = []
-        for lo, hi, w in _wants(probs, counts[a]):
+        vals: list[float | None] = []
+        for p in probs:
+            if not counts[a]:
+                vals.append(None)
+                continue
+            lo, hi, w = around(p, counts[a])
             x, y = found[a][lo], found[a][hi]
             vals.append(x if w == 0 or x == y else x + (y - x) * w)
         out[c] = vals
     return out
 
 
-def select_ranks(base: DataFrame, ranks: dict[str, list[int]], counts: dict[str, int], small: int = SMALL) -> dict[str, dict[int, float]]:
-    """The values at 0-based ranks of each column, exactly, for numeric columns without NULL-order ties to break."""
-
-    def grid(n: int, r: int) -> list[float]:
-        slack = 2.0 / ACCURACY
-        mid = (r + 0.5) / n
-        return [max(0.0, mid - slack), min(1.0, mid + slack)]
-
-    todo: list[_Range] = []
-    first = base.agg(
-        *[
-            F.percentile_approx(F.col(c), F.array(*[F.lit(g) for r in rs for g in grid(counts[c], r)]), ACCURACY).alias(c)
-            for c, rs in ranks.items()
-        ],
-        *[F.min(c).alias(f"{c}_min") for c in ranks],
-        *[F.max(c).alias(f"{c}_max") for c in ranks],
-    ).first()
-    ends = {c: (first[f"{c}_min"], first[f"{c}_max"]) for c in ranks}
-    for c, rs in ranks.items():
-        for i, r in enumerate(rs):
-            todo.append(_Range(c, r, first[c][2 * i], first[c][2 * i + 1]))
-
-    done: list[_Range] = []
-    while todo:
-        aggs = []
-        for i, t in enumerate(todo):
-            x = F.col(t.name)
-            aggs += [
-                F.count_if(x < t.lo).alias(f"b{i}"),
-                F.count_if(x == t.lo).alias(f"l{i}"),
-                F.count_if((x > t.lo) & (x < t.hi)).alias(f"m{i}"),
-                F.count_if((x == t.hi) & (F.lit(t.hi) > F.lit(t.lo))).alias(f"h{i}"),
-            ]
-        got = base.agg(*aggs).first()
-        inside: list[tuple[_Range, int, int]] = []
-        again: list[_Range] = []
-        for i, t in enumerate(todo):
-            below, at_lo, mid, at_hi = (got[f"{k}{i}"] for k in "blmh")
-            if t.rank < below:  # the sketch missed on the left: reopen that side
-                again.append(_Range(t.name, t.rank, ends[t.name][0], t.lo))
-            elif t.rank < below + at_lo:
-                t.answer = t.lo
-                done.append(t)
-            elif t.rank >= below + at_lo + mid + at_hi:
-                again.append(_Range(t.name, t.rank, t.hi, ends[t.name][1]))
-            elif t.rank >= below + at_lo + mid:
-                t.answer = t.hi
-                done.append(t)
-            else:
-                inside.append((t, t.rank - below - at_lo, mid))
-        narrow = [x for x in inside if x[2] > small]
-        for t, r, _ in [x for x in inside if x[2] <= small]:
-            x = F.col(t.name)
-            # At most `small` values lie inside; they are counted per value and the rank is read off.
-            per = base.where((x > t.lo) & (x < t.hi)).groupBy(t.name).count()
-            run = 0
-            for value, k in sorted((row[0], row[1]) for row in per.collect()):
-                run += k
-                if r < run:
-                    t.answer = value
-                    break
-            done.append(t)
-        if narrow:
-            aggs = []
-            for i, (t, r, mid) in enumerate(narrow):
-                x = F.col(t.name)
-                kept = F.when((x > t.lo) & (x < t.hi), x)
-                aggs.append(F.percentile_approx(kept, F.array(*[F.lit(g) for g in grid(mid, r)]), ACCURACY).alias(f"q{i}"))
-            got = base.agg(*aggs).first()
-            again += [_Range(t.name, t.rank, got[f"q{i}"][0], got[f"q{i}"][1]) for i, (t, _, _) in enumerate(narrow)]
-        todo = again
-    out: dict[str, dict[int, float]] = {c: {} for c in ranks}
-    for t in done:
-        out[t.name][t.rank] = t.answer
-    return out
+def select_ranks(base: DataFrame, column: str, ranks: Sequence[int], n: int, small: int = SMALL) -> dict[int, float]:
+    """The values at 0-based ranks of a numeric column with ``n`` values, exactly."""
+    probs = [(r + 0.5) / n for r in ranks]
+    return _select(base, {column: probs}, lambda _, __: [[r] for r in ranks], small)[1][column]
 
 
 def running_totals(df: DataFrame, order: str, sums: Sequence[str], descending: bool = True, buckets: int | None = None) -> DataFrame:
@@ -291,7 +323,7 @@ def time_split(df: DataFrame, time: Column, key: Sequence[str], train: float = 0
     n = base.count()
     ends = [int(n * train), int(n * (train + val))]
     wanted = sorted({e - 1 for e in ends if 0 < e <= n})
-    times = select_ranks(base, {"t": wanted}, {"t": n})["t"] if wanted else {}
+    times = select_ranks(base, "t", wanted, n) if wanted else {}
 
     def before(end: int) -> Column:
         if end <= 0:

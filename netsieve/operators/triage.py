@@ -155,43 +155,45 @@ def fuse_decisions(
     def const(v) -> Column:
         return v if isinstance(v, Column) else F.lit(float(v))
 
-    attack = F.coalesce(F.lower(F.trim(col(binary_pred_col).cast("string"))) == "attack", F.lit(False))
-    p = col(p_attack_col)
-    sure, unsure_p = ge(p, const(min_p_attack_known)), lt(p, const(min_p_attack_known))
-    flagged, novel = true(col(attack_uncertain_col)), true(col(novel_col))
-    szd = ge(col(szd_pct_col), const(min_szd_uncertain))
-    if open_set_col and open_set_col in df.columns:
-        ood = ge(col(open_set_col), const(min_open_set_uncertain))
-    else:
-        ood = F.lit(False)
-
+    has_open = bool(open_set_col) and open_set_col in df.columns
+    p, flag = col(p_attack_col), F.col
+    # Each test is evaluated once, as a column of its own; the outputs below only combine them.
+    tests = df.withColumns(
+        {
+            "_attack": F.coalesce(F.lower(F.trim(col(binary_pred_col).cast("string"))) == "attack", F.lit(False)),
+            "_sure": ge(p, const(min_p_attack_known)),
+            "_weak": lt(p, const(min_p_attack_known)) | true(col(attack_uncertain_col)),
+            "_novel": true(col(novel_col)),
+            "_szd": ge(col(szd_pct_col), const(min_szd_uncertain)),
+            "_ood": ge(col(open_set_col), const(min_open_set_uncertain)) if has_open else F.lit(False),
+        }
+    )
+    signal = flag("_novel") | flag("_szd") | flag("_ood")
+    sorted_out = tests.withColumns({"_unsure": flag("_attack") & (flag("_weak") | signal), "_odd": ~flag("_attack") & signal})
     # Reason codes, in output order.
     attack_reasons = F.concat_ws(
         ";",
-        F.when(sure, F.lit("binary_attack_high_conf")).otherwise(F.lit("binary_attack_low_conf")),
-        F.when(flagged, F.lit("attack_uncertain_signal")),
-        F.when(novel, F.lit("novel_flag")),
-        F.when(szd, F.lit("high_szd_pct")),
-        F.when(ood, F.lit("high_open_set_ood")),
-    )
-    benign_reason = (
-        F.when(ood, F.lit("benign_pred_high_open_set_ood"))
-        .when(novel | szd, F.lit("benign_pred_novelty_signal"))
-        .otherwise(F.lit("benign_binary_pred"))
+        F.when(flag("_sure"), F.lit("binary_attack_high_conf")).otherwise(F.lit("binary_attack_low_conf")),
+        F.when(true(col(attack_uncertain_col)), F.lit("attack_uncertain_signal")),
+        F.when(flag("_novel"), F.lit("novel_flag")),
+        F.when(flag("_szd"), F.lit("high_szd_pct")),
+        F.when(flag("_ood"), F.lit("high_open_set_ood")),
     )
-    signal = ood | novel | szd
-    uncertain_attack = flagged | signal | unsure_p
-    return df.withColumns(
+    out = sorted_out.withColumns(
         {
-            "decision_label": F.when(attack & ~uncertain_attack, F.lit(KNOWN_ATTACK))
-            .when(attack | signal, F.lit(ATTACK_UNCERTAIN))
+            "decision_label": F.when(flag("_unsure") | flag("_odd"), F.lit(ATTACK_UNCERTAIN))
+            .when(flag("_attack"), F.lit(KNOWN_ATTACK))
             .otherwise(F.lit(BENIGN_OR_LOW)),
-            "decision_risk_tier": F.when(attack & (sure | ~uncertain_attack), F.lit("high"))
-            .when(attack | signal, F.lit("medium"))
+            "decision_risk_tier": F.when(flag("_attack") & (flag("_sure") | ~flag("_unsure")), F.lit("high"))
+            .when(flag("_unsure") | flag("_odd"), F.lit("medium"))
             .otherwise(F.lit("low")),
-            "reason_codes": F.when(attack, attack_reasons).otherwise(benign_reason),
+            "reason_codes": F.when(flag("_attack"), attack_reasons)
+            .when(flag("_ood"), F.lit("benign_pred_high_open_set_ood"))
+            .when(flag("_odd"), F.lit("benign_pred_novelty_signal"))
+            .otherwise(F.lit("benign_binary_pred")),
         }
     )
+    return out.drop("_attack", "_sure", "_weak", "_novel", "_szd", "_ood", "_unsure", "_odd")
 
 
 def fusion_thresholds(profile: str, profiles: Mapping | None = None, defaults: Mapping[str, float] | None = None) -> dict[str, float]:

@@ -25,7 +25,9 @@ def build_session(app: str = "netsieve", master: str | None = None, shuffle_part
         b = b.master(master).config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
     if shuffle_partitions:
         b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
-    return b.getOrCreate()
+    spark = b.getOrCreate()
+    tune(spark)
+    return spark
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -43,6 +45,27 @@ def shared_dir(spark: SparkSession) -> str:
     return base
 
 
+# Beyond 8000 bytes of bytecode HotSpot leaves a method interpreted. Below that limit Spark keeps whole-stage code;
+# above it, wide contracts run as one compiled projection per operator, which is several times faster.
+METHOD_LIMIT = ("spark.sql.codegen.hugeMethodLimit", "8000")
+
+
+def tune(spark: SparkSession) -> None:
+    """Runtime settings the engine's plans want; a value the user has set stays."""
+    key, value = METHOD_LIMIT
+    if spark.conf.get(key) == "65535":
+        spark.conf.set(key, value)
+
+
+def spread(df: DataFrame, rows: int, limit: int = 20_000_000) -> DataFrame:
+    """A table of known, moderate size over all cores, when it was read in fewer partitions than there are cores.
+
+    For cached inputs of iterative fits. Tables beyond ``limit`` rows keep the partitions they have.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if rows <= limit and df.rdd.getNumPartitions() < cores else df
+
+
 def run_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder of one run below :func:`shared_dir`."""
     return f"{shared_dir(spark)}/netsieve/{name}-{uuid.uuid4().hex}"
