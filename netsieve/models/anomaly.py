@@ -57,21 +57,31 @@ def grow_tree(x: np.ndarray, limit: int, rng: np.random.Generator) -> dict[str,
     return nodes
 
 
+def pack_tree(t: dict) -> dict[str, np.ndarray]:
+    """A tree for fast walking: children side by side, and leaves that lead to themselves."""
+    feature = np.asarray(t["feature"], dtype=np.int64)
+    leaf, own = feature < 0, np.arange(len(feature))
+    child = np.stack([np.where(leaf, own, t["left"]), np.where(leaf, own, t["right"])], axis=1).ravel()
+    levels, at = 0, np.array([0])
+    while not leaf[at].all():
+        at = np.unique(child.reshape(-1, 2)[at])
+        levels += 1
+    return {
+        "feature": np.where(leaf, 0, feature), "cut": np.asarray(t["cut"], dtype=np.float64), "child": child,
+        "depth": np.asarray(t["depth"], dtype=np.float64), "levels": levels,
+    }
+
+
 def path_lengths(trees: Sequence[dict], x: np.ndarray) -> np.ndarray:
-    """Mean path length of each row over the trees; all rows walk a tree together, level by level."""
+    """Mean path length of each row over packed trees; all rows take a step together."""
     total = np.zeros(len(x))
-    rows = np.arange(len(x))
+    flat, start = np.ascontiguousarray(x).ravel(), np.arange(len(x)) * x.shape[1]
     for t in trees:
         at = np.zeros(len(x), dtype=np.int64)
-        while True:
-            f = t["feature"][at]
-            inner = f >= 0
-            if not inner.any():
-                break
-            value = x[rows[inner], f[inner]]
-            node = at[inner]
-            at[inner] = np.where(value <= t["cut"][node], t["left"][node], t["right"][node])
-        total += t["depth"][at]
+        for _ in range(t["levels"]):
+            value = flat.take(start + t["feature"].take(at))
+            at = t["child"].take(2 * at + (value > t["cut"].take(at)))
+        total += t["depth"].take(at)
     return total / len(trees)
 
 
@@ -89,14 +99,7 @@ class IsolationForest:
 
     def score(self) -> Column:
         """``2^(-E[path]/c)``: higher is more anomalous. The forest (at most trees x 511 nodes) ships with the task."""
-        trees = [
-            {
-                "feature": np.asarray(t["feature"], dtype=np.int64), "cut": np.asarray(t["cut"], dtype=np.float64),
-                "left": np.asarray(t["left"], dtype=np.int64), "right": np.asarray(t["right"], dtype=np.int64),
-                "depth": np.asarray(t["depth"], dtype=np.float64),
-            }
-            for t in self.trees
-        ]
+        trees = [pack_tree(t) for t in self.trees]
         scale = float(average_path(self.rows_per_tree)) or 1.0
 
         @F.pandas_udf(T.DoubleType())
@@ -132,8 +135,8 @@ def fit_isolation_forest(
     copies = min(trees, max(1, math.ceil(sent / max(n, 1))))
     # A stride without common factor with the number of trees gives a row's copies to different trees.
     stride = next(k for k in range(trees // 2 + 1, 2 * trees + 2) if math.gcd(k, trees) == 1)
-    tree = F.pmod(F.col("_h") + F.explode(F.sequence(F.lit(0), F.lit(copies - 1))) * stride, F.lit(trees))
-    draws = rows.select("_h", *[f"x{i}" for i in range(len(scaler.columns))], tree.cast("int").alias("tree"))
+    draws = rows.withColumn("_copy", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
+    draws = draws.withColumn("tree", F.pmod(F.pmod("_h", F.lit(trees)) + F.col("_copy") * stride, F.lit(trees)).cast("int"))
     draws = draws.withColumn("_r", F.xxhash64("_h", "tree"))
     xs = [f"x{i}" for i in range(len(scaler.columns))]
     limit = max(1, math.ceil(math.log2(max(psi, 2))))

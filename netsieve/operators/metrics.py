@@ -215,13 +215,13 @@ def run_percentiles(df: DataFrame, wanted: Sequence[tuple[str, str, float]], app
         return row.asDict()
     names = list(dict.fromkeys(c for _, c, _ in wanted))
     probs = sorted({p / 100.0 for _, _, p in wanted})
-    got = exact_quantiles(df, names, probs)
+    got = exact_quantiles(df, names, probs, stage=True)
     return {k: got[c][probs.index(p / 100.0)] for k, c, p in wanted}
 
 
 def benign_threshold(df: DataFrame, score: str, percentile: float = 99.0) -> float | None:
     """Anomaly threshold: a percentile of the scores of benign rows."""
-    return exact_quantiles(df, [score], [percentile / 100.0])[score][0]
+    return exact_quantiles(df, [score], [percentile / 100.0], stage=True)[score][0]
 
 
 def recall_and_alert_rates(df: DataFrame, flag: Column, unknown: Column) -> DataFrame:

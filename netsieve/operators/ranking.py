@@ -35,46 +35,24 @@ class _Range:
 
 
 def _locate(base: DataFrame, todo: list[_Range]) -> list[tuple[_Range, int, list[tuple[float, int]]]]:
-    """Per range the rows below it and its (value, count) pairs, for all ranges in one aggregate.
+    """Per range the rows below it and its (value, count) pairs, for all ranges together.
 
-    Each row becomes one key per column: the value where it lies in a range, else only the gap it falls into. Gaps
-    collapse map-side, so what is shuffled and collected is the distinct values inside the ranges.
+    One aggregate counts what lies below. A second pass keeps only the values inside a range, as one short array per
+    row, and counts them per value; most rows yield nothing, so little is shuffled or collected.
     """
-    keys = []
-    spans: dict[str, list[tuple[float, float]]] = {}
-    for t in todo:
-        spans.setdefault(t.column, [])
-    for c in spans:
-        merged: list[list[float]] = []
-        for lo, hi in sorted((t.lo, t.hi) for t in todo if t.column == c):
-            if merged and lo <= merged[-1][1]:
-                merged[-1][1] = max(merged[-1][1], hi)
-            else:
-                merged.append([lo, hi])
-        spans[c] = [(lo, hi) for lo, hi in merged]
-        x = F.col(c)
-        gap, value = F.when(F.lit(False), F.lit(0)), F.when(F.lit(False), x)
-        for i, (lo, hi) in enumerate(spans[c]):
-            gap = gap.when(x < lo, F.lit(2 * i)).when(x <= hi, F.lit(2 * i + 1))
-            value = value.when((x >= lo) & (x <= hi), x)
-        # A segment is 2i below the i-th span (and above the one before), 2i+1 inside it.
-        segment = F.when(x.isNotNull(), gap.otherwise(F.lit(2 * len(spans[c]))))
-        keys.append(F.struct(F.lit(c).alias("c"), segment.alias("s"), value.alias("v")))
-    rows = base.select(F.explode(F.array(*keys)).alias("k")).where("k.s IS NOT NULL").groupBy("k").count().select("k.*", "count").collect()
-    by_column: dict[str, list[tuple[int, float | None, int]]] = {c: [] for c in spans}
+    spans = sorted({(t.column, t.lo, t.hi) for t in todo})
+    below = base.agg(*[F.count_if(F.col(c) < lo).alias(f"b{i}") for i, (c, lo, _) in enumerate(spans)]).first()
+    hits = [
+        F.when((F.col(c) >= lo) & (F.col(c) <= hi), F.struct(F.lit(i).alias("i"), F.col(c).alias("v")))
+        for i, (c, lo, hi) in enumerate(spans)
+    ]
+    rows = base.select(F.explode(F.array_compact(F.array(*hits))).alias("k")).groupBy("k.i", "k.v").count().collect()
+    inside: dict[int, list[tuple[float, int]]] = {}
     for r in rows:
-        by_column[r["c"]].append((r["s"], r["v"], r["count"]))
-    out = []
-    for t in todo:
-        below, inside = 0, []
-        i = next(i for i, (lo, hi) in enumerate(spans[t.column]) if lo <= t.lo and t.hi <= hi)
-        for s, v, n in by_column[t.column]:
-            if s < 2 * i + 1:
-                below += n
-            elif s == 2 * i + 1:
-                inside.append((v, n))
-        out.append((t, below, sorted(inside)))
-    return out
+        inside.setdefault(r["i"], []).append((r["v"], r["count"]))
+    at = {span: i for i, span in enumerate(spans)}
+    which = [at[t.column, t.lo, t.hi] for t in todo]
+    return [(t, below[f"b{i}"], sorted(inside.get(i, []))) for t, i in zip(todo, which)]
 
 
 def _narrow(base: DataFrame, todo: list[_Range]) -> list[_Range]:
@@ -144,16 +122,20 @@ def _select(base: DataFrame, probs: dict[str, Sequence[float]], ranks_of: Callab
     return counts, found
 
 
-def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float], small: int = SMALL) -> dict[str, list[float | None]]:
+def exact_quantiles(
+    df: DataFrame, columns: Sequence[str], probs: Sequence[float], small: int = SMALL, stage: bool = False
+) -> dict[str, list[float | None]]:
     """Exact linearly interpolated quantiles of several columns; NULL and NaN are left out.
 
     A sketch pass brackets every wanted rank; brackets with more than ``small`` rows are narrowed 250-fold per pass;
     a last pass collects the few distinct values left and counts what lies below them. No pass holds more than
-    sketches, counts, or ``small`` values per rank. Returns None for a column without values.
+    sketches, counts, or ``small`` values per rank. Returns None for a column without values. ``stage`` writes the
+    columns once before the passes: for scores, which would otherwise be computed in each pass.
     """
     probs = [float(p) for p in probs]
     alias = {c: f"c{i}" for i, c in enumerate(columns)}
     base = df.select(*[nan_to_null(col(c)).alias(a) for c, a in alias.items()])
+    base = materialize(base, "quantiles") if stage else base
 
     def around(p: float, n: int) -> tuple[int, int, float]:
         pos = p * (n - 1)

@@ -162,7 +162,7 @@ def gate_flag(thresholds: dict[str, float | None]) -> Column:
 def adaptive_gates(df: DataFrame, unknown: Column, q: float = 0.97, scores: Sequence[str] = GATE_SCORES) -> dict[str, float | None]:
     """Per-score thresholds: the q-quantile over known rows."""
     names = [s for s in scores if s in df.columns]
-    got = exact_quantiles(df.where(~unknown), names, [q])
+    got = exact_quantiles(df.where(~unknown), names, [q], stage=True)
     return {s: got[s][0] for s in names}
 
 
@@ -176,7 +176,7 @@ def adaptive_decisions(df: DataFrame, thresholds: dict[str, float | None], decis
 def adaptive_candidates(df: DataFrame, unknown: Column, quantiles: Sequence[float] = QUANTILES, scores: Sequence[str] = GATE_SCORES) -> list[dict]:
     """Rates of the gates at several quantiles; all quantiles and all flags are evaluated together."""
     names = [s for s in scores if s in df.columns]
-    got = exact_quantiles(df.where(~unknown), names, list(quantiles))
+    got = exact_quantiles(df.where(~unknown), names, list(quantiles), stage=True)
     gates = [{s: got[s][i] for s in names} for i in range(len(quantiles))]
     marked = df.select(unknown.alias("_u"), *[gate_flag(g).alias(f"_f{i}") for i, g in enumerate(gates)])
     aggs = [F.count(F.lit(1)).alias("n"), F.count_if("_u").alias("nu")]

@@ -57,7 +57,7 @@ def novelty_labels(
     out = df.withColumn("anomaly_threshold", F.lit(float(threshold))).withColumn("is_novel_flagged", flagged)
     if tier_strong_label is not None and tier_cut is None:
         hits = out.where(F.col("is_novel_flagged")).select(col(score_col))
-        tier_cut = exact_quantiles(hits, [score_col], [tier_percentile / 100.0])[score_col][0]
+        tier_cut = exact_quantiles(hits, [score_col], [tier_percentile / 100.0], stage=True)[score_col][0]
     label = F.when(F.lit(False), F.lit(novel_label))
     if tier_strong_label is not None and tier_cut is not None:
         label = label.when(F.col("is_novel_flagged") & ge(col(score_col), F.lit(tier_cut)), F.lit(tier_strong_label))
