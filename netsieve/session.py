@@ -78,7 +78,10 @@ def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def broadcast_within(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
-    """A broadcast hint, given only after counting that the table has at most ``rows`` rows; otherwise no hint, and
-    Spark shuffles both sides of the join."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def broadcast_smaller(left: DataFrame, right: DataFrame, rows: int = 1_000_000) -> tuple[DataFrame, DataFrame]:
+    """Both sides of a join, with a broadcast hint on one only if counting shows that it has at most ``rows`` rows."""
+    if right.limit(rows + 1).count() <= rows:
+        return left, F.broadcast(right)
+    if left.limit(rows + 1).count() <= rows:
+        return F.broadcast(left), right
+    return left, right
