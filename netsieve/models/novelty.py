@@ -13,10 +13,11 @@ from netsieve.models.preprocess import fit_scaler
 from netsieve.operators.mapping import ATTACK, unknown_label
 from netsieve.operators.prototypes import Prototypes, nearest_distance, score_open_set
 from netsieve.operators.ranking import stratified_split
-from netsieve.operators.search import choose_threshold
+from netsieve.operators.search import choose_thresholds
 from netsieve.operators.triage import (
     NOVEL_LABEL, add_suspected_zero_day, attack_uncertain, fuse_decisions, minmax_score, novelty_labels,
 )
+from netsieve.session import materialize
 from netsieve.sources.bundles import Bundle
 
 
@@ -179,19 +180,21 @@ class NoveltyCalibrator:
         return self.model.to_bundle(threshold=self.threshold, max_alert_rate=self.max_alert_rate, known_labels=self.known_labels)
 
 
-def fit_novelty_calibrator(
-    df: DataFrame, key: Sequence[str], label: str, known_labels: Iterable[str],
-    features: Sequence[str] = CALIBRATOR_FEATURES, max_alert_rate: float = 0.10, seed: int = 42,
-) -> tuple[NoveltyCalibrator, dict]:
-    """Balanced logistic regression from scores to P(unknown), fitted on a stratified 70% and its threshold chosen
-    on the other 30% under the alert budget."""
+def fit_novelty_calibrators(
+    df: DataFrame, key: Sequence[str], label: str, known_labels: Iterable[str], features: Sequence[str], budgets: Sequence[float],
+    seed: int = 42,
+) -> list[tuple[NoveltyCalibrator, dict]]:
+    """Balanced logistic regression from scores to P(unknown), fitted on a stratified 70%, and on the other 30% one
+    threshold per alert budget. The budgets share the fit, which does not depend on them."""
     missing = [c for c in [*features, label] if c not in df.columns]
     if missing:
         raise ValueError(f"novelty calibrator needs columns {missing}")
     known = sorted(set(known_labels))
     unknown = unknown_label(col(label), known, trim=False)
     named = df.withColumn("_u", F.when(unknown, F.lit("unknown")).otherwise(F.lit("known")))
-    split = stratified_split(named, key, "_u", [("val", 0.3)], "train", seed, out="_part").select(
+    # The split reads its input several times, and the scores may be expensive: they are written once.
+    narrow = materialize(named.select(*[col(c) for c in dict.fromkeys([*key, *features])], "_u"), "calibrator")
+    split = stratified_split(narrow, key, "_u", [("val", 0.3)], "train", seed, out="_part").select(
         *[col(c) for c in features], "_u", "_part"
     ).persist()
     try:
@@ -199,15 +202,46 @@ def fit_novelty_calibrator(
         scaler = fit_scaler(train, features, impute=False)
         model = fit_logistic(train, "_u", features, balanced=True, max_iter=200, scaler=scaler, classes=["known", "unknown"])
         scored = calibrated_score(val, model).select("novelty_calibrated_score", (F.col("_u") == "unknown").alias("u"))
-        pick = choose_threshold(scored, "novelty_calibrated_score", F.col("u"), max_alert_rate)
+        picks = choose_thresholds(scored, "novelty_calibrated_score", F.col("u"), budgets)
         sizes = {r["_part"]: r["count"] for r in split.groupBy("_part").count().collect()}
     finally:
         split.unpersist()
-    summary = {
-        "rows_train": sizes.get("train", 0), "rows_val": sizes.get("val", 0), "chosen_threshold": pick["threshold"],
-        "budget_max_alert_rate": float(max_alert_rate), "val_alert_rate": pick["alert_rate"], "val_unknown_recall": pick["unknown_recall"],
-    }
-    return NoveltyCalibrator(model, pick["threshold"], float(max_alert_rate), known), summary
+    return [
+        (
+            NoveltyCalibrator(model, pick["threshold"], float(budget), known),
+            {
+                "rows_train": sizes.get("train", 0), "rows_val": sizes.get("val", 0), "chosen_threshold": pick["threshold"],
+                "budget_max_alert_rate": float(budget), "val_alert_rate": pick["alert_rate"], "val_unknown_recall": pick["unknown_recall"],
+            },
+        )
+        for budget, pick in zip(budgets, picks)
+    ]
+
+
+def fit_novelty_calibrator(
+    df: DataFrame, key: Sequence[str], label: str, known_labels: Iterable[str],
+    features: Sequence[str] = CALIBRATOR_FEATURES, max_alert_rate: float = 0.10, seed: int = 42,
+) -> tuple[NoveltyCalibrator, dict]:
+    """One calibrator and its summary for one alert budget."""
+    return fit_novelty_calibrators(df, key, label, known_labels, features, [max_alert_rate], seed)[0]
+
+
+def calibrator_candidates(df: DataFrame, calibrators: Sequence[NoveltyCalibrator], unknown: Column) -> list[dict]:
+    """Rates of calibrators that share a model, for the profile tuner: scored once, counted in one aggregate."""
+    scored = calibrated_score(df, calibrators[0].model).select("novelty_calibrated_score", unknown.alias("_u"))
+    aggs = [F.count(F.lit(1)).alias("n"), F.count_if("_u").alias("nu")]
+    for i, c in enumerate(calibrators):
+        flag = ge(F.col("novelty_calibrated_score"), F.lit(c.threshold))
+        aggs += [F.count_if(flag).alias(f"a{i}"), F.count_if(flag & F.col("_u")).alias(f"h{i}")]
+    r = scored.agg(*aggs).first()
+    return [
+        {
+            "method": "calibrator", "max_alert_budget": c.max_alert_rate, "chosen_threshold": c.threshold,
+            "unknown_recall": r[f"h{i}"] / max(r["nu"], 1), "alert_rate": r[f"a{i}"] / max(r["n"], 1),
+            "known_alert_rate": (r[f"a{i}"] - r[f"h{i}"]) / max(r["n"] - r["nu"], 1),
+        }
+        for i, c in enumerate(calibrators)
+    ]
 
 
 def calibrated_score(df: DataFrame, model: LinearModel, out: str = "novelty_calibrated_score") -> DataFrame:

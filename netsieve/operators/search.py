@@ -56,20 +56,27 @@ def _cells(df: DataFrame, flags: dict[str, Column], dims: list[tuple[str, str, S
     return {k: _suffix(v) for k, v in out.items()}
 
 
-def choose_threshold(df: DataFrame, score: str, unknown: Column, max_alert_rate: float) -> dict:
-    """Highest unknown recall with the alert rate in budget; the lowest threshold wins ties, .5 when none fits."""
+def choose_thresholds(df: DataFrame, score: str, unknown: Column, budgets: Sequence[float]) -> list[dict]:
+    """Per budget the highest unknown recall with the alert rate within it; the lowest threshold wins ties, and .5
+    stands when none fits. The rows are counted once for all budgets."""
     work = df.select(col(score).cast("double").alias("s"), unknown.alias("u"))
     cells = _cells(work, {"all": F.lit(True), "unknown": F.col("u")}, [("s", "i", SCORE_GRID)])
     n, n_unknown = int(cells["all"][0]), int(cells["unknown"][0])
-    best = {"threshold": 0.5, "alert_rate": 1.0, "unknown_recall": 0.0}
-    top = -1.0
-    for i, t in enumerate(SCORE_GRID):
-        rate = cells["all"][i + 1] / n if n else float("nan")
-        recall = cells["unknown"][i + 1] / max(n_unknown, 1)
-        if not rate > max_alert_rate and recall > top:
-            top = recall
-            best = {"threshold": t, "alert_rate": float(rate), "unknown_recall": float(recall)}
-    return best
+    out = []
+    for budget in budgets:
+        best, top = {"threshold": 0.5, "alert_rate": 1.0, "unknown_recall": 0.0}, -1.0
+        for i, t in enumerate(SCORE_GRID):
+            rate = cells["all"][i + 1] / n if n else float("nan")
+            recall = cells["unknown"][i + 1] / max(n_unknown, 1)
+            if not rate > budget and recall > top:
+                top = recall
+                best = {"threshold": t, "alert_rate": float(rate), "unknown_recall": float(recall)}
+        out.append(best)
+    return out
+
+
+def choose_threshold(df: DataFrame, score: str, unknown: Column, max_alert_rate: float) -> dict:
+    return choose_thresholds(df, score, unknown, [max_alert_rate])[0]
 
 
 def choose_budget_thresholds(

@@ -424,7 +424,7 @@ def p16(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "p17_external_to_contract",
-    with_(FLOWS, select="""SELECT uid, CASE proto WHEN 'udp' THEN 17.0 WHEN 'icmp' THEN 1.0 ELSE 0.0 END AS c1, round(duration * 1000000.0, 8) AS c2, orig_pkts AS c3, resp_pkts AS c4,
+    with_(FLOWS, select="""SELECT uid, CASE proto WHEN 'udp' THEN 17.0 WHEN 'icmp' THEN 1.0 ELSE 0.0 END::DOUBLE AS c1, round(duration * 1000000.0, 8) AS c2, orig_pkts AS c3, resp_pkts AS c4,
     round(CASE WHEN duration = 0 THEN 0 ELSE (orig_bytes + resp_bytes) / duration END, 8) AS c5,
     round(CASE WHEN duration = 0 THEN 0 ELSE (orig_pkts + resp_pkts) / duration END, 8) AS c6,
     CASE WHEN label = 'Benign' THEN 'Benign' WHEN tenant_id IS NULL THEN 'UnknownAttack' ELSE label END AS label FROM flows"""),

@@ -10,7 +10,10 @@ from netsieve.models.boosting import fit_boosted
 from netsieve.models.calibrate import fit_calibrator
 from netsieve.models.linear import argmax_label, fit_logistic, score_supervised, soft_vote, top_contributions
 from netsieve.models.neural import fit_neural
-from netsieve.models.novelty import Detector, apply_novelty_calibrator, fit_novelty_calibrator, score_and_fuse
+from netsieve.models.novelty import (
+    CALIBRATOR_FEATURES, Detector, apply_novelty_calibrator, calibrator_candidates, fit_novelty_calibrator,
+    fit_novelty_calibrators, score_and_fuse,
+)
 from netsieve.models.preprocess import fit_scaler
 from netsieve.operators import prototypes as pt, retrieval as rt
 from netsieve.operators.mapping import to_benign_attack
@@ -286,20 +289,15 @@ def m10(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("m11d_calibrator_profiles")
 def m11d(spark: SparkSession, sf: str) -> DataFrame:
-    """The calibrator half of the profile tuner: one fit per budget."""
+    """The profile tuner with both kinds of candidates: six quantiles and six calibrator budgets."""
     from netsieve.operators.mapping import unknown_label
-    from netsieve.operators.metrics import recall_and_alert_rates
     from netsieve.operators.search import BUDGETS, tune_profiles
+    from netsieve.session import materialize
 
-    s = triaged(spark, sf).select("uid", "label", "p_attack", "suspected_zero_day_pct", "anomaly_score", "open_set_ood_score", "max_class_probability").persist()
+    s = materialize(triaged(spark, sf).select("uid", "label", *CALIBRATOR_FEATURES), "m11d")
     unknown = unknown_label(F.col("label"), KNOWN, trim=False)
-    extra = []
-    for budget in BUDGETS:
-        cal, _ = fit_novelty_calibrator(s, ["uid"], "label", KNOWN, max_alert_rate=budget)
-        rates = recall_and_alert_rates(apply_novelty_calibrator(s, cal), F.col("novelty_calibrated_flag"), unknown).first()
-        extra.append({"method": "calibrator", "max_alert_budget": budget, "chosen_threshold": cal.threshold, **rates.asDict()})
-    got = tune_profiles(s, unknown, extra)
-    s.unpersist()
+    fits = fit_novelty_calibrators(s, ["uid"], "label", KNOWN, CALIBRATOR_FEATURES, BUDGETS)
+    got = tune_profiles(s, unknown, calibrator_candidates(s, [c for c, _ in fits], unknown))
     rows = [
         F.struct(F.lit(n).alias("profile"), F.lit(got[n]["method"]).alias("method"), F.lit(float(got[n]["unknown_recall"])).alias("unknown_recall"), F.lit(float(got[n]["alert_rate"])).alias("alert_rate"))
         for n in ("balanced_profile", "high_recall_profile")

@@ -24,8 +24,6 @@ def _cell(v):
     if isinstance(v, float):
         if math.isnan(v):
             return "nan"
-        if v == int(v) if math.isfinite(v) else False:
-            return str(int(v)) + ".0"
         return repr(v)
     if hasattr(v, "is_finite"):
         return _cell(float(v))
