@@ -38,7 +38,7 @@ def flows(spark: SparkSession, sf: str) -> DataFrame:
 def as_flows(lineitem: DataFrame) -> DataFrame:
     c = F.col
     return lineitem.select(
-        F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("uid"),
+        F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", epoch(c("l_shipdate")).cast("string")).alias("uid"),
         F.when(c("l_suppkey") % 5 != 0, c("l_suppkey") % 5).alias("tenant_id"),
         epoch(c("l_shipdate")).alias("ts"),
         F.when(c("l_linenumber") == 7, F.lit("icmp")).when(c("l_linestatus") == "O", F.lit("TCP ")).otherwise(F.lit("udp")).alias("proto"),
@@ -55,7 +55,7 @@ def as_flows(lineitem: DataFrame) -> DataFrame:
 
 
 FLOWS = """flows AS (
-  SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS uid,
+  SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(floor(epoch(l_shipdate)) AS BIGINT)) AS uid,
     CASE WHEN l_suppkey % 5 <> 0 THEN l_suppkey % 5 END AS tenant_id,
     CAST(floor(epoch(l_shipdate)) AS BIGINT) AS ts,
     CASE WHEN l_linenumber = 7 THEN 'icmp' WHEN l_linestatus = 'O' THEN 'TCP ' ELSE 'udp' END AS proto,
