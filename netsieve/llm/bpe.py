@@ -27,6 +27,7 @@ from netsieve.llm.textops import U64, IntMap, chunks, code_points, ragged, span_
 SPACE, LETTER, DIGIT, OTHER = 0, 1, 2, 3
 BLOCK = 1 << 20  # characters encoded at once
 NEVER = 1 << 40
+KNOWN = 200_000  # words kept from block to block
 
 
 def byte_letters() -> dict[str, int]:
@@ -117,6 +118,34 @@ class Encoder:
         self.flat = np.frombuffer(b"".join(every), np.uint8)
         self.width = np.array([len(t) for t in every], np.int64)
         self.place = np.cumsum(self.width) - self.width
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known, self.known_ids = np.zeros(0, U64), np.zeros(0, np.int64)  # hashes of words met more than once, in order
+        self.known_at, self.known_n = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def _distinct(self, key: np.ndarray, often: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of distinct words in one array, and where each word's begin and how many they are; ``key`` in order."""
+        at = np.searchsorted(self.known, key)
+        old = at < len(self.known)
+        old[old] = self.known[at[old]] == key[old]
+        new = np.flatnonzero(~old)
+        ids, n, _ = self.words(data, starts[new], ends[new])
+        begin, count = np.empty(len(key), np.int64), np.empty(len(key), np.int64)
+        begin[old], count[old] = self.known_at[at[old]], self.known_n[at[old]]
+        begin[new], count[new] = len(self.known_ids) + np.cumsum(n) - n, n
+        every = np.concatenate([self.known_ids, ids])
+        keep = new[often[new]]
+        if len(self.known) + len(keep) > KNOWN:
+            self._forget()
+        else:
+            held = ragged(begin[keep], count[keep])
+            known = np.concatenate([self.known, key[keep]])
+            order = np.argsort(known)
+            self.known_at = np.concatenate([self.known_at, len(self.known_ids) + np.cumsum(count[keep]) - count[keep]])[order]
+            self.known, self.known_n = known[order], np.concatenate([self.known_n, count[keep]])[order]
+            self.known_ids = np.concatenate([self.known_ids, every[held]])
+        return every, begin, count
 
     def greedy(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Longest matches of every word: all ids in order, and how many each word has."""
@@ -254,9 +283,8 @@ class Encoder:
         data = np.frombuffer("".join(texts).encode("utf-8", "surrogatepass"), np.uint8)
         starts, ends = byte[at], byte[np.append(at[1:], len(codes))]
         key = span_hashes(data, starts, ends)
-        _, one, back = np.unique(key, return_index=True, return_inverse=True)
-        ids, n, _ = self.words(data, starts[one], ends[one])
-        offset = np.cumsum(n) - n
+        key, one, back, met = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
+        ids, offset, n = self._distinct(key, met > 1, data, starts[one], ends[one])
         each = n[back]
         flat = ids[ragged(offset[back], each)]
         text_of = np.searchsorted(begin + length, at, side="right")

@@ -20,7 +20,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from netsieve.llm.bpe import encoder
+from netsieve.llm.bpe import BLOCK, encoder
+from netsieve.llm.textops import chunks
 from netsieve.session import materialize
 
 CAPACITY = 1024
@@ -37,23 +38,26 @@ def cut(n: int, capacity: int) -> list[tuple[int, int]]:
     return [(0, head), *((s, capacity) for s in range(head, n, capacity))]
 
 
-def token_pieces(docs: DataFrame, path: str, end_id: int, capacity: int = CAPACITY, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """One row per piece: ``key``, ``piece``, ``start``, ``length``, ``ids`` (the tokens) and their ``ids_crc32``."""
+def token_pieces(docs: DataFrame, path: str, end_id: int, capacity: int = CAPACITY, with_ids: bool = True, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """One row per piece: ``key``, ``piece``, ``start``, ``length``, ``ids_crc32``, and if asked for the tokens, ``ids``."""
+    kind = docs.schema[key].dataType.simpleString()
+    cols = [key, "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         enc = encoder(path)
         for b in batches:
-            rows = []
-            for k, ids in zip(b[key].tolist(), enc.encode(b["_text"].tolist()), strict=True):
-                ids = np.append(ids, end_id).astype("<u4")
-                for i, (s, n) in enumerate(cut(len(ids), capacity)):
-                    part = ids[s : s + n]
-                    rows.append((k, i, s, n, part.astype(np.int32), zlib.crc32(part.tobytes())))
-            yield pd.DataFrame(rows, columns=[key, "piece", "start", "length", "ids", "ids_crc32"])
+            texts, keys = b["_text"].tolist(), b[key].tolist()
+            for lo, hi in chunks([len(t) for t in texts], BLOCK):
+                rows = []
+                for k, ids in zip(keys[lo:hi], enc.encode(texts[lo:hi]), strict=True):
+                    ids = np.append(ids, end_id).astype("<u4")
+                    for i, (s, n) in enumerate(cut(len(ids), capacity)):
+                        part = ids[s : s + n]
+                        rows.append((k, i, s, n, zlib.crc32(part.tobytes()), *([part.astype(np.int32)] if with_ids else [])))
+                yield pd.DataFrame(rows, columns=cols)
 
-    kind = docs.schema[key].dataType.simpleString()
     src = docs.selectExpr(f"`{key}`", f"coalesce(`{text}`, '') AS _text")
-    return src.mapInPandas(run, f"`{key}` {kind}, piece int, start long, length long, ids array<int>, ids_crc32 long")
+    return src.mapInPandas(run, f"`{key}` {kind}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids)
 
 
 class Bins:
@@ -196,5 +200,4 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, key: str = "doc_id") -> Da
 
 def pack_documents(docs: DataFrame, path: str, end_id: int = 2, capacity: int = CAPACITY, with_ids: bool = True) -> DataFrame:
     """Tokenise, cut and pack ``docs``. The pieces are written once to the shared folder, so a lost task re-reads them."""
-    pieces = token_pieces(docs, path, end_id, capacity)
-    return pack(materialize(pieces if with_ids else pieces.drop("ids"), "pieces"), capacity)
+    return pack(materialize(token_pieces(docs, path, end_id, capacity, with_ids), "pieces"), capacity)
