@@ -26,6 +26,8 @@ from netsieve.session import materialize
 
 CAPACITY = 1024
 SHARE = 25_000  # pieces packed together at most, on average
+FEW = 256  # and, if there is more than one share, at least
+MEET, LOOSE, FULL = 14, 64, 0.995  # tasks whose emptiest bins (so many, if less full than that) are packed anew together
 SLACK = 24  # how far from a perfect fit an exchange may end
 ROUNDS = 4
 
@@ -167,11 +169,26 @@ def pack_sizes(sizes: list[int], capacity: int, rounds: int = ROUNDS) -> list[li
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY, key: str = "doc_id") -> DataFrame:
-    """``pieces`` with ``sequence_id`` and ``offset``. Only ``key``, ``piece`` and ``length`` meet in a task's memory as
-    plain numbers; further columns ride along in Arrow batches."""
+    """``pieces`` with ``sequence_id`` and ``offset``.
+
+    Tasks pack their shares; then the pieces in the few emptiest bins of ``MEET`` tasks are packed anew together, and so
+    on until one task is left. A task never holds more than its share or what ``MEET`` tasks have passed on."""
     spark = pieces.sparkSession
     total = pieces.count()
-    shares = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // SHARE))
+    shares = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), total // FEW), -(-total // SHARE))
+    cols = pieces.columns
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema) + ", sequence_id long, offset long, loose boolean"
+    done, level, todo = None, 0, pieces
+    while True:
+        packed = materialize(_packed(todo.select(cols), shares, level, capacity, key, schema), f"packed{level}")
+        final = packed if shares == 1 else packed.where("NOT loose")
+        done = final if done is None else done.unionByName(final)
+        if shares == 1:
+            return done.drop("loose")
+        shares, level, todo = -(-shares // MEET), level + 1, packed.where("loose")
+
+
+def _packed(pieces: DataFrame, shares: int, level: int, capacity: int, key: str, schema: str) -> DataFrame:
     cols = pieces.columns
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -180,22 +197,23 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, key: str = "doc_id") -> Da
         rows = pd.concat(list(batches) or [pd.DataFrame(columns=cols)], ignore_index=True)
         if rows.empty:
             return
-        rows = rows.sort_values([key, "piece"], kind="stable").reset_index(drop=True)
+        rows = rows.sort_values([key, "piece", "length"], kind="stable").reset_index(drop=True)
         size = rows["length"].to_numpy(np.int64)
-        seq, off = np.zeros(len(rows), np.int64), np.zeros(len(rows), np.int64)
-        part = np.flatnonzero(size < capacity)
-        whole = np.flatnonzero(size >= capacity)
-        base = TaskContext.get().partitionId() << 40
+        seq, off, loose = np.zeros(len(rows), np.int64), np.zeros(len(rows), np.int64), np.zeros(len(rows), bool)
+        part, whole = np.flatnonzero(size < capacity), np.flatnonzero(size >= capacity)
+        base = (level << 56) + (TaskContext.get().partitionId() << 32)
         seq[whole] = base + np.arange(len(whole))
         packed = pack_sizes(size[part].tolist(), capacity)
+        packed.sort(key=lambda own: size[part[own]].sum())
         for n, own in enumerate(packed):
             at = part[own]
             seq[at] = base + len(whole) + n
             off[at] = np.cumsum(size[at]) - size[at]
-        yield rows.assign(sequence_id=seq, offset=off)
+            loose[at] = n < LOOSE and size[at].sum() < FULL * capacity
+        yield rows.assign(sequence_id=seq, offset=off, loose=loose)
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema) + ", sequence_id long, offset long"
-    return pieces.repartition(shares, F.xxhash64(key, "piece", "start")).mapInPandas(run, schema)
+    dealt = pieces.repartition(1) if shares == 1 else pieces.repartition(shares, F.xxhash64(key, "piece", "start"))
+    return dealt.mapInPandas(run, schema)
 
 
 def pack_documents(docs: DataFrame, path: str, end_id: int = 2, capacity: int = CAPACITY, with_ids: bool = True) -> DataFrame:
