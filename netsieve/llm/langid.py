@@ -141,15 +141,22 @@ def held_out(key: str) -> F.Column:
     return (F.crc32(F.col(key).cast("string").cast("binary")) % 4) == 2
 
 
+def below(h: F.Column, sample: int, total: int) -> F.Column:
+    """Rows whose hash lies in a share that holds about twice the sample, so that tasks hand on that much in all."""
+    return F.pmod(h, F.lit(1 << 40)) < int((1 << 40) * min(1.0, 2 * sample / max(1, total)))
+
+
 def training_rows(docs: DataFrame, sample: int = SAMPLE, text: str = "text", label: str = "lang", key: str = "doc_id") -> tuple[list[str], list[str]]:
     """A bounded sample of labelled texts that are not held out, chosen by a hash of the key; whole texts are cut to a
     stretch that holds the excerpts, at a place that the hash decides."""
     room = 4 * EXCERPT
+    labelled = docs.where(F.col(label).isNotNull() & ~F.coalesce(held_out(key), F.lit(False)))
+    h = F.xxhash64(F.lit(SEED), key)
     rows = (
-        docs.where(F.col(label).isNotNull() & (F.length(text) > 0) & ~F.coalesce(held_out(key), F.lit(False)))
-        .select(F.xxhash64(F.lit(SEED), key).alias("h"), F.col(label).alias("lang"), F.col(text).alias("t"))
+        labelled.where(below(h, sample, labelled.count()) & (F.length(text) > 0))
+        .select(h.alias("h"), F.col(label).alias("lang"), F.col(text).alias("t"))
         .withColumn("t", F.expr(f"substring(t, 1 + pmod(h, greatest(1, length(t) - {room})), {room})"))
-        .orderBy("h", "lang", "t")
+        .orderBy(F.pmod("h", F.lit(1 << 40)), "h", "lang", "t")
         .limit(sample)
         .collect()
     )

@@ -6,7 +6,8 @@ such words, the other on windows of ordinary text, and both follow the same stre
 ordinary window costs the same under either. A window is a word in a fixed frame. Every byte is written twice, the
 second time with its highest bit flipped: literals then cost double and matches the same, which makes even a short
 match visible in a length counted in bytes. A document's evidence is the largest savings of its windows under the
-toxic dictionary; a logistic curve fitted on further sampled rows, with the labels' true proportion, calibrates it.
+toxic dictionary; a logistic curve fitted across two halves of the sample, with the labels' true proportion,
+calibrates it.
 
 Null and empty texts have no evidence and score as such. Labels other than 0 and 1 are ignored; a document labelled
 twice counts as toxic if one label says so; without both labels every score is the share of toxic labels, or 0.
@@ -26,9 +27,9 @@ import pandas as pd
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
-from netsieve.llm.langid import held_out
+from netsieve.llm.langid import below, held_out
 
-TOXIC_ROWS, ORDINARY_ROWS = 1600, 3200  # labelled rows that training reads at most; half build, half calibrate
+TOXIC_ROWS, ORDINARY_ROWS = 1200, 2400  # labelled rows that training reads at most
 EXCERPT = 6000  # characters of a training row
 GRAM, SHARED = 5, 4  # bytes of the strings counted; bytes a window must share with the dictionary to gain from it
 DICTIONARY, COMMON = 3000, 30000
@@ -79,6 +80,7 @@ class Savings:
     """Bytes that a window saves under the toxic dictionary; 0 where it shares nothing with it."""
 
     def __init__(self, common: bytes, toxic: bytes, ordinary: bytes):
+        toxic, ordinary = toxic or b" ", ordinary or b" "
         spec = zstandard.ZstdCompressionParameters.from_level(
             LEVEL, source_size=128, dict_size=2 * (len(common) + DICTIONARY), min_match=4, write_content_size=0, write_checksum=0, write_dict_id=0, format=zstandard.FORMAT_ZSTD1_MAGICLESS
         )
@@ -152,23 +154,29 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, share: float) -> np.ndarray:
     return w
 
 
-def train(toxic: list[str], ordinary: list[str], share: float, seed: int = 5) -> Model:
-    """Even rows build the dictionaries, odd rows calibrate."""
-    rng = random.Random(seed)
-    bad, good = [windows_of(t) for t in dict.fromkeys(toxic)], [windows_of(t) for t in dict.fromkeys(ordinary)]
-    words = [w for w, n in sorted(marked_words(bad[::2], good[::2]).items()) for _ in range(min(n, 50))]
+def dictionaries(bad: list[list[bytes]], good: list[list[bytes]], rng: random.Random) -> tuple[bytes, bytes, bytes]:
+    """Common stretch, toxic and ordinary dictionary of some documents' words."""
+    words = [w for w, n in sorted(marked_words(bad, good).items()) for _ in range(min(n, 50))]
     rng.shuffle(words)
     toxic_windows = [b" " + b" ".join(words[i : i + 6]) + b" " for i in range(0, len(words), 6)]
-    plain = [b" " + b" ".join(w[i : i + 8]) + b" " for w in good[::2] for i in range(0, len(w), 32)]
+    plain = [b" " + b" ".join(w[i : i + 8]) + b" " for w in good for i in range(0, len(w), 32)]
     rng.shuffle(plain)
-    common = b"".join(plain)[:COMMON]
-    bad_dict = trained(toxic_windows, DICTIONARY) if toxic_windows else b""
-    good_dict = trained(plain[-4000:], DICTIONARY) if plain else b""
-    savings = Savings(common, bad_dict, good_dict)
-    kept_bad, kept_good = bad[1::2] or bad, good[1::2] or good
-    x = np.array([evidence(w, savings) for w in kept_bad + kept_good])
-    y = np.array([1] * len(kept_bad) + [0] * len(kept_good))
-    return Model(common, bad_dict, good_dict, tuple(map(float, fit_logistic(x, y, share))))
+    toxic = trained(toxic_windows, DICTIONARY) if toxic_windows else b""
+    return b"".join(plain)[:COMMON], toxic, trained(plain[-4000:], DICTIONARY) if plain else b""
+
+
+def train(toxic: list[str], ordinary: list[str], share: float, seed: int = 5) -> Model:
+    """Dictionaries of all rows. The curve is fitted on evidence that each half of the rows gets from dictionaries of the
+    other half, so that no row is judged by itself."""
+    rng = random.Random(seed)
+    bad, good = [windows_of(t) for t in dict.fromkeys(toxic)], [windows_of(t) for t in dict.fromkeys(ordinary)]
+    x, y = [], []
+    for half in (0, 1):
+        savings = Savings(*dictionaries(bad[half::2], good[half::2], rng))
+        for docs, mark in ((bad[1 - half :: 2], 1), (good[1 - half :: 2], 0)):
+            x += [evidence(w, savings) for w in docs]
+            y += [mark] * len(docs)
+    return Model(*dictionaries(bad, good, rng), tuple(map(float, fit_logistic(np.array(x), np.array(y), share))))
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, text: str, key: str) -> tuple[list[str], list[str], float]:
@@ -178,7 +186,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, text: str, key: str) ->
     n = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
     side = {}
     for mark, most in ((1, TOXIC_ROWS), (0, ORDINARY_ROWS)):
-        for r in known.where(F.col("toxic") == mark).orderBy(F.xxhash64(key), key).limit(most).select(key).collect():
+        h = F.xxhash64(key)
+        some = known.where((F.col("toxic") == mark) & below(h, most, n.get(mark, 0)))
+        for r in some.orderBy(F.pmod(h, F.lit(1 << 40)), key).limit(most).select(key).collect():
             side[r[0]] = mark
     if not side:
         return [], [], 0.0

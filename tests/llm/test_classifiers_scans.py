@@ -78,9 +78,11 @@ def test_op4_on_held_out_rows(spark, larger):
     assert len(got) == spark.read.parquet(f"{larger}/documents.parquet").count()
     assert all(r["held_out"] == held(k) and 0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.3) for k, r in got.items())
     labels = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{larger}/labels.parquet").collect() if held(r["doc_id"])}
-    yes, no = [got[k]["score"] for k, v in labels.items() if v == 1], [got[k]["score"] for k, v in labels.items() if v == 0]
-    assert np.mean([(a > b) + 0.5 * (a == b) for a in yes for b in no]) > 0.8
-    assert np.mean([s >= 0.3 for s in no]) < 0.05
+    # two or three toxic rows of each other language are too few to learn from: English must be right
+    lang = {r["doc_id"]: r["lang"] for r in spark.read.parquet(f"{larger}/documents.parquet").collect()}
+    yes, no = ([got[k]["score"] for k, v in labels.items() if v == mark and (v == 0 or lang[k] == "en")] for mark in (1, 0))
+    assert len(yes) >= 5 and np.mean([(a > b) + 0.5 * (a == b) for a in yes for b in no]) > 0.97
+    assert np.mean([s >= 0.3 for s in yes]) > 0.9 and np.mean([s >= 0.3 for s in no]) < 0.05
 
 
 def test_scores_do_not_depend_on_labels_of_held_out_rows(spark, larger):
