@@ -58,8 +58,14 @@ def ratio(num: Column, den: Column) -> Column:
     return num.cast("double") / F.greatest(den.cast("double"), F.lit(1.0))
 
 
+def finite_to_null(c: Column) -> Column:
+    """The number, NULL where it is missing, NaN or infinite."""
+    return F.when(finite(c), c.cast("double"))
+
+
 def clip(c: Column, lo: float, hi: float) -> Column:
-    return F.least(F.greatest(c, F.lit(float(lo))), F.lit(float(hi)))
+    """Held between two bounds. A missing value stays missing: it must never read as a bound."""
+    return F.when(present(c), F.least(F.greatest(c, F.lit(float(lo))), F.lit(float(hi))))
 
 
 def rate(flag: Column) -> Column:

@@ -7,7 +7,7 @@ from dataclasses import asdict, dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from netsieve.functions.guards import col, nan_to_null
+from netsieve.functions.guards import col, finite_to_null
 from netsieve.operators.ranking import exact_quantiles
 
 
@@ -21,10 +21,10 @@ class Scaler:
     stds: list[float]
 
     def expressions(self) -> list[Column]:
-        """Scaled features, in order, with missing values replaced by the median."""
+        """Scaled features, in order, with missing and infinite values replaced by the median."""
         out = []
         for c, med, mean, std in zip(self.columns, self.medians, self.means, self.stds):
-            x = F.coalesce(nan_to_null(col(c)), F.lit(float(med)))
+            x = F.coalesce(finite_to_null(col(c)), F.lit(float(med)))
             out.append((x - F.lit(float(mean))) / F.lit(float(std)))
         return out
 
@@ -42,11 +42,12 @@ class Scaler:
 
 def fit_scaler(df: DataFrame, columns: Sequence[str], impute: bool = True) -> Scaler:
     """Exact medians, then means and deviations of the imputed columns in one aggregate. A constant column is
-    divided by 1. ``impute=False`` skips the medians and fills with the mean, which changes neither statistic."""
+    divided by 1. ``impute=False`` skips the medians and fills with the mean, which changes neither statistic.
+    Infinite values count as missing: one of them would make every mean and deviation useless."""
     columns = list(columns)
-    x = {c: nan_to_null(col(c)) for c in columns}
+    x = {c: finite_to_null(col(c)) for c in columns}
     if impute:
-        medians = {c: v[0] for c, v in exact_quantiles(df, columns, [0.5]).items()}
+        medians = {c: v[0] for c, v in exact_quantiles(df.select(*[e.alias(c) for c, e in x.items()]), columns, [0.5]).items()}
     else:
         row = df.agg(*[F.avg(x[c]).alias(f"m{i}") for i, c in enumerate(columns)]).first()
         medians = {c: row[f"m{i}"] for i, c in enumerate(columns)}

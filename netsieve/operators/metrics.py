@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from netsieve.functions.guards import col, gt, nan_to_null, ratio
 from netsieve.operators.ranking import exact_quantiles, running_totals
+from netsieve.session import broadcast_if_small
 
 
 def confusion(df: DataFrame, truth: str, pred: str) -> DataFrame:
@@ -196,7 +197,7 @@ def class_weights(df: DataFrame, label: str, power: float | None = None) -> Data
 
 def with_class_weight(df: DataFrame, label: str, power: float | None = None, out: str = "weight") -> DataFrame:
     w = class_weights(df, label, power).select("_class", F.col("_w").alias(out))
-    return df.join(w, col(label).eqNullSafe(F.col("_class")), "left").drop("_class")
+    return df.join(broadcast_if_small(w, "weights"), col(label).eqNullSafe(F.col("_class")), "left").drop("_class")
 
 
 # ---- run percentiles -----------------------------------------------------------------------------------------

@@ -10,6 +10,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from netsieve.functions.guards import col
+from netsieve.session import broadcast_if_small
 
 
 def find_field(columns: Sequence[str], name: str) -> str | None:
@@ -93,9 +94,9 @@ def rule_hits(df: DataFrame, rules: Sequence[Mapping], tenant: Column) -> Column
 def is_suppressed(df: DataFrame, suppressions: DataFrame, tenant: str | None, now_ts: int, out: str = "_suppressed") -> DataFrame:
     """Flag rows that an unexpired suppression covers.
 
-    Every branch is an equi join against distinct keys, so a row never multiplies and no branch compares all pairs:
-    IP and label match on value, a subnet matches on the row IP's prefix of the same length. Spark broadcasts the key
-    tables while they are small and shuffles on the key beyond that.
+    Rows are reduced to their distinct combinations of address, label and tenant. Each combination lists what could
+    cover it (its IP, its label, its IP's prefixes of the lengths in use, for all tenants and for its own), one equi
+    join finds the suppressions among them, and the covered combinations are joined back, broadcast after a count.
     """
     tid = F.col("tenant_id").cast("string")
     live = suppressions.where(F.col("until_ts").isNull() | (F.col("until_ts") > F.lit(now_ts))).select(
@@ -115,23 +116,19 @@ def is_suppressed(df: DataFrame, suppressions: DataFrame, tenant: str | None, no
         r[0] for r in live.where(F.col("kind") == "subnet").select(F.length("value")).distinct().collect() if r[0] is not None
     )
     base_ip = F.coalesce(ip_field.cast("string"), F.lit(""))
-    probes: list[tuple[str, Column, Column]] = [("ip", ip, F.lit(True)), ("label", label, F.lit(True))]
+    probe = lambda kind, value, scope: F.struct(F.lit(kind).alias("kind"), value.alias("value"), scope.alias("scope"))
+    shape = F.to_json(F.struct(ip.alias("ip"), label.alias("label"), base_ip.alias("base"), own.alias("own")))
+    shapes = df.select(shape.alias("_t"), ip.alias("ip"), label.alias("label"), base_ip.alias("base"), own.alias("own")).distinct()
+    scopes = [F.lit(""), F.col("own")]
+    probes = [probe(kind, F.col(kind), s) for kind in ("ip", "label") for s in scopes]
     for n in lengths:
-        probes.append(("subnet", F.when(F.length(base_ip) >= n, F.substring(base_ip, 1, n)), F.length("value") == n))
-    names, marks, res = list(df.columns), [], df
-    for i, (kind, value, which) in enumerate(probes):
-        keys = live.where((F.col("kind") == kind) & which).select("value", "scope").distinct()
-        for j, scope in enumerate((F.lit(""), own)):
-            mark = f"_m{i}_{j}"
-            scoped = keys.where(F.col("scope") == "") if j == 0 else keys.where(F.col("scope") != "")
-            side = scoped.select(F.col("value").alias(f"_v{mark}"), F.col("scope").alias(f"_s{mark}"), F.lit(True).alias(mark))
-            on = value == F.col(f"_v{mark}")
-            if j == 1:
-                on = on & (scope == F.col(f"_s{mark}"))
-            res = res.join(side, on, "left").drop(f"_v{mark}", f"_s{mark}")
-            marks.append(mark)
-    flag = F.coalesce(*[F.col(m) for m in marks], F.lit(False))
-    return res.withColumn(out, flag).select(*[col(c) for c in names], F.col(out))
+        prefix = F.when(F.length("base") >= n, F.substring("base", 1, n))
+        probes += [probe("subnet", prefix, s) for s in scopes]
+    asked = shapes.select("_t", F.explode(F.array(*probes)).alias("p")).where("p.value IS NOT NULL AND p.scope IS NOT NULL")
+    keys = live.where("value IS NOT NULL").distinct()
+    hit = asked.select("_t", "p.*").join(keys, ["kind", "value", "scope"]).select("_t").distinct().withColumn("_hit", F.lit(True))
+    res = df.withColumn("_t", shape).join(broadcast_if_small(hit, "suppressed"), "_t", "left")
+    return res.withColumn(out, F.coalesce("_hit", F.lit(False))).select(*[col(c) for c in df.columns], F.col(out))
 
 
 def enrich(df: DataFrame, suppressions: DataFrame, rules: Sequence[Mapping], tenant: str | None, now_ts: int) -> DataFrame:
@@ -164,7 +161,7 @@ def effective_settings(df: DataFrame, tenant: str, settings: DataFrame, keys: Ma
         F.col("tenant_id").alias("_tenant"),
         *[F.when(F.trim(col(k).cast("string")) != "", col(k)).alias(f"_own_{k}") for k in stored],
     )
-    joined = df.join(own, col(tenant) == F.col("_tenant"), "left")
+    joined = df.join(broadcast_if_small(own, "settings"), col(tenant) == F.col("_tenant"), "left")
     merged = {}
     for k, default in keys.items():
         options = [F.col(f"_own_{k}"), shared.getField(k)] if k in stored else []

@@ -5,9 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F
 
 from netsieve.functions.guards import col
 from netsieve.operators.triage import minmax_score
@@ -52,20 +50,12 @@ def nearest_distance(features: Sequence[Column], prototypes: Prototypes) -> Colu
 
 
 def nearest_distance_vector(vector: Column, prototypes: Prototypes) -> Column:
-    """The same for an array column, a block of rows at a time (one matrix product per Arrow batch)."""
-    means = np.asarray(prototypes.means, dtype=np.float64)
-
-    @F.pandas_udf(T.DoubleType())
-    def nearest(v: pd.Series) -> pd.Series:
-        if not len(v):
-            return pd.Series([], dtype="float64")
-        x = np.asarray(v.tolist(), dtype=np.float64)
-        best = np.full(len(x), np.inf)
-        for m in means:
-            best = np.minimum(best, ((x - m) ** 2).sum(axis=1))
-        return pd.Series(np.sqrt(best))
-
-    return nearest(vector)
+    """The same for an array column. NULL for a NULL vector, one with a NULL component or one of another length."""
+    squares = []
+    for mean in prototypes.means:
+        gaps = F.zip_with(vector.cast("array<double>"), F.array(*[F.lit(float(m)) for m in mean]), lambda x, m: (x - m) * (x - m))
+        squares.append(F.aggregate(gaps, F.lit(0.0), lambda total, x: total + x))
+    return F.sqrt(F.least(*squares) if len(squares) > 1 else squares[0])
 
 
 def score_open_set(df: DataFrame, distance: Column, lo: float | None = None, hi: float | None = None) -> DataFrame:

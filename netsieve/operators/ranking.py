@@ -15,7 +15,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from netsieve.functions.guards import col, nan_to_null
-from netsieve.session import materialize
+from netsieve.session import broadcast_if_small, materialize
 
 # Sketch accuracy, and how many distinct values of one column may be collected to read a rank off.
 ACCURACY = 10_000
@@ -55,8 +55,18 @@ def _locate(base: DataFrame, todo: list[_Range]) -> list[tuple[_Range, int, list
     return [(t, below[f"b{i}"], sorted(inside.get(i, []))) for t, i in zip(todo, which)]
 
 
-def _narrow(base: DataFrame, todo: list[_Range]) -> list[_Range]:
-    """Ranges cut to about 1/250 of their rows: one pass counts what lies below and sketches what lies inside."""
+def _reopen(t: _Range, below: int, inside: int, ends: dict[str, tuple[int, float, float]]) -> _Range:
+    """The side of a range on which its rank lies, when a sketch has missed it."""
+    n, lowest, highest = ends[t.column]
+    if t.rank < below:
+        return _Range(t.column, t.rank, lowest, t.lo, below)
+    return _Range(t.column, t.rank, t.hi, highest, n - below - inside)
+
+
+def _narrow(base: DataFrame, todo: list[_Range], ends: dict[str, tuple[int, float, float]]) -> list[_Range]:
+    """Ranges cut to about 1/250 of their rows: one pass counts what lies below and sketches what lies inside.
+
+    ``ends``: rows, minimum and maximum of each column, for ranges that turn out not to hold their rank."""
     aggs = []
     for i, t in enumerate(todo):
         x = F.col(t.column)
@@ -70,13 +80,14 @@ def _narrow(base: DataFrame, todo: list[_Range]) -> list[_Range]:
     for i, t in enumerate(todo):
         below, n, q = got[f"b{i}"], got[f"n{i}"], got[f"q{i}"]
         if not below <= t.rank < below + n:
-            out.append(t)  # outside: _locate reports it and the range is reopened
+            out.append(_reopen(t, below, n, ends))
             continue
         at = int((t.rank - below) / n * (len(GRID) - 1))
         lo, hi = q[max(0, at - 1)], q[min(len(GRID) - 1, at + 2)]
         # A value that fills the range cannot be cut further, nor need it be: it is one distinct value.
         rows = 1.0 if lo == hi else n * 4.0 / (len(GRID) - 1)
-        out.append(_Range(t.column, t.rank, lo, hi, min(rows, t.rows / 2)))
+        same = (lo, hi) == (t.lo, t.hi)  # so few distinct values that the grid cannot tell them apart
+        out.append(_Range(t.column, t.rank, lo, hi, 1.0 if same else rows))
     return out
 
 
@@ -98,11 +109,13 @@ def _select(base: DataFrame, probs: dict[str, Sequence[float]], ranks_of: Callab
             whole = n * len(probs) <= small
             lo, hi = (first[f"lo_{c}"], first[f"hi_{c}"]) if whole else first[f"q_{c}"][2 * i:2 * i + 2]
             todo += [_Range(c, r, lo, hi, n if whole else n * 3 * slack) for r in sorted(set(ranks))]
+    ends = {c: (counts[c], first[f"lo_{c}"], first[f"hi_{c}"]) for c in probs}
     found: dict[str, dict[int, float]] = {c: {} for c in probs}
     while todo:
-        while any(t.rows > small for t in todo):
-            wide = [t for t in todo if t.rows > small]
-            todo = [t for t in todo if t.rows <= small] + _narrow(base, wide)
+        share = max(1.0, small / len(todo))  # all ranges together stay within the budget
+        while any(t.rows > share for t in todo):
+            wide = [t for t in todo if t.rows > share]
+            todo = [t for t in todo if t.rows <= share] + _narrow(base, wide, ends)
         again = []
         for t, below, inside in _locate(base, todo):
             total = below
@@ -112,12 +125,7 @@ def _select(base: DataFrame, probs: dict[str, Sequence[float]], ranks_of: Callab
                     found[t.column][t.rank] = value
                     break
             else:
-                # The sketch's range missed the rank: continue on the side where it lies.
-                n = counts[t.column]
-                if t.rank < below:
-                    again.append(_Range(t.column, t.rank, first[f"lo_{t.column}"], t.lo, n))
-                else:
-                    again.append(_Range(t.column, t.rank, t.hi, first[f"hi_{t.column}"], n))
+                again.append(_reopen(t, below, total - below, ends))
         todo = again
     return counts, found
 
@@ -129,7 +137,7 @@ def exact_quantiles(
 
     A sketch pass brackets every wanted rank; brackets with more than ``small`` rows are narrowed 250-fold per pass;
     a last pass collects the few distinct values left and counts what lies below them. No pass holds more than
-    sketches, counts, or ``small`` values per rank. Returns None for a column without values. ``stage`` writes the
+    sketches, counts, or ``small`` values in all. Returns None for a column without values. ``stage`` writes the
     columns once before the passes: for scores, which would otherwise be computed in each pass.
     """
     probs = [float(p) for p in probs]
@@ -247,7 +255,8 @@ def stratified_split(
 
     Rows are never ranked as a whole. Counts per (stratum, hash prefix) show in which prefix each cut falls; only the
     rows of those prefixes are ranked, which gives one cut hash per stratum and share. The table itself is then
-    labelled by comparing hashes with its stratum's cuts: one broadcastable join, no shuffle of rows.
+    labelled by comparing hashes with its stratum's cuts: they are broadcast after a count, so rows are not shuffled
+    unless there are millions of strata.
     """
     h = hash_key(seed, *[col(k) for k in key])
     stratum = (F.coalesce(col(strata).cast("string"), F.lit("\u0000")) if strata else F.lit("")).alias("_st")
@@ -279,7 +288,7 @@ def stratified_split(
     return (
         df.withColumn("_h", h)
         .withColumn("_st", stratum)
-        .join(cuts, F.col("_st") == F.col("_cst"), "left")
+        .join(broadcast_if_small(cuts, "cuts"), F.col("_st") == F.col("_cst"), "left")
         .withColumn(out, name.otherwise(F.lit(rest)))
         .drop("_h", "_st", "_cst", *[f"_cut{i}" for i in range(len(shares))])
     )

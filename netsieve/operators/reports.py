@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from netsieve.functions.guards import col, ratio
 from netsieve.operators.metrics import classification_report
@@ -15,15 +15,19 @@ from netsieve.operators.triage import ATTACK_UNCERTAIN
 def merge_scores(left: DataFrame, right: DataFrame, key: Sequence[str], prefix: str = "anomaly_") -> DataFrame:
     """Join two score tables of the same rows by key; right-hand columns get the prefix.
 
-    Row tables have no position in Spark, so the key replaces it. A key that one side lacks stops the job.
+    Row tables have no position in Spark, so the key replaces it. A key that one side lacks, or that a side has twice,
+    stops the job. The repeats are counted in the partitions the join needs anyway.
     """
-    l = left.withColumn("_l", F.lit(1))
-    r = right.select(*[col(k) for k in key], *[col(c).alias(prefix + c) for c in right.columns if c not in key]).withColumn("_r", F.lit(1))
+    times = F.count(F.lit(1)).over(W.partitionBy(*[col(k) for k in key]))
+    l = left.withColumn("_l", times)
+    r = right.select(*[col(k) for k in key], *[col(c).alias(prefix + c) for c in right.columns if c not in key]).withColumn("_r", times)
     joined = l.join(r, list(key), "full_outer")
-    lonely = F.col("_l").isNull() | F.col("_r").isNull()
-    error = F.raise_error(F.concat(F.lit("row in only one of the score tables: "), F.concat_ws(",", *[col(k).cast("string") for k in key])))
+    fault = F.when(F.col("_l").isNull() | F.col("_r").isNull(), F.lit("row in only one of the score tables: ")).when(
+        (F.col("_l") > 1) | (F.col("_r") > 1), F.lit("key repeated in a score table: ")
+    )
+    error = F.raise_error(F.concat(fault, F.concat_ws(",", *[col(k).cast("string") for k in key])))
     # The check is part of the filter, so column pruning cannot remove it.
-    return joined.where(F.when(lonely, error.cast("boolean")).otherwise(F.lit(True))).drop("_l", "_r")
+    return joined.where(F.when(fault.isNotNull(), error.cast("boolean")).otherwise(F.lit(True))).drop("_l", "_r")
 
 
 def shadow_report(pred: DataFrame, analyst: DataFrame, case_id: str = "case_id", pred_col: str = "decision_label", analyst_col: str = "analyst_label") -> DataFrame:

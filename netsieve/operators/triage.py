@@ -76,7 +76,8 @@ def suspected_zero_day_pct(
     """0-100 blend of how far a score exceeds the threshold and how unsure the classifier is.
 
     The scale is the distance from the threshold to the reference maximum; the 99th percentile the definition also
-    mentions never exceeds the maximum, so it needs no pass.
+    mentions never exceeds the maximum, so it needs no pass. A missing score or probability gives NULL, which passes
+    no threshold.
     """
     wa, wu = normalised_weights(weight_anomaly, weight_uncertainty)
     spread = F.greatest(reference_max - threshold, F.lit(1e-9))

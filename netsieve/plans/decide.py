@@ -24,13 +24,13 @@ def f1(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "f2_softmax_temperature",
-    """WITH v AS (SELECT vec_id, [CAST(embedding[1] AS DOUBLE) * 10, CAST(embedding[2] AS DOUBLE) * 10, CAST(embedding[3] AS DOUBLE) * 10] AS z FROM embeddings),
+    """WITH v AS (SELECT vec_id, [CAST(x AS DOUBLE) * 10 for x in embedding] AS z FROM embeddings),
     e AS (SELECT vec_id, z, list_max(z) AS m FROM v)
-    SELECT vec_id, round(1.0 / (exp((z[1] - m) / 2.5) + exp((z[2] - m) / 2.5) + exp((z[3] - m) / 2.5)), 6) AS max_p,
+    SELECT vec_id, round(1.0 / list_sum([exp((x - m) / 2.5) for x in z]), 6) AS max_p,
       round(1.0 / (1.0 + exp(-abs(z[1]))), 6) AS max_p_binary FROM e""",
 )
 def f2(spark: SparkSession, sf: str) -> DataFrame:
-    z = F.transform(F.slice("embedding", 1, 3), lambda x: x.cast("double") * 10.0)
+    z = F.transform("embedding", lambda x: x.cast("double") * 10.0)
     return table(spark, sf, "embeddings").select(
         "vec_id", F.round(tr.softmax_max(z, 2.5), 6).alias("max_p"), F.round(tr.softmax_max(F.slice(z, 1, 1)), 6).alias("max_p_binary")
     )
@@ -307,21 +307,16 @@ def a2(spark: SparkSession, sf: str) -> DataFrame:
 
 
 RISK = """counts AS (SELECT tenant_id, count(*) AS rows_scored, count(*) FILTER (WHERE decision_label = 'KnownAttack') AS known_attack,
-  count(*) FILTER (WHERE decision_label = 'AttackUncertain') AS attack_uncertain FROM decisions WHERE tenant_id <> 3 OR decision_label = 'BenignOrLowRisk' GROUP BY tenant_id)"""
+  count(*) FILTER (WHERE decision_label = 'AttackUncertain') AS attack_uncertain FROM decisions GROUP BY tenant_id)"""
 LEVEL = "CASE WHEN known_attack = 0 AND attack_uncertain = 0 THEN 'low' ELSE 'elevated' END"
 
 
-def _summary_rows(spark: SparkSession, sf: str) -> DataFrame:
-    """Tenant 3 without attacks, so that its risk is low."""
-    return event_decisions(spark, sf).where((F.col("tenant_id") != 3) | (F.col("decision_label") == "BenignOrLowRisk"))
-
-
 @query(
     "a20_risk_summary",
     with_(EVENT_DECISIONS, RISK, select=f"SELECT tenant_id, rows_scored, known_attack, attack_uncertain, {LEVEL} AS risk_level, CASE WHEN known_attack + attack_uncertain > 0 THEN 'present' ELSE 'none' END AS attack_indicators FROM counts"),
 )
 def a20(spark: SparkSession, sf: str) -> DataFrame:
-    out = tr.summarize_risk(_summary_rows(spark, sf), ["tenant_id"])
+    out = tr.summarize_risk(event_decisions(spark, sf), ["tenant_id"])
     return out.select("tenant_id", "rows_scored", "known_attack", "attack_uncertain", "risk_level", "attack_indicators")
 
 
@@ -330,7 +325,7 @@ def a20(spark: SparkSession, sf: str) -> DataFrame:
     with_(EVENT_DECISIONS, RISK, select=f"SELECT tenant_id, {LEVEL} AS risk_level, CASE WHEN known_attack + attack_uncertain > 0 THEN 'potential_danger_review_recommended' ELSE 'no_significant_danger_in_window' END AS danger_verdict FROM counts"),
 )
 def a21(spark: SparkSession, sf: str) -> DataFrame:
-    return tr.add_risk(tr.decision_counts(_summary_rows(spark, sf), ["tenant_id"])).select("tenant_id", "risk_level", "danger_verdict")
+    return tr.add_risk(tr.decision_counts(event_decisions(spark, sf), ["tenant_id"])).select("tenant_id", "risk_level", "danger_verdict")
 
 
 @query(

@@ -122,13 +122,13 @@ def a7(spark: SparkSession, sf: str) -> DataFrame:
 DRIFT_COLUMNS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linenumber"]
 DRIFT = "d AS (" + " UNION ALL ".join(
     f"""SELECT '{c}' AS "column", avg({c}) FILTER (WHERE l_returnflag = 'N') AS ref_mean, stddev_pop({c}) FILTER (WHERE l_returnflag = 'N') AS ref_std,
-    avg({c}) FILTER (WHERE l_returnflag = 'A' AND l_linenumber > 2) AS sample_mean, stddev_pop({c}) FILTER (WHERE l_returnflag = 'A' AND l_linenumber > 2) AS sample_std FROM lineitem""" for c in DRIFT_COLUMNS
+    avg({c}) FILTER (WHERE l_returnflag <> 'N') AS sample_mean, stddev_pop({c}) FILTER (WHERE l_returnflag <> 'N') AS sample_std FROM lineitem""" for c in DRIFT_COLUMNS
 ) + """), shift AS (SELECT *, abs(sample_mean - ref_mean) / CASE WHEN abs(ref_mean) > 1e-12 THEN abs(ref_mean) ELSE 1 END AS s FROM d)"""
 
 
 def _drift_sides(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     li = table(spark, sf, "lineitem")
-    return li.where(F.col("l_returnflag") == "N"), li.where((F.col("l_returnflag") == "A") & (F.col("l_linenumber") > 2))
+    return li.where(F.col("l_returnflag") == "N"), li.where(F.col("l_returnflag") != "N")
 
 
 @query("a8_numeric_drift", with_(DRIFT, select='SELECT "column", round(ref_mean, 4) AS ref_mean, round(ref_std, 4) AS ref_std, round(sample_mean, 4) AS sample_mean, round(sample_std, 4) AS sample_std, round(s, 6) AS abs_mean_shift_ratio FROM shift'))
@@ -184,12 +184,12 @@ def a13(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "a16_class_weights",
-    """WITH c AS (SELECT event_type, count(*) AS n FROM events WHERE event_type <> 'view' OR user_id % 3 = 0 GROUP BY 1), t AS (SELECT sum(n) AS total, count(*) AS k FROM c),
+    """WITH c AS (SELECT event_type, count(*) AS n FROM events GROUP BY 1), t AS (SELECT sum(n) AS total, count(*) AS k FROM c),
     b AS (SELECT event_type, n, total / (k * n) AS balanced FROM c, t), m AS (SELECT sum(n * sqrt(balanced)) / sum(n) AS mean FROM b)
-    SELECT event_id, round(balanced, 6) AS balanced, round(sqrt(balanced) / mean, 6) AS rare FROM events JOIN b USING (event_type), m WHERE event_type <> 'view' OR user_id % 3 = 0""",
+    SELECT event_id, round(balanced, 6) AS balanced, round(sqrt(balanced) / mean, 6) AS rare FROM events JOIN b USING (event_type), m""",
 )
 def a16(spark: SparkSession, sf: str) -> DataFrame:
-    rows = table(spark, sf, "events").where((F.col("event_type") != "view") | (F.col("user_id") % 3 == 0)).select("event_id", "event_type")
+    rows = table(spark, sf, "events").select("event_id", "event_type")
     both = me.with_class_weight(me.with_class_weight(rows, "event_type", None, "balanced"), "event_type", 0.5, "rare")
     return both.select("event_id", *r6("balanced", "rare"))
 
@@ -379,7 +379,7 @@ def j2(spark: SparkSession, sf: str) -> DataFrame:
     return rp.shadow_report(pred, ann).select("kind", "label", *r6("precision", "recall", "f1"), "support")
 
 
-ARTIFACTS = "artifacts AS (SELECT l_orderkey AS job_id, 'part ' || max(l_partkey) AS parquet_path FROM lineitem WHERE l_orderkey % 2 = 0 GROUP BY l_orderkey)"
+ARTIFACTS = "artifacts AS (SELECT l_orderkey AS job_id, 'part ' || max(l_partkey) AS parquet_path FROM lineitem GROUP BY l_orderkey)"
 
 
 @query(
@@ -387,7 +387,7 @@ ARTIFACTS = "artifacts AS (SELECT l_orderkey AS job_id, 'part ' || max(l_partkey
     with_(JOBS, ARTIFACTS, select="SELECT id, status, parquet_path FROM (SELECT * FROM jobs WHERE job_type = 'stream_collect' AND (tenant_id = 1 OR tenant_id IS NULL) ORDER BY id DESC LIMIT 50) j LEFT JOIN artifacts a ON a.job_id = j.id"),
 )
 def j3(spark: SparkSession, sf: str) -> DataFrame:
-    artifacts = table(spark, sf, "lineitem").where(F.col("l_orderkey") % 2 == 0).groupBy(F.col("l_orderkey").alias("job_id")).agg(F.concat(F.lit("part "), F.max("l_partkey")).alias("parquet_path"))
+    artifacts = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("job_id")).agg(F.concat(F.lit("part "), F.max("l_partkey")).alias("parquet_path"))
     return rp.stream_jobs(job_table(spark, sf), artifacts, "analyst", 1).select("id", "status", "parquet_path")
 
 
@@ -409,13 +409,13 @@ def t4(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "j7_compare_runs",
     with_(EVENT_DECISIONS, """a AS (SELECT decision_label AS label, count(*) AS n_a FROM decisions WHERE ts < '2024-01-15' GROUP BY 1),
-    b AS (SELECT decision_label AS label, count(*) AS n_b FROM decisions WHERE ts >= '2024-01-15' AND decision_label <> 'AttackUncertain' GROUP BY 1)""",
+    b AS (SELECT decision_label AS label, count(*) AS n_b FROM decisions WHERE ts >= '2024-01-15' GROUP BY 1)""",
     select="SELECT label, coalesce(n_a, 0) AS n_a, coalesce(n_b, 0) AS n_b FROM a FULL JOIN b USING (label)"),
 )
 def j7(spark: SparkSession, sf: str) -> DataFrame:
     d = event_decisions(spark, sf)
     cut = F.lit("2024-01-15 00:00:00").cast("timestamp_ntz")
-    return rp.compare_runs(d.where(F.col("ts") < cut), d.where((F.col("ts") >= cut) & (F.col("decision_label") != "AttackUncertain")))
+    return rp.compare_runs(d.where(F.col("ts") < cut), d.where(F.col("ts") >= cut))
 
 
 @query(

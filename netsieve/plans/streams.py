@@ -10,7 +10,7 @@ from netsieve.plans.prepare import LOG_FIELDS, LOG_SQL, log_view, write_log
 from netsieve.plans.registry import query
 from netsieve.plans.views import (
     EVENT_DECISIONS, KEEP, TO_FUSED, TO_OPEN, as_decisions, as_flows, contract, detector, event_decisions, flows,
-    fused, fused_sql, table, with_,
+    fused_sql, table, with_,
 )
 from netsieve.session import run_dir
 from netsieve.sources.conn_log import read_conn_log
@@ -28,25 +28,30 @@ def r1(spark: SparkSession, sf: str) -> DataFrame:
     options, d = st.stored_reference(contract(spark, sf), detector(spark, sf))
     base = run_dir(spark, "r1")
     q = st.start_scoring(flow_stream(spark, sf), d, KEEP, f"{base}/out", f"{base}/state", options=options)
-    st.run_once(q)
+    st.run_once(q, f"{base}/state")
     return st.read_output(spark, f"{base}/out").select("uid", "decision_label", "decision_risk_tier", "reason_codes")
 
 
-@query("r2_timed_collection")
+SESSION = """s AS (SELECT count(*) AS rows_scored, count(*) FILTER (WHERE decision_label = 'KnownAttack') AS known_attack,
+  count(*) FILTER (WHERE decision_label = 'AttackUncertain') AS attack_uncertain FROM fused)"""
+SESSION_COLUMNS = """SELECT rows_scored, known_attack, attack_uncertain, CASE WHEN rows_scored = 0 THEN 'unknown' WHEN known_attack + attack_uncertain > 0 THEN 'elevated' ELSE 'low' END AS risk_level,
+  CASE WHEN rows_scored = 0 THEN 'no_traffic_scored' WHEN known_attack + attack_uncertain > 0 THEN 'potential_danger_review_recommended' ELSE 'no_significant_danger_in_window' END AS danger_verdict FROM s"""
+
+
+@query("r2_timed_collection", with_(*TO_FUSED, SESSION, select=SESSION_COLUMNS))
 def r2(spark: SparkSession, sf: str) -> DataFrame:
-    """A polling session of a few seconds with alerts per batch, then its summary."""
+    """A polling session of a few seconds with alerts per batch, what had arrived finished, then its summary."""
     options, d = st.stored_reference(contract(spark, sf), detector(spark, sf))
     base = run_dir(spark, "r2")
-    q = st.start_scoring(
-        flow_stream(spark, sf), d, KEEP, f"{base}/out", f"{base}/state", options=options, alerts=f"{base}/alerts", poll_seconds=0.5
-    )
-    st.run_for(q, 5)
-    return st.session_summary(st.read_output(spark, f"{base}/out", q_schema(spark, sf)))
 
+    def start(poll: float | None):
+        return st.start_scoring(
+            flow_stream(spark, sf), d, KEEP, f"{base}/out", f"{base}/state", options=options, alerts=f"{base}/alerts", poll_seconds=poll
+        )
 
-def q_schema(spark: SparkSession, sf: str):
-    """Columns of a scored flow, so that a session without a finished batch reads as empty."""
-    return fused(spark, sf).select("decision_label", "supervised_prediction").schema
+    st.run_for(start, 5, f"{base}/state")
+    out = st.session_summary(st.read_output(spark, f"{base}/out"))
+    return out.select("rows_scored", "known_attack", "attack_uncertain", "risk_level", "danger_verdict")
 
 
 @query("r3_tail_log", LOG_SQL)
@@ -67,8 +72,8 @@ def r4(spark: SparkSession, sf: str) -> DataFrame:
     options, d = st.stored_reference(contract(spark, sf), detector(spark, sf))
     base = run_dir(spark, "r4")
     q = st.start_scoring(flow_stream(spark, sf), d, KEEP, f"{base}/out", f"{base}/state", options=options)
-    st.run_once(q)
-    return st.progress_rows(q).agg(F.max("rows_scored").alias("rows_scored"))
+    st.run_once(q, f"{base}/state")
+    return st.progress_rows(spark, f"{base}/state").agg(F.max("rows_scored").alias("rows_scored"))
 
 
 STRICT = {"min_p_attack_known": 0.8, "min_szd_uncertain": 45.0, "min_open_set_uncertain": 0.5}
@@ -128,5 +133,5 @@ def s11(spark: SparkSession, sf: str) -> DataFrame:
     options, d = st.stored_reference(contract(spark, sf), detector(spark, sf))
     base = run_dir(spark, "s11s")
     q = st.start_scoring(flow_stream(spark, sf), d, KEEP, f"{base}/out", f"{base}/state", options=options, alerts=f"{base}/alerts")
-    st.run_once(q)
+    st.run_once(q, f"{base}/state")
     return spark.read.schema("uid string, decision_label string").json(f"{base}/alerts").select("uid", "decision_label")

@@ -100,10 +100,10 @@ def _vector_columns() -> list:
     return [F.col("embedding")[i] for i in range(DIM)]
 
 
-@query("a11_class_means", with_(MEANS, select="SELECT CAST(label AS VARCHAR) AS class, round(m1, 6) AS first, round(m64, 6) AS last FROM means"))
+@query("a11_class_means", "SELECT CAST(label AS VARCHAR) AS class, i AS dim, round(avg(CAST(embedding[i] AS DOUBLE)), 6) AS mean FROM embeddings, range(1, 65) r(i) GROUP BY label, i")
 def a11(spark: SparkSession, sf: str) -> DataFrame:
     out = pt.class_means(table(spark, sf, "embeddings"), "label", _vector_columns())
-    return out.select("class", F.round(F.col("mean")[0], 6).alias("first"), F.round(F.col("mean")[DIM - 1], 6).alias("last"))
+    return out.select("class", F.posexplode("mean").alias("dim", "mean")).select("class", (F.col("dim") + 1).cast("bigint").alias("dim"), F.round("mean", 6).alias("mean"))
 
 
 @query("j8_nearest_prototype", with_(MEANS, DISTANCES, select="SELECT vec_id, round(d, 6) AS distance FROM nearest"))
@@ -129,7 +129,7 @@ TFIDF = f"""dt AS (SELECT doc_id, {TOKENS} AS t FROM documents), qt AS (SELECT i
 dg AS (SELECT doc_id, unnest(list_concat(t, [t[i] || ' ' || t[i + 1] for i in range(1, len(t))])) AS term FROM dt),
 qg AS (SELECT item_id, unnest(list_concat(t, [t[i] || ' ' || t[i + 1] for i in range(1, len(t))])) AS term FROM qt),
 dc AS (SELECT doc_id, term, count(*) AS tf FROM dg GROUP BY ALL), qc AS (SELECT item_id, term, count(*) AS tf FROM qg GROUP BY ALL),
-voc AS (SELECT term, count(*) AS df FROM dc GROUP BY term ORDER BY sum(tf) DESC, term LIMIT 20000),
+voc AS (SELECT term, count(*) AS df FROM dc GROUP BY term),
 idf AS (SELECT term, df, ln((1.0 + (SELECT count(*) FROM documents)) / (1.0 + df)) + 1.0 AS idf FROM voc),
 dr AS (SELECT doc_id, term, tf * idf AS w FROM dc JOIN idf USING (term)), qr AS (SELECT item_id, term, tf * idf AS w FROM qc JOIN idf USING (term)),
 dw AS (SELECT doc_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS w FROM dr), qw AS (SELECT item_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY item_id)) AS w FROM qr)"""

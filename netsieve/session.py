@@ -78,6 +78,13 @@ def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def broadcast_if_small(df: DataFrame, name: str, rows: int = 1_000_000) -> DataFrame:
+    """``df`` written once and read back, with a broadcast hint if it turns out to have at most ``rows`` rows. Beyond
+    that a join shuffles plain tables, whose hot keys adaptive execution can split."""
+    done = materialize(df, name)
+    return F.broadcast(done) if done.count() <= rows else done
+
+
 def broadcast_smaller(left: DataFrame, right: DataFrame, rows: int = 1_000_000) -> tuple[DataFrame, DataFrame]:
     """Both sides of a join, with a broadcast hint on one only if counting shows that it has at most ``rows`` rows."""
     if right.limit(rows + 1).count() <= rows:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Observation, functions as F
 
 from netsieve.functions.guards import col
 from netsieve.functions.text import redact_columns
@@ -19,12 +19,13 @@ def emit_alerts(df: DataFrame, path: str, only_known: bool = False, batch_id: in
     With a batch id (from ``foreachBatch``) the rows go to that batch's own folder, which a retry replaces: a
     repeated batch leaves the sink as it was.
     """
-    out = alerts(df, only_known)
+    seen = Observation()
+    out = alerts(df, only_known).observe(seen, F.count(F.lit(1)).alias("n"))
     if batch_id is None:
         out.write.mode("append").json(path)
     else:
         out.write.mode("overwrite").json(f"{path}/batch={batch_id}")
-    return out.count()
+    return seen.get.get("n", 0)
 
 
 def scored_events(df: DataFrame, tenant_id: int | None, created_at: int) -> DataFrame:
@@ -64,9 +65,10 @@ def alert_export(df: DataFrame, role: str, tenant_id: int | None) -> DataFrame:
     return seen.select(*ALERT_EXPORT).orderBy(F.col("id").desc())
 
 
-def audit_export(df: DataFrame, role: str, tenant_id: int | None) -> DataFrame:
+def audit_export(df: DataFrame, role: str, tenant_id: int | None, limit: int = AUDIT_LIMIT) -> DataFrame:
+    """The newest ``limit`` audit rows a user may see."""
     seen = df.where(tenant_scope(role, tenant_id, F.col("tenant_id")))
-    return seen.select(*AUDIT_EXPORT).orderBy(F.col("id").desc()).limit(AUDIT_LIMIT)
+    return seen.select(*AUDIT_EXPORT).orderBy(F.col("id").desc()).limit(limit)
 
 
 def bounded_detail(json: Column, limit: int = DETAIL_LIMIT, preview: int = DETAIL_PREVIEW) -> Column:
@@ -75,13 +77,16 @@ def bounded_detail(json: Column, limit: int = DETAIL_LIMIT, preview: int = DETAI
     return F.when(F.length(json) > limit, cut).otherwise(json)
 
 
-def history_rows(runs: DataFrame, detail: str, kind: str, row_count: str, actor: str, created_at: Column, tenant: Column | None = None) -> DataFrame:
+def history_rows(
+    runs: DataFrame, detail: str, kind: str, row_count: str, actor: str, created_at: Column, tenant: Column | None = None,
+    limit: int = DETAIL_LIMIT, preview: int = DETAIL_PREVIEW,
+) -> DataFrame:
     """One history row per job or micro-batch, the detail JSON bounded in length."""
     return runs.select(
         (tenant if tenant is not None else F.lit(None)).cast("bigint").alias("tenant_id"),
         F.lit(kind).alias("kind"), created_at.cast("bigint").alias("created_at"),
         col(row_count).cast("bigint").alias("row_count"),
-        bounded_detail(col(detail)).alias("detail_json"), F.lit(actor).alias("actor_username"),
+        bounded_detail(col(detail), limit, preview).alias("detail_json"), F.lit(actor).alias("actor_username"),
     )
 
 

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import json
+import time
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import replace
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, Observation, SparkSession, Window as W, functions as F
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from netsieve.functions.guards import col, nan_to_null
@@ -43,11 +45,11 @@ def start_scoring(
     thresholds: Mapping[str, float] | None = None, options: NoveltyOptions = NoveltyOptions(), alerts: str | None = None,
     only_known: bool = False, poll_seconds: float | None = None, name: str | None = None,
 ) -> StreamingQuery:
-    """Start a scoring query that appends decisions to ``output``.
+    """Start a scoring query that appends decisions to ``output``, and alerts as JSON lines if a folder is named.
 
-    Without alerts the Parquet sink commits each batch exactly once. With alerts every batch writes both sinks into
-    folders named by its id, which a repeated batch replaces, so the result is the same. ``poll_seconds`` keeps the
-    query running; None processes what is there and ends.
+    Every batch writes into folders named by its id, which a repeated batch replaces, so the result is the same however
+    often it runs, and notes its rows and end offset beside the checkpoint. ``poll_seconds`` keeps the query running;
+    None processes what is there and ends.
     """
     _check_streamable(d, options)
     scored = triage(source, d, keep, thresholds, options)
@@ -55,38 +57,68 @@ def start_scoring(
     writer = writer.trigger(availableNow=True) if poll_seconds is None else writer.trigger(processingTime=f"{max(0.5, poll_seconds)} seconds")
     if name:
         writer = writer.queryName(name)
-    if alerts is None:
-        return writer.format("parquet").option("path", output).start()
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{output}/batch={batch_id}")
-        done = batch.sparkSession.read.parquet(f"{output}/batch={batch_id}")
-        emit_alerts(done, alerts, only_known, batch_id)
+        seen = Observation()
+        place = f"{output}/batch={batch_id}"
+        batch.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(place)
+        if alerts is not None:
+            emit_alerts(batch.sparkSession.read.schema(batch.schema).parquet(place), alerts, only_known, batch_id)
+        _note_batch(batch.sparkSession, checkpoint, batch_id, seen.get.get("n", 0))
 
     return writer.foreachBatch(write).start()
 
 
-def run_once(query: StreamingQuery) -> int:
-    """Wait for a one-shot pass; returns the rows it read."""
+def _note_batch(spark: SparkSession, checkpoint: str, batch_id: int, rows: int) -> None:
+    """One row per batch, replaced when the batch is repeated. The source's end offset is the last line of the batch's
+    entry in the checkpoint, which keeps only the newest entries."""
+    lines = [r["value"] for r in spark.read.text(f"{checkpoint}/offsets/{batch_id}").collect()]
+    noted = spark.createDataFrame([(int(rows), lines[-1] if lines else None)], "rows bigint, end_offset string")
+    noted.coalesce(1).write.mode("overwrite").parquet(f"{checkpoint}-batches/batch_id={batch_id}")
+
+
+def noted_batches(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """Rows and end offset of every batch of a query, however many there were."""
+    schema = "rows bigint, end_offset string, batch_id bigint"
+    try:
+        return spark.read.schema(schema).parquet(f"{checkpoint}-batches")
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return spark.createDataFrame([], schema)
+        raise
+
+
+def rows_scored(spark: SparkSession, checkpoint: str) -> int:
+    return noted_batches(spark, checkpoint).agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
+
+
+def run_once(query: StreamingQuery, checkpoint: str) -> int:
+    """Wait for a one-shot pass, which fails if the query fails; returns the rows scored so far."""
     query.awaitTermination()
-    return sum(p["numInputRows"] for p in query.recentProgress)
+    return rows_scored(SparkSession.active(), checkpoint)
 
 
-def run_for(query: StreamingQuery, seconds: float) -> int:
-    """Let a polling query run for a while, then stop it; returns the rows it read."""
-    query.awaitTermination(int(max(1, seconds)))
-    rows = sum(p["numInputRows"] for p in query.recentProgress)
+def run_for(start: Callable[[float | None], StreamingQuery], seconds: float, checkpoint: str, poll_seconds: float = 0.5) -> int:
+    """Poll for a while, then finish what has arrived; returns the rows scored so far.
+
+    ``start(poll_seconds)`` starts the query on its checkpoint. After the time the polling query is stopped between two
+    batches, and a one-shot pass reads the rest, a batch that a stop may still have cut short included. A failed
+    query raises.
+    """
+    query = start(poll_seconds)
+    query.awaitTermination(max(1, int(seconds)))
+    while query.isActive and query.status["isTriggerActive"]:
+        time.sleep(0.1)
     query.stop()
-    return rows
+    if query.exception() is not None:
+        raise query.exception()
+    return run_once(start(None), checkpoint)
 
 
-def progress_rows(query: StreamingQuery) -> DataFrame:
-    """The query's recent batches as a table: batch id, rows so far, end offset of its source."""
-    spark, total, rows = SparkSession.active(), 0, []
-    for p in query.recentProgress:
-        total += p["numInputRows"]
-        rows.append((p["batchId"], total, str(p["sources"][0]["endOffset"])))
-    return spark.createDataFrame(rows, "batch_id bigint, rows_scored bigint, end_offset string")
+def progress_rows(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """All batches of a query as a table: batch id, rows so far, end offset of its source. One short row per batch."""
+    so_far = F.sum("rows").over(W.orderBy("batch_id"))
+    return noted_batches(spark, checkpoint).select("batch_id", so_far.alias("rows_scored"), "end_offset")
 
 
 def stored_reference(df: DataFrame, d: Detector) -> tuple[NoveltyOptions, Detector]:

@@ -279,3 +279,54 @@ def test_kpi_gate_defaults(spark):
     empty = spark.createDataFrame([], "metric string, value double")
     rows = {r["check"]: (r["actual"], r["passed"]) for r in rp.kpi_gate(empty, {"macro_f1_min": 0.5, "known_alert_rate_max": 0.1}).collect()}
     assert rows["macro_f1"] == (0.0, False) and rows["known_alert_rate"] == (1.0, False) and rows["worst_rare_f1"] == (1.0, True)
+
+
+def test_missing_and_infinite_values(spark):
+    from netsieve.functions.guards import clip
+    from netsieve.models.preprocess import fit_scaler
+    from netsieve.operators import prototypes as pt
+    from netsieve.operators.reports import merge_scores
+    from netsieve.operators.triage import suspected_zero_day_pct
+
+    nan, inf = float("nan"), float("inf")
+    df = spark.createDataFrame([(nan, 0.5), (None, 0.5), (3.0, None), (inf, 0.5), (-inf, 0.5), (3.0, 0.5)], "s double, p double")
+    assert [r[0] for r in df.select(clip(F.col("s"), 0, 2)).collect()] == [None, None, 2.0, 2.0, 0.0, 2.0]
+    pct = [r[0] for r in df.select(suspected_zero_day_pct(F.col("s"), F.lit(1.0), F.col("p"), F.lit(5.0))).collect()]
+    assert pct == [None, None, None, 75.0, 25.0, 50.0]
+    s = fit_scaler(df, ["s"])
+    assert s.medians == [3.0] and s.means == [3.0] and s.stds == [1.0]
+    assert [r[0] for r in df.select(s.expressions()[0]).collect()] == [0.0] * 6
+    vectors = spark.createDataFrame([([3.0, 4.0],), (None,), ([None, 1.0],), ([1.0],)], "v array<float>")
+    protos = pt.Prototypes(["a", "b"], [[0.0, 0.0], [9.0, 9.0]])
+    assert [r[0] for r in vectors.select(pt.nearest_distance_vector(F.col("v"), protos)).collect()] == [5.0, None, None, None]
+    one, two = spark.createDataFrame([(1, 0.5)], "k int, s double"), spark.createDataFrame([(1, 0.5), (1, 0.6)], "k int, s double")
+    assert merge_scores(one, one, ["k"]).count() == 1
+    for left, right in ((one, two), (two, one), (two, two)):
+        with pytest.raises(Exception, match="repeated"):
+            merge_scores(left, right, ["k"]).collect()
+
+
+def test_rank_outside_a_missed_range_is_found(spark, monkeypatch):
+    from netsieve.operators import ranking
+
+    df = spark.range(20000).selectExpr("CAST(id AS DOUBLE) AS x", "CAST(id % 7 AS DOUBLE) AS y")
+    real, missed = ranking._narrow, []
+
+    def off(base, todo, ends):
+        if not missed:
+            missed.append(1)
+            return [ranking._Range(t.column, t.rank, 1.0, 2.0, 5000.0) for t in todo]
+        return real(base, todo, ends)
+
+    monkeypatch.setattr(ranking, "_narrow", off)
+    got = ranking.exact_quantiles(df, ["x", "y"], [0.25, 0.5], small=8)
+    assert missed and got == {"x": [4999.75, 9999.5], "y": [1.0, 3.0]}
+
+
+def test_quantiles_of_many_columns_share_the_budget(spark):
+    from netsieve.operators import ranking
+
+    df = spark.range(3000).select(*[((F.col("id") * (i + 3)) % 3001).cast("double").alias(f"c{i}") for i in range(78)])
+    got = ranking.exact_quantiles(df, df.columns, [0.5], small=2000)
+    row = df.agg(*[F.percentile(c, 0.5).alias(c) for c in df.columns]).first()
+    assert {c: v[0] for c, v in got.items()} == row.asDict()

@@ -205,8 +205,8 @@ def test_stream_equals_batch_in_many_batches(spark, tmp_path, detector):
     src = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     for name, alerts in (("plain", None), ("alerts", str(tmp_path / "a"))):
         q = sg.start_scoring(src, detector, ["uid"], str(tmp_path / name), str(tmp_path / f"s{name}"), options=options, alerts=alerts)
-        assert sg.run_once(q) == 90 and len(q.recentProgress) >= 6
-        assert sg.progress_rows(q).agg(F.max("rows_scored")).first()[0] == 90
+        assert sg.run_once(q, str(tmp_path / f"s{name}")) == 90 and len(q.recentProgress) >= 6
+        assert sg.progress_rows(spark, str(tmp_path / f"s{name}")).agg(F.max("rows_scored")).first()[0] == 90
         cols = ["uid", "decision_label", "reason_codes", "suspected_zero_day_pct"]
         got = sg.read_output(spark, str(tmp_path / name)).select(*cols)
         assert sorted(map(tuple, got.collect())) == sorted(map(tuple, batch.select(*cols).collect()))
@@ -216,6 +216,41 @@ def test_stream_equals_batch_in_many_batches(spark, tmp_path, detector):
     assert sg.session_summary(batch).first()["rows_scored"] == 90
 
 
+def test_totals_of_more_batches_than_spark_remembers(spark, tmp_path, detector):
+    rows = [(i, str(i % 13), str(i / 10)) for i in range(104)]
+    df = spark.createDataFrame(rows, "uid int, orig_pkts string, duration string")
+    df.repartition(104, "uid").write.option("maxRecordsPerFile", 1).parquet(str(tmp_path / "in"))
+    src = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    q = sg.start_scoring(src, detector, ["uid"], str(tmp_path / "out"), str(tmp_path / "state"), options=NoveltyOptions(reference_max=1.2))
+    assert sg.run_once(q, str(tmp_path / "state")) == 104 and len(q.recentProgress) <= 101
+    got = sg.progress_rows(spark, str(tmp_path / "state")).orderBy("batch_id").collect()
+    assert [r["rows_scored"] for r in got] == list(range(1, 105)) and all("logOffset" in r["end_offset"] for r in got)
+
+
+def test_timed_session_finishes_what_had_arrived(spark, tmp_path, detector):
+    df = spark.createDataFrame([(i, "3", "1.5") for i in range(50)], "uid int, orig_pkts string, duration string")
+    df.repartition(5).write.parquet(str(tmp_path / "in"))
+    src = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    options, state = NoveltyOptions(reference_max=1.2), str(tmp_path / "state")
+    start = lambda poll: sg.start_scoring(src, detector, ["uid"], str(tmp_path / "out"), state, options=options, poll_seconds=poll)
+    assert sg.run_for(start, 1, state) == 50
+    assert sg.read_output(spark, str(tmp_path / "out")).select("uid").distinct().count() == 50
+    assert sg.rows_scored(spark, str(tmp_path / "none")) == 0
+    failing = df.select((F.raise_error(F.lit("broken input")).cast("int")).alias("uid"), "orig_pkts", "duration")
+    bad = lambda poll: sg.start_scoring(src.select(failing.columns).withColumn("uid", F.raise_error(F.lit("broken input")).cast("int")), detector, ["uid"], str(tmp_path / "o2"), str(tmp_path / "s2"), options=options, poll_seconds=poll)
+    with pytest.raises(Exception, match="broken input"):
+        sg.run_for(bad, 20, str(tmp_path / "s2"))
+
+
+def test_logs_with_headers_of_their_own(spark, tmp_path):
+    from netsieve.sources.conn_log import read_conn_log
+
+    for name, text in {"a": "#fields\tuid\tproto\n1\ttcp\n", "b": "#fields\tproto\tuid\tsize\nudp\t2\t9\n", "c": "#fields\tx\n3\ticmp\n", "d": "# empty\n"}.items():
+        (tmp_path / name).write_text(text)
+    got = {tuple(sorted((k, v) for k, v in r.asDict().items() if v is not None)) for r in read_conn_log(spark, str(tmp_path)).collect()}
+    assert got == {(("proto", "tcp"), ("uid", "1")), (("proto", "udp"), ("size", "9"), ("uid", "2")), (("0", "3"), ("1", "icmp"))}
+
+
 def test_load_thresholds(spark, tmp_path):
     (tmp_path / "t.json").write_text('{"min_p_attack_known": 0.8,\n "source": "x"}')
     assert sg.load_thresholds(spark, str(tmp_path / "t.json")) == {"min_p_attack_known": 0.8, "min_szd_uncertain": 70.0, "min_open_set_uncertain": 0.6}
