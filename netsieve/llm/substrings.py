@@ -9,9 +9,11 @@ one with each of its copies, wherever it stands.
 Steps. All units are written once. Equal units are counted map-side first, and all but the first of each are removals.
 Equal stretches of two documents at the same distance become one run, gaps smaller than the places between two
 stretches included; the words on both sides are then fetched as hashes, and a run grows while they agree.
-Different paragraphs that share a band are compared with the band's leader by exact Jaccard similarity; those that
-match nobody yet try the next leader among themselves, until none is left. Paragraphs that match form connected
-components; each keeps its first member, all other members are removals. A removal always names an earlier place.
+Different paragraphs that share a band are verified by exact Jaccard similarity, all pairs of them: a band with many
+is cut into parts, and each pair of parts is a group of its own, whose shared shingles are counted by one matrix
+product. A group gives back a spanning forest of the pairs it verified, never the pairs. Paragraphs that match form
+connected components; each keeps its first member, all other members are removals. A removal always names an earlier
+place.
 
 Null texts count as empty; rows without an id take no part; rows of one id should be one document (of several, units
 of all count, at the same word positions). Words are what white space separates; equality is that of 64-bit hashes.
@@ -25,7 +27,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
-from netsieve.llm.components import connected_components
+from netsieve.llm.components import connected_components, join_labels
 from netsieve.llm.textops import U64, chunks, code_points, mix, span_hashes, windows, words
 from netsieve.session import broadcast_smaller, materialize
 
@@ -33,6 +35,8 @@ SHINGLE, SIMILAR = 5, 0.8
 LEAST, SPREAD = 20, 31  # words of a unit; places among which one begins a stretch
 BANDS, ROWS = 4, 2
 BLOCK = 1 << 20
+PART, COLUMNS = 1024, 4096  # paragraphs of a band in one group's part; shared shingles counted at once
+FEW = 24  # paragraphs of a group that are compared pair by pair
 PARAGRAPH, STRETCH, BAND = 0, 1, 2
 NOWHERE = np.iinfo(np.uint64).max
 _SEEDS = mix(np.arange(1, BANDS * ROWS + 1).astype(U64) * U64(0xD1B54A32D192ED03))
@@ -212,15 +216,62 @@ def runs(found: DataFrame, docs: DataFrame, text: str, key: str) -> DataFrame:
     return both.select("doc", "place", "n", "kept_doc", "kept_place", "before", "behind", "kept_before", "kept_behind").mapInPandas(grow, "doc long, place long, n long, kept_doc long, kept_place long")
 
 
-def similarity(a: bytes, b: bytes) -> float:
-    """The Jaccard similarity of two paragraphs' shingle sets."""
-    x, y = (np.unique(windows(np.frombuffer(s, U64), SHINGLE)) for s in (a, b))
-    both = len(np.intersect1d(x, y, assume_unique=True))
-    return both / max(1, len(x) + len(y) - both)
+def similar(sets: list[np.ndarray], rows: np.ndarray, cols: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (i, j) of ``rows`` and ``cols`` whose sets of distinct numbers have a Jaccard similarity of ``SIMILAR``."""
+    size = np.array([len(x) for x in sets])
+    owner = np.repeat(np.arange(len(sets)), size)
+    _, name, n = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    often = n > 1  # what only one paragraph has is never shared
+    owner, name = owner[often[name]], (np.cumsum(often) - 1)[name[often[name]]]
+    both = np.zeros((len(rows), len(cols)), np.float32)
+    for lo in range(0, int(often.sum()), COLUMNS):
+        some = (name >= lo) & (name < lo + COLUMNS)
+        has = np.zeros((len(sets), COLUMNS), np.float32)
+        has[owner[some], name[some] - lo] = 1
+        both += has[rows] @ has[cols].T
+    i, j = np.nonzero(both >= SIMILAR * (size[rows][:, None] + size[cols][None, :] - both) - 1e-3)
+    exact = both[i, j].astype(np.int64)
+    near = (exact >= SIMILAR * (size[rows[i]] + size[cols[j]] - exact)) & (rows[i] != cols[j])
+    yield rows[i[near]], cols[j[near]]
+
+
+def matched(rows: pd.DataFrame) -> pd.DataFrame:
+    """A spanning forest of the similar pairs of complete groups: part ``lo`` against part ``hi`` of a band."""
+    rows = rows.sort_values(["key", "lo", "hi", "whole"], kind="stable")
+    whole, part = rows["whole"].to_numpy(), rows["part"].to_numpy()
+    low, high = part == rows["lo"].to_numpy(), part == rows["hi"].to_numpy()
+    content = {w: np.unique(windows(np.frombuffer(x, U64), SHINGLE)) for w, x in zip(whole, rows["words"], strict=True)}
+    cols = rows[["key", "lo", "hi"]].to_numpy()
+    edge = np.flatnonzero(np.concatenate(([True], (cols[1:] != cols[:-1]).any(1), [True])))
+    found: dict[tuple[int, int], bool] = {}  # pairs meet in several bands
+    a, b = [], []
+    for s, e in zip(edge[:-1].tolist(), edge[1:].tolist()):
+        i, j = np.flatnonzero(low[s:e]), np.flatnonzero(high[s:e])
+        if e - s > FEW:
+            sets, label = [content[w] for w in whole[s:e]], np.arange(e - s)
+            for x, y in similar(sets, i, j) if len(i) and len(j) else ():
+                join_labels(label, x, y)
+            moved = np.flatnonzero(label != np.arange(e - s))
+            a += whole[s:e][moved].tolist()
+            b += whole[s:e][label[moved]].tolist()
+            continue
+        for x in whole[s:e][i].tolist():
+            for y in whole[s:e][j].tolist():
+                if x < y or (x > y and len(i) < e - s):
+                    near = found.get((x, y))
+                    if near is None:
+                        m, n = content[x], content[y]
+                        both = len(np.intersect1d(m, n, assume_unique=True)) if SIMILAR * len(m) <= len(n) <= len(m) / SIMILAR else 0
+                        near = found[x, y] = both >= SIMILAR * (len(m) + len(n) - both)
+                        if near:
+                            a.append(x)
+                            b.append(y)
+    return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
 
 
 def near_paragraphs(bands: DataFrame, firsts: DataFrame, docs: DataFrame, text: str, key: str) -> DataFrame | None:
-    """Links (a, b) between hashes of different paragraphs that are similar; None if no band is shared."""
+    """Links (a, b) between hashes of different paragraphs that are similar, enough for the components; None if no band
+    is shared."""
     shared = bands.groupBy("key").agg(F.min("whole").alias("lo"), F.max("whole").alias("hi")).where("lo <> hi").select("key")
     shared = materialize(shared, "bands")
     if shared.isEmpty():
@@ -230,24 +281,29 @@ def near_paragraphs(bands: DataFrame, firsts: DataFrame, docs: DataFrame, text:
     at = materialize(firsts.join(names, "key").select(F.col("key").alias("whole"), "doc", "place", "n"), "paragraphs")
     content = fetch(docs, at.select("doc", "place", "n"), text, key, inside=True).select("doc", "place", "n", F.col("before").alias("words")).dropDuplicates(["doc", "place", "n"])
     content = materialize(at.join(content, ["doc", "place", "n"]).select("whole", "words"), "content")
+    most = max(PART, members.count() // 100_000)  # so that crowded bands are at most 100,000 short rows
+    crowded = materialize(members.groupBy("key").count().where(F.col("count") > most).select("key", F.ceil(F.col("count") / most).cast("int").alias("parts")), "crowded")
+    dealt = members.join(F.broadcast(crowded), "key", "left").withColumn("part", F.when(F.col("parts").isNull(), 0).otherwise(F.pmod(F.xxhash64("whole"), "parts")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("parts") - 1, F.lit(0)))))
+    dealt = dealt.select("key", "whole", "part", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"))
+    rows = dealt.join(content, "whole").select("key", "lo", "hi", "part", "whole", "words")
 
-    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
         for b in batches:
-            yield b[["key", "whole", "leader"]].assign(near=[similarity(x, y) >= SIMILAR for x, y in zip(b["words"], b["leader_words"], strict=True)])
-
-    links, turn = None, 0
-    while True:
-        lead = materialize(members.groupBy("key").agg(F.min(F.struct(F.xxhash64("whole", F.lit(turn)).alias("h"), "whole")).alias("l"), F.count("*").alias("c")).where("c > 1").select("key", F.col("l.whole").alias("leader")), "leaders")
-        if lead.isEmpty():
-            return links
-        leaders = content.select(F.col("whole").alias("leader"), F.col("words").alias("leader_words"))
-        pairs = members.join(lead, "key").where("whole <> leader").join(content, "whole").join(leaders, "leader")
-        tried = materialize(pairs.select("key", "whole", "leader", "words", "leader_words").mapInPandas(compare, "key long, whole long, leader long, near boolean"), "tried")
-        good = tried.where("near").select(F.col("whole").alias("a"), F.col("leader").alias("b")).distinct()
-        links = good if links is None else links.unionByName(good)
-        matched = good.select(F.col("a").alias("whole")).distinct()
-        members = materialize(tried.where("NOT near").select("key", "whole").join(matched, "whole", "left_anti"), "members")
-        turn += 1
+            held.append(b)
+            if sum(map(len, held)) < 4 * PART:
+                continue
+            every = pd.concat(held, ignore_index=True)
+            last = (every[["key", "lo", "hi"]] == every[["key", "lo", "hi"]].iloc[-1]).all(axis=1)
+            held = [every[last]]
+            if not last.all():
+                yield matched(every[~last])
+        if held and sum(map(len, held)):
+            yield matched(pd.concat(held, ignore_index=True))
+
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(n, "key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").mapInPandas(run, "a long, b long")
 
 
 def duplicate_spans(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -271,7 +327,7 @@ def duplicate_spans(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
     if links is None:
         out.append(equal.drop("key").withColumn("kind", F.lit("paragraph")))
     else:
-        label = connected_components(links).select(F.col("node").alias("key"), "component")
+        label = connected_components(materialize(links, "similar")).select(F.col("node").alias("key"), "component")
         member = materialize(single.join(label, "key").select("key", "component", "doc", "place", "n"), "clusters")
         stays = materialize(member.groupBy("component").agg(F.min(place).alias("s")).select("component", F.col("s.doc").alias("kept_doc"), F.col("s.place").alias("kept_place")), "keepers")
         near = materialize(member.join(stays, "component"), "near")

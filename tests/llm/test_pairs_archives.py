@@ -170,9 +170,10 @@ def test_planted_passages_and_paragraphs(spark, frame):
     assert sum(passage in t for t in out.values()) == 1 and all(out[k] == texts[k] for k in range(20, 30))
 
 
-@pytest.mark.parametrize("part", [2, 1024])
-def test_chains_of_similar_paragraphs(spark, frame, monkeypatch, part):
+@pytest.mark.parametrize(("part", "few"), [(2, 24), (3, 2), (1024, 24), (1024, 2)])
+def test_chains_of_similar_paragraphs(spark, frame, monkeypatch, part, few):
     monkeypatch.setattr(substrings, "PART", part)
+    monkeypatch.setattr(substrings, "FEW", few)
     monkeypatch.setattr(substrings, "COLUMNS", 100)
     rng = random.Random(9)
     base = [f"w{i}" for i in range(300)]
