@@ -22,8 +22,8 @@ from pyspark.sql import DataFrame, Window, functions as F
 NEAREST = 20
 PROJECTIONS = 64
 FRACTION = 0.55  # share of the projections in which a candidate must collide
-WIDER = 1.1  # growth of the windows from level to level
-FIRST = 0.75  # half width of the first windows, in standard deviations of the projections
+WIDER = 1.12  # growth of the windows from level to level
+FIRST = 0.9  # half width of the first windows, in standard deviations of the projections
 VERIFY, LEAST = 0.36, 600  # a shard stops widening at this share of its vectors, and not below so many
 SHARD, QUERIES = 20_000, 2_000  # vectors and queries of a task
 SPREAD = 24  # shards at least, so that small tables use more than one task
@@ -84,6 +84,10 @@ class Shard:
             some = queries[s : s + step]
             for i, at in enumerate(self.candidates(some, enough)):
                 at = at[self.ids[at] != query_ids[s + i]]
+                rough = self.vectors[at] @ some[i]
+                if len(at) > 2 * k:  # the last digits depend on the order of summation, so a little more is summed anew
+                    least = np.partition(rough, len(at) - k)[len(at) - k]
+                    at = at[rough >= least - 1e-9 * max(1.0, abs(least))]
                 score = (self.vectors[at] * some[i]).sum(1)
                 best = np.lexsort((self.ids[at], -score))[:k]
                 yield query_ids[s + i], self.ids[at][best], score[best]
