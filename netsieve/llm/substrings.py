@@ -29,13 +29,14 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from netsieve.llm.components import connected_components, join_labels
 from netsieve.llm.textops import U64, chunks, code_points, mix, span_hashes, windows, words
-from netsieve.session import broadcast_smaller, materialize
+from netsieve.session import materialize
 
 SHINGLE, SIMILAR = 5, 0.8
 LEAST, SPREAD = 20, 31  # words of a unit; places among which one begins a stretch
 BANDS, ROWS = 4, 2
 BLOCK = 1 << 20
 PART, COLUMNS = 1024, 4096  # paragraphs of a band in one group's part; shared shingles counted at once
+PLACES = 8_000_000  # at most so many are broadcast
 FEW = 24  # paragraphs of a group that are compared pair by pair
 PARAGRAPH, STRETCH, BAND = 0, 1, 2
 NOWHERE = np.iinfo(np.uint64).max
@@ -156,10 +157,12 @@ def units(docs: DataFrame, text: str, key: str) -> DataFrame:
 def fetch(docs: DataFrame, wanted: DataFrame, text: str, key: str, inside: bool) -> DataFrame:
     """``wanted`` (doc, place, n) with word hashes: those inside, or the ``SPREAD`` before and behind, as binary.
 
-    The places are gathered by document and meet the texts in a join that sends the places round if they are few."""
+    The places are gathered by document and meet the texts in a join. Up to ``PLACES`` of them, 24 bytes each, are sent
+    round; beyond that both sides are shuffled."""
     by_doc = materialize(wanted.distinct().groupBy("doc").agg(F.collect_list(F.struct("place", "n")).alias("places")), "places")
     texts = docs.select(F.col(key).cast("long").alias("doc"), F.coalesce(text, F.lit("")).alias("_text"))
-    texts, by_doc = broadcast_smaller(texts, by_doc)
+    if (by_doc.agg(F.sum(F.size("places"))).first()[0] or 0) <= PLACES:
+        by_doc = F.broadcast(by_doc)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -358,7 +361,8 @@ def cut_words(text: str, spans: list[tuple[int, int]]) -> str:
 def remove_spans(docs: DataFrame, spans: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """``docs`` with the spans cut out; documents of which nothing is left are dropped, all others kept."""
     by_doc = materialize(spans.groupBy(key).agg(F.collect_set(F.struct("start_word", "n_words")).alias("_spans")), "spans")
-    left, right = broadcast_smaller(docs, by_doc)
+    if (by_doc.agg(F.sum(F.size("_spans"))).first()[0] or 0) <= PLACES:
+        by_doc = F.broadcast(by_doc)
     schema = docs.schema
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -368,4 +372,4 @@ def remove_spans(docs: DataFrame, spans: DataFrame, text: str = "text", key: str
             empty = np.array([bool(t and t.strip()) and not n.strip() for t, n in zip(old, new, strict=True)], bool)
             yield b.assign(**{text: new})[~empty][schema.names]
 
-    return left.join(right, key, "left").mapInPandas(run, schema)
+    return docs.join(by_doc, key, "left").mapInPandas(run, schema)
