@@ -192,13 +192,15 @@ def _agree(a: bytes, b: bytes, last: bool) -> int:
 
 
 def runs(found: DataFrame, docs: DataFrame, text: str, key: str) -> DataFrame:
-    """Runs of equal stretches (doc, place, n, kept_doc, kept_place), grown as far as the words agree."""
+    """Runs of equal stretches (doc, place, n, kept_doc, kept_place), grown as far as the words agree.
+
+    Within a document a run may overlap its original: each of its words repeats the one ``place - kept_place`` earlier."""
     line = Window.partitionBy("doc", "kept_doc", "shift").orderBy("place")
     gap = F.col("place") - F.lag("place").over(line) > SPREAD
     own = found.withColumn("shift", F.col("kept_place") - F.col("place")).withColumn("new", F.coalesce(gap, F.lit(True)).cast("int"))
     own = own.withColumn("run", F.sum("new").over(line)).groupBy("doc", "kept_doc", "shift", "run").agg(F.min("place").alias("place"), F.max(F.col("place") + LEAST).alias("end"))
     own = own.select("doc", "place", (F.col("end") - F.col("place")).alias("n"), "kept_doc", (F.col("place") + F.col("shift")).alias("kept_place"))
-    own = materialize(own.where((F.col("doc") != F.col("kept_doc")) | (F.col("kept_place") + F.col("n") <= F.col("place"))), "runs")
+    own = materialize(own, "runs")
     wanted = own.select("doc", "place", "n").unionByName(own.select(F.col("kept_doc").alias("doc"), F.col("kept_place").alias("place"), "n"))
     context = materialize(fetch(docs, wanted, text, key, inside=False).dropDuplicates(["doc", "place", "n"]), "context")
     kept = context.select(F.col("doc").alias("kept_doc"), F.col("place").alias("kept_place"), "n", F.col("before").alias("kept_before"), F.col("behind").alias("kept_behind"))
@@ -207,10 +209,6 @@ def runs(found: DataFrame, docs: DataFrame, text: str, key: str) -> DataFrame:
         for b in batches:
             left = np.array([_agree(x, y, True) for x, y in zip(b["before"], b["kept_before"], strict=True)], np.int64)
             right = np.array([_agree(x, y, False) for x, y in zip(b["behind"], b["kept_behind"], strict=True)], np.int64)
-            same = b["doc"].to_numpy() == b["kept_doc"].to_numpy()  # within a document a copy must not grow into its original
-            room = np.where(same, b["place"] - b["kept_place"] - b["n"], np.iinfo(np.int64).max)
-            left = np.minimum(left, room)
-            right = np.where(same, 0, right)
             out = b[["doc", "place", "n", "kept_doc", "kept_place"]].copy()
             out["place"], out["kept_place"], out["n"] = out["place"] - left, out["kept_place"] - left, out["n"] + left + right
             yield out

@@ -191,6 +191,19 @@ def test_chains_of_similar_paragraphs(spark, frame, monkeypatch, part, few):
     assert {r["doc_id"]: r["kept_doc_id"] for r in got} == {k: c for k, c in to.items() if k != c}
 
 
+@pytest.mark.parametrize("size", [60, 120, 300])
+def test_blocks_repeated_without_a_break(spark, frame, size):
+    rng = random.Random(size)
+    text = lambda n: [f"w{rng.randrange(4000)}" for _ in range(n)]
+    rows = []
+    for i in range(12):
+        w = text(25) + text(size) * (3 + i % 3) + text(25)
+        rows.append((i, "\n".join(" ".join(w[j : j + 11]) for j in range(0, len(w), 11))))
+    covered = check_spans(substrings.duplicate_spans(frame(rows)).collect(), dict(rows))
+    for i in range(12):
+        assert covered[i][25 + size : -25].all() and not covered[i][: 25 + size].any() and not covered[i][-25:].any()
+
+
 def test_substrings_of_odd_tables(spark, frame):
     line = " ".join(f"t{i}" for i in range(30))
     rows = [(1, None), (2, ""), (3, line), (4, line), (None, line), (5, "short one"), (6, "the " * 30000), (7, f"{line}\n{line}")]
