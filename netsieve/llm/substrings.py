@@ -8,7 +8,10 @@ one with each of its copies, wherever it stands.
 
 Steps. All units are written once. Equal units are counted map-side first, and all but the first of each are removals.
 Equal stretches of two documents at the same distance become one run, gaps smaller than the places between two
-stretches included; the words on both sides are then fetched as hashes, and a run grows while they agree.
+stretches included; the words on both sides are then fetched as hashes, and a run grows while they agree. Where it
+stops early, the stretch at its end is looked up together with 1 to ``SPREAD`` words more among all holders of the
+stretch, and the earliest holder of the longest that an earlier place has is a further partner. So each word of a
+passage of ``LEAST + SPREAD - 1`` words that an earlier place has is removed, whoever else quotes a part of it.
 Different paragraphs that share a band are verified by exact Jaccard similarity, all pairs of them: a band with many
 is cut into parts, and each pair of parts is a group of its own, whose shared shingles are counted by one matrix
 product. A group gives back a spanning forest of the pairs it verified, never the pairs. Paragraphs that match form
@@ -29,7 +32,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from netsieve.llm.components import connected_components, join_labels
 from netsieve.llm.textops import U64, chunks, code_points, mix, span_hashes, windows, words
-from netsieve.session import materialize
+from netsieve.session import broadcast_if_small, materialize
 
 SHINGLE, SIMILAR = 5, 0.8
 LEAST, SPREAD = 20, 31  # words of a unit; places among which one begins a stretch
@@ -192,7 +195,8 @@ def _agree(a: bytes, b: bytes, last: bool) -> int:
 
 
 def runs(found: DataFrame, docs: DataFrame, text: str, key: str) -> DataFrame:
-    """Runs of equal stretches (doc, place, n, kept_doc, kept_place), grown as far as the words agree.
+    """Runs of equal stretches (doc, place, n, kept_doc, kept_place), grown as far as the words agree, and ``left`` and
+    ``right``, the words they grew by.
 
     Within a document a run may overlap its original: each of its words repeats the one ``place - kept_place`` earlier."""
     line = Window.partitionBy("doc", "kept_doc", "shift").orderBy("place")
@@ -211,10 +215,54 @@ def runs(found: DataFrame, docs: DataFrame, text: str, key: str) -> DataFrame:
             right = np.array([_agree(x, y, False) for x, y in zip(b["behind"], b["kept_behind"], strict=True)], np.int64)
             out = b[["doc", "place", "n", "kept_doc", "kept_place"]].copy()
             out["place"], out["kept_place"], out["n"] = out["place"] - left, out["kept_place"] - left, out["n"] + left + right
-            yield out
+            yield out.assign(left=left, right=right)
 
     both = own.join(context, ["doc", "place", "n"]).join(kept, ["kept_doc", "kept_place", "n"])
-    return both.select("doc", "place", "n", "kept_doc", "kept_place", "before", "behind", "kept_before", "kept_behind").mapInPandas(grow, "doc long, place long, n long, kept_doc long, kept_place long")
+    return both.select("doc", "place", "n", "kept_doc", "kept_place", "before", "behind", "kept_before", "kept_behind").mapInPandas(grow, "doc long, place long, n long, kept_doc long, kept_place long, left long, right long")
+
+
+def further(grown: DataFrame, hits: DataFrame, docs: DataFrame, text: str, key: str) -> DataFrame:
+    """Removals (doc, place, n, kept_doc, kept_place) beyond the ends of ``grown``, named by other holders of the stretch
+    at the end. ``hits`` are all but the first of the equal stretches."""
+    ends = grown.select("doc", F.explode(F.array(
+        F.struct(F.lit(True).alias("ahead"), (F.col("place") + F.col("left")).alias("place"), F.col("left").alias("agreed")),
+        F.struct(F.lit(False).alias("ahead"), (F.col("place") + F.col("n") - F.col("right") - LEAST).alias("place"), F.col("right").alias("agreed")),
+    )).alias("end")).select("doc", "end.*").where(F.col("agreed") < SPREAD)
+    often = broadcast_if_small(hits.groupBy("key").count().where("count > 1").select("key"), "often")
+    held = hits.join(often, "key").select("key", "doc", "place")
+    ends = ends.where((F.col("place") > 0) | ~F.col("ahead")).join(held, ["doc", "place"])
+    ends = materialize(ends.groupBy("key", "ahead", "doc", "place").agg(F.min("agreed").alias("agreed")), "ends")
+    # holders inside a run count as well: what agrees with them may be the end of another
+    least = broadcast_if_small(ends.groupBy("key", "ahead").agg(F.min("agreed").alias("least")), "least")
+    asked = materialize(held.join(least, "key"), "asked")
+    if asked.isEmpty():
+        return grown.select("doc", "place", "n", "kept_doc", "kept_place").where("false")
+    context = fetch(docs, asked.select("doc", "place", F.lit(LEAST).cast("long").alias("n")), text, key, inside=False).dropDuplicates(["doc", "place", "n"])
+
+    def lengthen(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            size = b["least"].to_numpy()
+            sides = [np.frombuffer(x, np.uint32)[::-1] if a else np.frombuffer(y, np.uint32) for a, x, y in zip(b["ahead"], b["before"], b["behind"], strict=True)]
+            have = np.array([len(x) for x in sides], np.int64)
+            words = np.zeros((len(b), SPREAD), U64)
+            for i, x in enumerate(sides):
+                words[i, : len(x)] = x
+            h = mix(b["key"].to_numpy().view(U64) ^ U64(0x5851F42D4C957F2D) * b["ahead"].to_numpy().astype(U64))
+            for m in range(1, SPREAD + 1):
+                h = mix(h * U64(0x100000001B3) + words[:, m - 1])
+                at = np.flatnonzero((have >= m) & (size < m))
+                if len(at):
+                    yield pd.DataFrame({"name": h[at].view(np.int64), "more": np.int32(m), "ahead": b["ahead"].to_numpy()[at], "doc": b["doc"].to_numpy()[at], "place": b["place"].to_numpy()[at]})
+
+    longer = asked.join(context.drop("n"), ["doc", "place"]).mapInPandas(lengthen, "name long, more int, ahead boolean, doc long, place long")
+    longer = materialize(longer, "longer")
+    first = longer.groupBy("name", "more").agg(F.min(F.struct("doc", "place")).alias("first"), F.count("*").alias("c")).where("c > 1")
+    first = broadcast_if_small(first.select("name", "more", F.col("first.doc").alias("kept_doc"), F.col("first.place").alias("kept_place")), "longer-firsts")
+    found = longer.join(first, ["name", "more"]).where("doc <> kept_doc OR place <> kept_place")
+    found = found.groupBy("ahead", "doc", "place").agg(F.max(F.struct("more", "kept_doc", "kept_place")).alias("best")).select("ahead", "doc", "place", "best.*")
+    found = found.join(ends.select("ahead", "doc", "place", "agreed"), ["ahead", "doc", "place"]).where("more > agreed")
+    back = F.when(F.col("ahead"), F.col("more")).otherwise(0)
+    return found.select("doc", (F.col("place") - back).alias("place"), (F.col("more") + LEAST).cast("long").alias("n"), "kept_doc", (F.col("kept_place") - back).alias("kept_place"))
 
 
 def similar(sets: list[np.ndarray], rows: np.ndarray, cols: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -319,9 +367,10 @@ def duplicate_spans(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
     hits = exact.join(again, ["kind", "key"]).where("doc <> kept_doc OR place <> kept_place")
     hits = materialize(hits.select("kind", "key", "doc", "place", "n", "kept_doc", "kept_place"), "hits")
     kept = [F.col("kept_doc"), F.col("kept_place")]
-    out = [
-        runs(hits.where(f"kind = {STRETCH}").drop("kind", "key", "n"), docs, text, key).withColumn("kind", F.lit("passage")),
-    ]
+    repeats = hits.where(f"kind = {STRETCH}")
+    grown = materialize(runs(repeats.drop("kind", "key", "n"), docs, text, key), "grown")
+    passages = grown.drop("left", "right").unionByName(further(grown, repeats, docs, text, key))
+    out = [passages.withColumn("kind", F.lit("passage"))]
     equal = hits.where(f"kind = {PARAGRAPH}").select("key", "doc", "place", "n", *kept)
     single = firsts.where(f"kind = {PARAGRAPH}")
     links = near_paragraphs(every.where(F.col("kind") == BAND), single, docs, text, key)

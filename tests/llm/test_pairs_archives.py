@@ -191,6 +191,23 @@ def test_chains_of_similar_paragraphs(spark, frame, monkeypatch, part, few):
     assert {r["doc_id"]: r["kept_doc_id"] for r in got} == {k: c for k, c in to.items() if k != c}
 
 
+def test_passages_that_earlier_documents_quote_in_part(spark, frame):
+    rng = random.Random(12)
+    text = lambda n: [f"w{rng.randrange(4000)}" for _ in range(n)]
+    rows = []
+    for i, (size, quote) in enumerate([(60, 40), (80, 40), (120, 40), (60, 25)] * 30):
+        p = text(size)
+        cut, other = rng.randrange(size - quote + 1), rng.randrange(size - 29)
+        edited = p[:]
+        edited[rng.randrange(size)] = "edited"
+        for part in (p[cut : cut + quote], p[other : other + 30], edited, p, p, p):
+            rows.append((len(rows), " ".join(text(rng.randint(5, 60)) + part + text(rng.randint(5, 60)))))
+    covered = check_spans(substrings.duplicate_spans(frame(rows)).collect(), dict(rows))
+    wanted = repeated(dict(rows))
+    assert len(wanted) > 1000 and all(covered[k][i : i + 50].all() for k, i in wanted)
+    assert not any(covered[k][:5].any() or covered[k][-5:].any() for k, _ in rows)
+
+
 @pytest.mark.parametrize("size", [60, 120, 300])
 def test_blocks_repeated_without_a_break(spark, frame, size):
     rng = random.Random(size)
