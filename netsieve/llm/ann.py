@@ -1,10 +1,12 @@
 """Nearest neighbours by collision counting over single projections (virtual rehashing).
 
-Largest inner products become smallest distances by one more coordinate that evens out the norms. A shard of vectors
-keeps one sorted array of positions per random projection. A query opens a window around its own position in every
+Largest inner products become smallest distances by one more coordinate that evens out the norms. It must stay small
+beside the others, so a shard of vectors is divided into classes of like norms, each with a largest norm of its own. A
+class keeps one sorted array of positions per random projection. A query opens a window around its own position in every
 array and counts, for each vector, the windows it stands in; windows widen by a factor until enough vectors have
 collided in a share of the projections above the threshold. These are verified: their exact inner products, in double
-precision on the original vectors, decide. Every vector is indexed, and a shard with few vectors verifies all.
+precision on the original vectors, decide. Every vector is indexed, and a class with few vectors verifies all. Classes
+are searched from the largest norm down, until no vector of the rest can reach the best found.
 
 Queries and vectors are dealt as blocks: each pair of a query block and a shard is one task's work, so neither side is
 sent to everyone and no hot spot arises. Vectors that are null, zero, of another length than most, or hold null or
@@ -24,23 +26,22 @@ PROJECTIONS = 64
 FRACTION = 0.55  # share of the projections in which a candidate must collide
 WIDER = 1.12  # growth of the windows from level to level
 FIRST = 0.9  # half width of the first windows, in standard deviations of the projections
-VERIFY, LEAST = 0.36, 600  # a shard stops widening at this share of its vectors, and not below so many
+VERIFY, LEAST = 0.36, 600  # a class stops widening at this share of its vectors, and not below so many
+ALIKE = 1.25  # largest norm of a class by its smallest
 SHARD, QUERIES = 20_000, 2_000  # vectors and queries of a task
 SPREAD = 24  # shards at least, so that small tables use more than one task
 COUNTERS = 2_000_000  # collision counters at once
 SEED = 11
 
 
-class Shard:
-    """Sorted projections of some vectors."""
+class Lines:
+    """Sorted projections of vectors of like norms."""
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray):
-        self.ids, self.vectors = ids, vectors
-        norm = (vectors**2).sum(1)
-        self.top = norm.max()
+    def __init__(self, vectors: np.ndarray, norm: np.ndarray):
+        self.size, self.top = len(vectors), norm.max()
         rng = np.random.default_rng(SEED)
         self.lines = rng.normal(size=(PROJECTIONS, vectors.shape[1] + 1)).astype(np.float32)
-        lifted = np.column_stack([vectors, np.sqrt(np.maximum(self.top - norm, 0))]).astype(np.float32)
+        lifted = np.column_stack([vectors, np.sqrt(np.maximum(self.top**2 - norm**2, 0))]).astype(np.float32)
         at = self.lines @ lifted.T
         self.order = np.argsort(at, axis=1)
         self.places = np.take_along_axis(at, self.order, 1)
@@ -48,11 +49,11 @@ class Shard:
 
     def candidates(self, queries: np.ndarray, enough: int) -> list[np.ndarray]:
         """For each query the vectors that collide with it in enough projections."""
-        n, m = len(self.ids), len(queries)
+        n, m = self.size, len(queries)
         if n <= enough:
             return [np.arange(n)] * m
         need = int(np.ceil(FRACTION * PROJECTIONS))
-        scale = np.sqrt(self.top) / np.maximum(np.linalg.norm(queries, axis=1), 1e-300)  # a query's length does not change the order
+        scale = self.top / np.maximum(np.linalg.norm(queries, axis=1), 1e-300)  # a query's length does not change the order
         at = self.lines[:, :-1] @ (queries * scale[:, None]).astype(np.float32).T
         count, half = np.zeros((m, n), np.int32), FIRST * self.spread
         out: list[np.ndarray] = [np.zeros(0, np.int64)] * m
@@ -76,21 +77,58 @@ class Shard:
             live, lo, hi, half = live[go_on], left[:, go_on], right[:, go_on], half * WIDER
         return out
 
+
+class Shard:
+    """Some vectors, in classes of like norms."""
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray):
+        norm = np.linalg.norm(vectors, axis=1)
+        order = np.argsort(-norm, kind="stable")
+        self.ids, self.vectors, norm = ids[order], vectors[order], norm[order]
+        self.first = [0]
+        while self.first[-1] < len(norm):
+            self.first.append(int(np.searchsorted(-norm, -norm[self.first[-1]] / ALIKE, side="right")))
+        self.place = order
+        self.classes = [Lines(self.vectors[s:e], norm[s:e]) for s, e in zip(self.first, self.first[1:])]
+
+    def found(self, c: int, queries: np.ndarray, enough: int) -> list[np.ndarray]:
+        """Candidates of a class among the sorted vectors, if about ``enough`` of the shard are wanted."""
+        lines = self.classes[c]
+        return [self.first[c] + at for at in lines.candidates(queries, max(LEAST, -(-enough * lines.size // len(self.ids))))]
+
+    def candidates(self, queries: np.ndarray, enough: int) -> list[np.ndarray]:
+        """For each query the vectors that collide with it in enough projections."""
+        every = [self.found(c, queries, enough) for c in range(len(self.classes))]
+        return [self.place[np.concatenate(own)] for own in zip(*every, strict=True)]
+
     def search(self, query_ids: np.ndarray, queries: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """For each query the ids and inner products of the best ``k`` found."""
         enough = max(LEAST, int(VERIFY * len(self.ids)), 4 * k)
         step = max(1, COUNTERS // len(self.ids))
+        length = np.linalg.norm(queries, axis=1)
         for s in range(0, len(queries), step):
-            some = queries[s : s + step]
-            for i, at in enumerate(self.candidates(some, enough)):
-                at = at[self.ids[at] != query_ids[s + i]]
-                rough = self.vectors[at] @ some[i]
-                if len(at) > 2 * k:  # the last digits depend on the order of summation, so a little more is summed anew
-                    least = np.partition(rough, len(at) - k)[len(at) - k]
-                    at = at[rough >= least - 1e-9 * max(1.0, abs(least))]
-                score = (self.vectors[at] * some[i]).sum(1)
-                best = np.lexsort((self.ids[at], -score))[:k]
-                yield query_ids[s + i], self.ids[at][best], score[best]
+            some, size = queries[s : s + step], length[s : s + step]
+            best = [(np.zeros(0, self.ids.dtype), np.zeros(0))] * len(some)
+            for c, lines in enumerate(self.classes):
+                least = np.array([score[-1] if len(score) == k else -np.inf for _, score in best])
+                live = np.flatnonzero(lines.top * size * (1 + 1e-9) >= least)  # the others' best are beyond all that is left
+                if not len(live):
+                    break
+                for i, at in zip(live, self.found(c, some[live], enough), strict=True):
+                    best[i] = self.better(best[i], at, query_ids[s + i], some[i], k)
+            for i, (ids, score) in enumerate(best):
+                yield query_ids[s + i], ids, score
+
+    def better(self, best: tuple[np.ndarray, np.ndarray], at: np.ndarray, query_id: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """The best ``k`` of those so far and of the candidates ``at``."""
+        at = at[self.ids[at] != query_id]
+        rough = self.vectors[at] @ query
+        if len(at) > 2 * k:  # the last digits depend on the order of summation, so a little more is summed anew
+            least = np.partition(rough, len(at) - k)[len(at) - k]
+            at = at[rough >= least - 1e-9 * max(1.0, abs(least))]
+        ids, score = np.append(best[0], self.ids[at]), np.append(best[1], (self.vectors[at] * query).sum(1))
+        order = np.lexsort((ids, -score))[:k]
+        return ids[order], score[order]
 
 
 def nearest(vectors: DataFrame, is_query: F.Column, k: int = NEAREST, key: str = "vec_id", embedding: str = "embedding") -> DataFrame:

@@ -265,6 +265,25 @@ def test_recall_of_a_full_shard():
     assert hit / 800 >= 0.9 and np.mean(seen) < 0.7 * 6000
 
 
+@pytest.mark.parametrize("kind", ["lognormal 0.5", "lognormal 1", "one of ten times the norm"])
+@pytest.mark.parametrize("n", [2000, 20000])
+def test_recall_with_unequal_norms(kind, n):
+    rng = np.random.default_rng(1)
+    v = rng.normal(size=(n, 64))
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    if kind.startswith("lognormal"):
+        v *= rng.lognormal(0, float(kind.split()[1]), n)[:, None]
+    else:
+        v[n // 2] *= 10
+    hit = 0
+    for q, ids, score in ann.Shard(np.arange(n), v).search(np.arange(40), v[:40], 20):
+        s = v @ v[q]
+        s[q] = -np.inf
+        hit += len(set(ids.tolist()) & set(np.argsort(-s)[:20].tolist()))
+        assert len(ids) == 20 and (np.diff(score) <= 0).all()
+    assert hit / 800 >= 0.9
+
+
 def test_neighbours_of_odd_tables(spark, monkeypatch):
     rng = np.random.default_rng(4)
     rows = [(i, [float(x) for x in rng.normal(size=4)]) for i in range(60)]
