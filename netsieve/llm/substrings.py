@@ -1,7 +1,9 @@
 """Substring dedup: paragraph MinHash banding, verified by exact Jaccard, removals clustered by components.
 
-Units. A paragraph is a line of at least ``LEAST`` words; its 5-word shingles give ``BANDS`` keys of ``ROWS`` minima
-each, tuned so that 98 % of the pairs at similarity 0.8 meet in one. Passages that repeat inside different paragraphs
+Units. A paragraph is a line of at least ``LEAST`` words, or shorter lines in a row up to a blank or a long one, if they
+have as many. Pieces of such blocks, cut behind lines that their last word chooses, are units among themselves and never
+compared with blocks, which they are part of. The 5-word shingles of a unit give ``BANDS`` keys of ``ROWS`` minima
+each, tuned so that 99.8 % of the pairs at similarity 0.8 meet in one. Passages that repeat inside different paragraphs
 are found as stretches: among every ``SPREAD`` places in a row the one with the smallest hash begins a stretch of
 ``LEAST`` words, whose hash is its only band. A passage of ``LEAST + SPREAD - 1`` (50) words or more therefore shares
 one with each of its copies, wherever it stands.
@@ -36,13 +38,14 @@ from netsieve.session import broadcast_if_small, materialize
 
 SHINGLE, SIMILAR = 5, 0.8
 LEAST, SPREAD = 20, 31  # words of a unit; places among which one begins a stretch
-BANDS, ROWS = 4, 2
+BANDS, ROWS = 6, 2
 BLOCK = 1 << 20
 PART, COLUMNS = 1024, 4096  # paragraphs of a band in one group's part; shared shingles counted at once
 PLACES = 8_000_000  # at most so many are broadcast
 FEW = 24  # paragraphs of a group that are compared pair by pair
 PARAGRAPH, STRETCH, BAND = 0, 1, 2
 NOWHERE = np.iinfo(np.uint64).max
+_PIECE = U64(0xA24BAED4963EE407)
 _SEEDS = mix(np.arange(1, BANDS * ROWS + 1).astype(U64) * U64(0xD1B54A32D192ED03))
 
 
@@ -85,16 +88,47 @@ def _smallest(v: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
-def paragraphs(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Begin, number of words, hash and band keys of every line of at least ``LEAST`` words."""
+def _pieces(size: np.ndarray, stop: np.ndarray) -> list[int]:
+    """First lines of the pieces of a block: each has ``LEAST`` words and ends where a line says ``stop``, or the block."""
+    out, have, left = [0], 0, int(size.sum())
+    for i, (n, s) in enumerate(zip(size.tolist(), stop.tolist(), strict=True)):
+        have, left = have + n, left - n
+        if s and have >= LEAST and left >= LEAST:
+            out.append(i + 1)
+            have = 0
+    return out
+
+
+def blocks(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Begin and number of words of long lines and blocks of short ones, and of the pieces of blocks; whether a piece."""
     begin, size = _runs(w.line)
-    long = size >= LEAST
-    begin, size = begin[long], size[long]
+    if not len(begin):
+        return begin, size, np.zeros(0, bool)
+    long, line, doc = size >= LEAST, w.line[begin], w.doc[begin]
+    apart = long[1:] | long[:-1] | (line[1:] - line[:-1] > 1) | (doc[1:] != doc[:-1])
+    first = np.flatnonzero(np.concatenate(([True], apart)))
+    whole = np.add.reduceat(size, first)
+    stop = mix(w.hash[begin + size - 1]) & U64(1) == 1
+    at: list[int] = []
+    n: list[int] = []
+    for i in np.flatnonzero((whole >= 2 * LEAST) & ~long[first]):
+        lo, hi = first[i], first[i + 1] if i + 1 < len(first) else len(begin)
+        own = _pieces(size[lo:hi], stop[lo:hi])
+        if len(own) > 1:
+            at += begin[lo:hi][own].tolist()
+            n += np.add.reduceat(size[lo:hi], own).tolist()
+    some = whole >= LEAST
+    both = np.concatenate([begin[first][some], np.array(at, np.int64)]), np.concatenate([whole[some], np.array(n, np.int64)])
+    return *both, np.arange(len(both[0])) >= some.sum()
+
+
+def paragraphs(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Begin, number of words, hash and band keys of every unit of lines."""
+    begin, size, piece = blocks(w)
     if not len(begin):
         return begin, size, np.zeros(0, U64), np.zeros((0, BANDS), U64)
-    shingle = windows(w.hash, SHINGLE)
+    shingle = np.append(windows(w.hash, SHINGLE), U64(0))  # the last only ends ranges
     edges = np.column_stack([begin, begin + size - SHINGLE + 1]).ravel()
-    edges = edges if edges[-1] < len(shingle) else edges[:-1]
     least = np.stack([np.minimum.reduceat(mix(shingle ^ seed), edges)[0::2] for seed in _SEEDS])
     bands = np.stack([mix(sum((least[b * ROWS + r] * U64(2 * r + 1) for r in range(1, ROWS)), least[b * ROWS]) + U64(b + 1)) for b in range(BANDS)], axis=1)
     whole = np.empty(len(begin), U64)
@@ -103,6 +137,7 @@ def paragraphs(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray
     for i in np.flatnonzero(~short):
         h = w.hash[begin[i] : begin[i] + size[i]]
         whole[i] = mix(np.array([(mix(h + np.arange(len(h), dtype=U64) * U64(0x9E3779B97F4A7C15))).sum() + U64(len(h))]))[0]
+    whole[piece], bands[piece] = mix(whole[piece] ^ _PIECE), mix(bands[piece] ^ _PIECE)
     return begin, size, whole, bands
 
 

@@ -191,6 +191,40 @@ def test_chains_of_similar_paragraphs(spark, frame, monkeypatch, part, few):
     assert {r["doc_id"]: r["kept_doc_id"] for r in got} == {k: c for k, c in to.items() if k != c}
 
 
+def wrapped(words, width):
+    return "\n".join(" ".join(words[i : i + width]) for i in range(0, len(words), width))
+
+
+def test_near_copies_of_wrapped_paragraphs(spark, frame):
+    rng = random.Random(13)
+    text = lambda n: [f"w{rng.randrange(4000)}" for _ in range(n)]
+    paragraph, rows = text(120), []
+    for i in range(12):
+        w = paragraph[:]
+        if i:
+            w[38 + i % 3], w[80 - i % 3] = f"x{i}", f"y{i}"
+        rows.append((i, "\n\n".join([wrapped(text(60), 9), wrapped(w, 7 + i), wrapped(text(60), 9)])))
+    got = substrings.duplicate_spans(frame(rows)).collect()
+    covered = check_spans(got, dict(rows))
+    assert not covered[0].any() and all(covered[i].tolist() == [False] * 60 + [True] * 120 + [False] * 60 for i in range(1, 12))
+
+
+def test_pieces_of_long_blocks():
+    rng = random.Random(14)
+    lines = [" ".join(f"w{rng.randrange(4000)}" for _ in range(rng.randint(1, 12))) for _ in range(400)]
+    found = []
+    for ahead in ("", "one line more\n", "\n"):
+        w = substrings.Words(["other words\n" + " ".join(["long"] * 30), ahead + "\n".join(lines) + "\n \nlast"])
+        begin, size, piece = substrings.blocks(w)
+        assert (size >= substrings.LEAST).all() and piece.sum() > 20 and (~piece).sum() == 2
+        at, n = begin[piece], size[piece]
+        assert (at[1:] == at[:-1] + n[:-1]).all() and n.sum() == size[~piece][-1]
+        b, _, whole, bands = substrings.paragraphs(w)
+        assert bands.shape == (len(b), substrings.BANDS) and len(set(whole.tolist())) == len(whole)
+        found.append(set(whole[piece].tolist()))
+    assert found[0] == found[2] and len(found[0] & found[1]) > 0.8 * len(found[0])
+
+
 def test_passages_that_earlier_documents_quote_in_part(spark, frame):
     rng = random.Random(12)
     text = lambda n: [f"w{rng.randrange(4000)}" for _ in range(n)]
