@@ -274,22 +274,40 @@ def further(grown: DataFrame, hits: DataFrame, docs: DataFrame, text: str, key:
         return grown.select("doc", "place", "n", "kept_doc", "kept_place").where("false")
     context = fetch(docs, asked.select("doc", "place", F.lit(LEAST).cast("long").alias("n")), text, key, inside=False).dropDuplicates(["doc", "place", "n"])
 
+    def step(h: np.ndarray, words: np.ndarray) -> np.ndarray:
+        return mix(h * U64(0x100000001B3) + words)
+
+    def begin(b: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The hash of each stretch and side, the words there, nearest first, and how many there are."""
+        words, have = np.zeros((len(b), SPREAD), U64), np.zeros(len(b), np.int64)
+        for i, x in enumerate(b["side"]):
+            x = np.frombuffer(x, np.uint32)
+            words[i, : len(x)], have[i] = x, len(x)
+        return mix(b["key"].to_numpy().view(U64) ^ U64(0x5851F42D4C957F2D) * b["ahead"].to_numpy().astype(U64)), words, have
+
+    def one_more(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            sides = [np.frombuffer(x, np.uint32)[::-1].tobytes() if a else y for a, x, y in zip(b["ahead"], b["before"], b["behind"], strict=True)]
+            b = b.drop(columns=["before", "behind"]).assign(side=sides)
+            (h, words, have), least = begin(b), b["least"].to_numpy()
+            for m in range(int(least.max()) + 1 if len(b) else 0):
+                h = np.where(m <= least, step(h, words[:, m]), h)
+            yield b.assign(near=h.view(np.int64))[have > least]
+
     def lengthen(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            size = b["least"].to_numpy()
-            sides = [np.frombuffer(x, np.uint32)[::-1] if a else np.frombuffer(y, np.uint32) for a, x, y in zip(b["ahead"], b["before"], b["behind"], strict=True)]
-            have = np.array([len(x) for x in sides], np.int64)
-            words = np.zeros((len(b), SPREAD), U64)
-            for i, x in enumerate(sides):
-                words[i, : len(x)] = x
-            h = mix(b["key"].to_numpy().view(U64) ^ U64(0x5851F42D4C957F2D) * b["ahead"].to_numpy().astype(U64))
+            (h, words, have), least = begin(b), b["least"].to_numpy()
             for m in range(1, SPREAD + 1):
-                h = mix(h * U64(0x100000001B3) + words[:, m - 1])
-                at = np.flatnonzero((have >= m) & (size < m))
+                h = step(h, words[:, m - 1])
+                at = np.flatnonzero((have >= m) & (least < m))
                 if len(at):
-                    yield pd.DataFrame({"name": h[at].view(np.int64), "more": np.int32(m), "ahead": b["ahead"].to_numpy()[at], "doc": b["doc"].to_numpy()[at], "place": b["place"].to_numpy()[at]})
+                    yield b.iloc[at][["ahead", "doc", "place"]].assign(name=h[at].view(np.int64), more=np.int32(m))[["name", "more", "ahead", "doc", "place"]]
 
-    longer = asked.join(context.drop("n"), ["doc", "place"]).mapInPandas(lengthen, "name long, more int, ahead boolean, doc long, place long")
+    sides = asked.join(context.drop("n"), ["doc", "place"]).select("key", "ahead", "doc", "place", "least", "before", "behind")
+    sides = materialize(sides.mapInPandas(one_more, "key long, ahead boolean, doc long, place long, least long, side binary, near long"), "sides")
+    # who shares not even one word more than all do shares no longer ones
+    shared = broadcast_if_small(sides.groupBy("near").count().where("count > 1").select("near"), "shared")
+    longer = sides.join(shared, "near").mapInPandas(lengthen, "name long, more int, ahead boolean, doc long, place long")
     longer = materialize(longer, "longer")
     first = longer.groupBy("name", "more").agg(F.min(F.struct("doc", "place")).alias("first"), F.count("*").alias("c")).where("c > 1")
     first = broadcast_if_small(first.select("name", "more", F.col("first.doc").alias("kept_doc"), F.col("first.place").alias("kept_place")), "longer-firsts")
