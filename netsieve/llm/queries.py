@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from netsieve.llm import ann, bpe, fingerprints, langid, packing, secrets, simhash, substrings, toxicity, warc
+from netsieve.llm import ann, bpe, codes, fingerprints, langid, packing, secrets, sharding, simhash, substrings, toxicity, warc, whitening
 from netsieve.plans.registry import query
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -65,3 +65,18 @@ def op9(spark: SparkSession, sf: str) -> DataFrame:
 @query("op10_warc_transactions")
 def op10(spark: SparkSession, sf: str) -> DataFrame:
     return warc.page_rows(warc.archive(spark.read.parquet(f"{sf}/pages.parquet"), with_payload=False))
+
+
+@query("op11_gnat_codes", codes.ORACLE_SQL)
+def op11(spark: SparkSession, sf: str) -> DataFrame:
+    return codes.code_rows(spark.read.parquet(f"{sf}/embeddings.parquet"))
+
+
+@query("op12_weighted_hash_tree", sharding.ORACLE_SQL)
+def op12(spark: SparkSession, sf: str) -> DataFrame:
+    return sharding.document_rows(documents(spark, sf))
+
+
+@query("op13_qd_whitening")
+def op13(spark: SparkSession, sf: str) -> DataFrame:
+    return whitening.whitened_rows(spark.read.parquet(f"{sf}/embeddings.parquet"))
