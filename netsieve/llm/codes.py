@@ -169,7 +169,8 @@ def _entry_sums(ints: DataFrame, books: np.ndarray) -> DataFrame:
                 total[p, used] += np.add.reduceat(cut[p][order], start)
                 n[p] += np.bincount(code[p], minlength=size)
         part, entry = np.nonzero(n)
-        yield pd.DataFrame({"part": part, "entry": entry, "n": n[part, entry], "total": list(total[part, entry])})
+        if len(part):
+            yield pd.DataFrame({"part": part, "entry": entry, "n": n[part, entry], "total": list(total[part, entry])})
 
     sums = ints.select("v").mapInPandas(run, "part int, entry int, n long, total array<long>")
     return sums.groupBy("part", "entry").agg(F.sum("n").alias("n"), F.array(*[F.sum(F.col("total")[i]) for i in range(long)]).alias("total"))
