@@ -33,7 +33,7 @@ from netsieve.llm.vectors import kept_vectors, scaled
 from netsieve.session import broadcast_if_small, materialize
 
 ENTRIES, PARTS, ROUNDS = 256, 4, 4
-ARITY, LEAF = 12, 20  # split points of a node; a node with at most so many entries has no children
+ARITY, LEAF = 8, 32  # split points of a node; a node with at most so many entries has no children
 ROUNDING = 1e-12  # relative, far above the error of a square root or a difference
 EXACT = 1 << 53  # up to here integers in doubles are exact
 LONG = (1 << 63) - 1
@@ -57,7 +57,7 @@ class Gnat:
 
     def _build(self, own: np.ndarray) -> _Node:
         none = np.zeros((0, 0))
-        if len(own) <= LEAF:
+        if len(own) <= max(LEAF, ARITY):
             return _Node(own, [], none, none)
         far = self._squares(self.entries[own], self.entries[own[:1]])[:, 0]
         splits = [int(far.argmax())]  # each next split point is the farthest from those before
@@ -78,38 +78,51 @@ class Gnat:
 
     def _squares(self, some: np.ndarray, others: np.ndarray) -> np.ndarray:
         """Exact squared distances of all rows of both."""
-        reach = max(int(np.abs(some).max(initial=0)), self.reach)
-        if 4 * some.shape[1] * reach * reach < EXACT:
-            a, b = some.astype(float), others.astype(float)
-            return ((a * a).sum(1)[:, None] - 2 * (a @ b.T) + (b * b).sum(1)).astype(np.int64)
-        return np.stack([((some - b) ** 2).sum(1) for b in others], axis=1)
+        kind = self._kind(some)
+        some = some.astype(kind)
+        return self._from(some, (some * some).sum(1), others)
+
+    def _kind(self, some: np.ndarray) -> type:
+        """Doubles where they hold every sum exactly, else longs, whose overflows cancel."""
+        reach = max(int(some.max(initial=0)), -int(some.min(initial=0)), self.reach)
+        return np.float64 if 4 * some.shape[1] * reach * reach < EXACT else np.int64
+
+    @staticmethod
+    def _from(some: np.ndarray, norms: np.ndarray, others: np.ndarray) -> np.ndarray:
+        others = others.astype(some.dtype)
+        out = some @ (others.T * -2)
+        out += norms[:, None]
+        out += (others * others).sum(1)
+        return out
 
     def nearest(self, parts: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
         """Index and squared distance of each part's nearest entry, and how many distances were computed."""
-        index, best = np.full(len(parts), len(self.entries), np.int64), np.full(len(parts), LONG)
-        seen = self._visit(self.root, parts, np.arange(len(parts)), index, best)
-        return index, best, seen
+        parts = parts.astype(self._kind(parts))
+        index, best = np.full(len(parts), len(self.entries), np.int64), np.full(len(parts), LONG).astype(parts.dtype)
+        seen = self._visit(self.root, parts, (parts * parts).sum(1), np.arange(len(parts)), index, best)
+        return index, best.astype(np.int64), seen
 
-    def _visit(self, node: _Node, parts: np.ndarray, rows: np.ndarray, index: np.ndarray, best: np.ndarray) -> int:
-        squares = self._squares(parts[rows], self.entries[node.index])
+    def _visit(self, node: _Node, parts: np.ndarray, norms: np.ndarray, rows: np.ndarray, index: np.ndarray, best: np.ndarray) -> int:
+        squares = self._from(parts[rows], norms[rows], self.entries[node.index])
         at = squares.argmin(1)  # the first of equal ones, which is the lowest index
-        found, which = squares[np.arange(len(rows)), at], node.index[at]
-        better = (found < best[rows]) | ((found == best[rows]) & (which < index[rows]))
+        found, which, had = squares[np.arange(len(rows)), at], node.index[at], best[rows]
+        better = np.flatnonzero((found < had) | ((found == had) & (which < index[rows])))
         best[rows[better]], index[rows[better]] = found[better], which[better]
         seen = squares.size
         if not node.children:
             return seen
         dist = np.sqrt(squares.astype(float))
         first = dist[:, [j for _, j in node.children]].argmin(1)  # the child of the nearest split point is searched first
+        nearer, farther = dist * (1 - ROUNDING), dist * (1 + ROUNDING)
         for turn in (True, False):
             for c, (child, _) in enumerate(node.children):
                 go = np.flatnonzero((first == c) == turn)
-                reach = np.sqrt(best[rows[go]].astype(float))[:, None] * (1 + ROUNDING)
-                own = dist[go]
-                gone = (own * (1 - ROUNDING) - reach > node.high[:, c]) | (own * (1 + ROUNDING) + reach < node.low[:, c])
-                go = go[~gone.any(1)]
+                reach = np.sqrt(best[rows[go]].astype(float)) * (1 + ROUNDING)
+                for j in range(len(node.index)):  # a split point that leaves the child out settles it
+                    gone = (nearer[go, j] - reach > node.high[j, c]) | (farther[go, j] + reach < node.low[j, c])
+                    go, reach = go[~gone], reach[~gone]
                 if len(go):
-                    seen += self._visit(child, parts, rows[go], index, best)
+                    seen += self._visit(child, parts, norms, rows[go], index, best)
         return seen
 
 

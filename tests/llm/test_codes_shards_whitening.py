@@ -232,7 +232,7 @@ def check_whitened(got, rows, k=8):
         assert next(iter(by_id.values()))[m]["explained"] == pytest.approx(share, rel=1e-9)
         gap = min([abs(values[m - 1] - v) for j, v in enumerate(values) if j != m - 1], default=1)
         if gap > 1e-6 * values[0]:  # otherwise any basis of the equal values' space is right
-            want = dict(zip(ids, c @ vectors[:, m - 1] / math.sqrt(values[m - 1]), strict=True))
+            want = {i: w for i, w in zip(ids, c @ vectors[:, m - 1] / math.sqrt(values[m - 1]), strict=True) if ids.count(i) == 1}
             have = np.array([by_id[i][m]["whitened"] for i in want])
             sign = np.sign(have @ np.array(list(want.values())))
             assert np.abs(sign * have - np.array(list(want.values()))).max() < 1e-6
