@@ -18,7 +18,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from netsieve.llm.textops import U64, chunks, code_points, mix, span_hashes, windows, words
+from netsieve.llm.textops import U64, chunks, code_points, mix, windows, word_hashes, words
 from netsieve.session import materialize
 
 SAMPLES, SHINGLE = 64, 5
@@ -30,12 +30,12 @@ _KEYS = mix(np.arange(1, 2 * SAMPLES + 1).astype(U64) * U64(0x9E3779B97F4A7C15))
 def weighted_terms(texts: list[str], k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Text number, term hash and count, by text."""
     own = [t.lower() for t in texts]
-    codes = code_points("\n".join(own))
-    lo, hi = words(codes)
+    whole = "\n".join(own)
+    lo, _ = words(code_points(whole))
     if not len(lo):
         return np.zeros(0, np.int64), np.zeros(0, U64), np.zeros(0, np.int64)
     doc = np.searchsorted(np.cumsum([len(t) + 1 for t in own]), lo, side="right")
-    h = span_hashes(codes, lo, hi)
+    h = word_hashes(whole)
     term = windows(h, k)
     inside = doc[: len(term)] == doc[k - 1 :] if len(term) else np.zeros(0, bool)
     docs, terms = [doc[: len(term)][inside]], [term[inside]]

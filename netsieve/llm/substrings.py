@@ -9,11 +9,13 @@ are found as stretches: among every ``SPREAD`` places in a row the one with the
 one with each of its copies, wherever it stands.
 
 Steps. All units are written once. Equal units are counted map-side first, and all but the first of each are removals.
-Equal stretches of two documents at the same distance become one run, gaps smaller than the places between two
-stretches included; the words on both sides are then fetched as hashes, and a run grows while they agree. Where it
-stops early, the stretch at its end is looked up together with 1 to ``SPREAD`` words more among all holders of the
-stretch, and the earliest holder of the longest that an earlier place has is a further partner. So each word of a
-passage of ``LEAST + SPREAD - 1`` words that an earlier place has is removed, whoever else quotes a part of it.
+Every place of a stretch that more than one place has is read again with ``SPREAD`` words before it and as many behind,
+as its two sides. Equal sides are one row. These rows are sorted, so that the places which share most words with one
+stand next to it, and for each the longest run of words is found that any earlier place has as well. Ranges of the
+sorted table are tasks, however many places a stretch has; what spans ranges is settled by a few numbers of each. So
+each word of a passage of ``LEAST + SPREAD - 1`` words that an earlier place has is removed, whoever else quotes a part
+of it. Words of sides are compared by 32 bits: one wrong word beside a stretch in 4 billion stretches may be taken for
+equal and removed with it.
 Different paragraphs that share a band are verified by exact Jaccard similarity, all pairs of them: a band with many
 is cut into parts, and each pair of parts is a group of its own, whose shared shingles are counted by one matrix
 product. A group gives back a spanning forest of the pairs it verified, never the pairs. Paragraphs that match form
@@ -21,7 +23,11 @@ connected components; each keeps its first member, all other members are removal
 place.
 
 Null texts count as empty; rows without an id take no part; rows of one id should be one document (of several, units
-of all count, at the same word positions). Words are what white space separates; equality is that of 64-bit hashes.
+of all count, at the same word positions; rows with equal id and text are equal places, none of which is removed). Ties
+are settled by (id, place). Other columns do not matter, whatever they are called; an empty table gives no rows. Lines
+of 5 to 19 words that belong to no larger unit are never removed alone, only within a passage. Words are what white
+space separates; equality is that of 64-bit hashes (xxh3), and a unit goes as a whole: the end of a near paragraph may
+be words that do not repeat.
 """
 
 from __future__ import annotations
@@ -33,7 +39,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 from netsieve.llm.components import connected_components, join_labels
-from netsieve.llm.textops import U64, chunks, code_points, mix, span_hashes, windows, words
+from netsieve.llm.textops import U64, chunks, code_points, mix, windows, word_hashes, words
 from netsieve.session import broadcast_if_small, materialize
 
 SHINGLE, SIMILAR = 5, 0.8
@@ -41,7 +47,8 @@ LEAST, SPREAD = 20, 31  # words of a unit; places among which one begins a stret
 BANDS, ROWS = 6, 2
 BLOCK = 1 << 20
 PART, COLUMNS = 1024, 4096  # paragraphs of a band in one group's part; shared shingles counted at once
-PLACES = 8_000_000  # at most so many are broadcast
+PLACES = 1_000_000  # at most so many are broadcast
+RANGE = 150_000  # sides of a sorted range
 FEW = 24  # paragraphs of a group that are compared pair by pair
 PARAGRAPH, STRETCH, BAND = 0, 1, 2
 NOWHERE = np.iinfo(np.uint64).max
@@ -53,9 +60,10 @@ class Words:
     """The words of some texts: hashes, and the text and line each stands in."""
 
     def __init__(self, texts: list[str]):
-        codes = code_points("\n".join(texts))
+        whole = "\n".join(texts)
+        codes = code_points(whole)
         self.lo, self.hi = words(codes)
-        self.hash = span_hashes(codes, self.lo, self.hi)
+        self.hash = word_hashes(whole)
         end = np.cumsum([len(t) + 1 for t in texts])
         self.doc = np.searchsorted(end, self.lo, side="right")
         self.line = np.searchsorted(np.flatnonzero(codes == 10), self.lo)
@@ -192,12 +200,13 @@ def units(docs: DataFrame, text: str, key: str) -> DataFrame:
     return src.mapInPandas(run, "kind int, key long, whole long, doc long, place long, n long")
 
 
-def fetch(docs: DataFrame, wanted: DataFrame, text: str, key: str, inside: bool) -> DataFrame:
-    """``wanted`` (doc, place, n) with word hashes: those inside, or the ``SPREAD`` before and behind, as binary.
+def fetch(docs: DataFrame, wanted: DataFrame, text: str, key: str, read, schema: str) -> DataFrame:
+    """Rows that ``read`` makes of the places ``wanted`` (doc, place, n, tag): it gets a document's id, word hashes, and
+    its places.
 
     The places are gathered by document and meet the texts in a join. Up to ``PLACES`` of them, 24 bytes each, are sent
     round; beyond that both sides are shuffled."""
-    by_doc = materialize(wanted.distinct().groupBy("doc").agg(F.collect_list(F.struct("place", "n")).alias("places")), "places")
+    by_doc = materialize(wanted.groupBy("doc").agg(F.collect_list(F.struct("place", "n", "tag")).alias("places")), "places")
     texts = docs.select(F.col(key).cast("long").alias("doc"), F.coalesce(text, F.lit("")).alias("_text"))
     if (by_doc.agg(F.sum(F.size("places"))).first()[0] or 0) <= PLACES:
         by_doc = F.broadcast(by_doc)
@@ -207,115 +216,196 @@ def fetch(docs: DataFrame, wanted: DataFrame, text: str, key: str, inside: bool)
             texts = b["_text"].tolist()
             for lo, hi in chunks([len(t) for t in texts], BLOCK):
                 w = Words(texts[lo:hi])
-                rows = []
                 for i, (doc, places) in enumerate(zip(b["doc"].iloc[lo:hi], b["places"].iloc[lo:hi], strict=True)):
-                    h = w.hash[w.first[i] : w.first[i + 1]]
-                    for p in places:
-                        s, e = p["place"], p["place"] + p["n"]
-                        if inside:
-                            rows.append((doc, s, p["n"], h[s:e].tobytes(), None))
-                        else:
-                            rows.append((doc, s, p["n"], h[max(0, s - SPREAD) : s].astype(np.uint32).tobytes(), h[e : e + SPREAD].astype(np.uint32).tobytes()))
-                yield pd.DataFrame(rows, columns=["doc", "place", "n", "before", "behind"])
-
-    return texts.join(by_doc, "doc").mapInPandas(run, "doc long, place long, n long, before binary, behind binary")
-
-
-def _agree(a: bytes, b: bytes, last: bool) -> int:
-    """How many numbers agree from the end (``last``) or the beginning."""
-    x, y = np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint32)
-    n = min(len(x), len(y))
-    same = (x[len(x) - n :] == y[len(y) - n :])[::-1] if last else x[:n] == y[:n]
-    return n if same.all() else int(same.argmin())
-
-
-def runs(found: DataFrame, docs: DataFrame, text: str, key: str) -> DataFrame:
-    """Runs of equal stretches (doc, place, n, kept_doc, kept_place), grown as far as the words agree, and ``left`` and
-    ``right``, the words they grew by.
-
-    Within a document a run may overlap its original: each of its words repeats the one ``place - kept_place`` earlier."""
-    line = Window.partitionBy("doc", "kept_doc", "shift").orderBy("place")
-    gap = F.col("place") - F.lag("place").over(line) > SPREAD
-    own = found.withColumn("shift", F.col("kept_place") - F.col("place")).withColumn("new", F.coalesce(gap, F.lit(True)).cast("int"))
-    own = own.withColumn("run", F.sum("new").over(line)).groupBy("doc", "kept_doc", "shift", "run").agg(F.min("place").alias("place"), F.max(F.col("place") + LEAST).alias("end"))
-    own = own.select("doc", "place", (F.col("end") - F.col("place")).alias("n"), "kept_doc", (F.col("place") + F.col("shift")).alias("kept_place"))
-    own = materialize(own, "runs")
-    wanted = own.select("doc", "place", "n").unionByName(own.select(F.col("kept_doc").alias("doc"), F.col("kept_place").alias("place"), "n"))
-    context = materialize(fetch(docs, wanted, text, key, inside=False).dropDuplicates(["doc", "place", "n"]), "context")
-    kept = context.select(F.col("doc").alias("kept_doc"), F.col("place").alias("kept_place"), "n", F.col("before").alias("kept_before"), F.col("behind").alias("kept_behind"))
-
-    def grow(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            left = np.array([_agree(x, y, True) for x, y in zip(b["before"], b["kept_before"], strict=True)], np.int64)
-            right = np.array([_agree(x, y, False) for x, y in zip(b["behind"], b["kept_behind"], strict=True)], np.int64)
-            out = b[["doc", "place", "n", "kept_doc", "kept_place"]].copy()
-            out["place"], out["kept_place"], out["n"] = out["place"] - left, out["kept_place"] - left, out["n"] + left + right
-            yield out.assign(left=left, right=right)
-
-    both = own.join(context, ["doc", "place", "n"]).join(kept, ["kept_doc", "kept_place", "n"])
-    return both.select("doc", "place", "n", "kept_doc", "kept_place", "before", "behind", "kept_before", "kept_behind").mapInPandas(grow, "doc long, place long, n long, kept_doc long, kept_place long, left long, right long")
-
-
-def further(grown: DataFrame, hits: DataFrame, docs: DataFrame, text: str, key: str) -> DataFrame:
-    """Removals (doc, place, n, kept_doc, kept_place) beyond the ends of ``grown``, named by other holders of the stretch
-    at the end. ``hits`` are all but the first of the equal stretches."""
-    ends = grown.select("doc", F.explode(F.array(
-        F.struct(F.lit(True).alias("ahead"), (F.col("place") + F.col("left")).alias("place"), F.col("left").alias("agreed")),
-        F.struct(F.lit(False).alias("ahead"), (F.col("place") + F.col("n") - F.col("right") - LEAST).alias("place"), F.col("right").alias("agreed")),
-    )).alias("end")).select("doc", "end.*").where(F.col("agreed") < SPREAD)
-    often = broadcast_if_small(hits.groupBy("key").count().where("count > 1").select("key"), "often")
-    held = hits.join(often, "key").select("key", "doc", "place")
-    ends = ends.where((F.col("place") > 0) | ~F.col("ahead")).join(held, ["doc", "place"])
-    ends = materialize(ends.groupBy("key", "ahead", "doc", "place").agg(F.min("agreed").alias("agreed")), "ends")
-    # holders inside a run count as well: what agrees with them may be the end of another
-    least = broadcast_if_small(ends.groupBy("key", "ahead").agg(F.min("agreed").alias("least")), "least")
-    asked = materialize(held.join(least, "key"), "asked")
-    if asked.isEmpty():
-        return grown.select("doc", "place", "n", "kept_doc", "kept_place").where("false")
-    context = fetch(docs, asked.select("doc", "place", F.lit(LEAST).cast("long").alias("n")), text, key, inside=False).dropDuplicates(["doc", "place", "n"])
-
-    def step(h: np.ndarray, words: np.ndarray) -> np.ndarray:
-        return mix(h * U64(0x100000001B3) + words)
-
-    def begin(b: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The hash of each stretch and side, the words there, nearest first, and how many there are."""
-        words, have = np.zeros((len(b), SPREAD), U64), np.zeros(len(b), np.int64)
-        for i, x in enumerate(b["side"]):
-            x = np.frombuffer(x, np.uint32)
-            words[i, : len(x)], have[i] = x, len(x)
-        return mix(b["key"].to_numpy().view(U64) ^ U64(0x5851F42D4C957F2D) * b["ahead"].to_numpy().astype(U64)), words, have
-
-    def one_more(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            sides = [np.frombuffer(x, np.uint32)[::-1].tobytes() if a else y for a, x, y in zip(b["ahead"], b["before"], b["behind"], strict=True)]
-            b = b.drop(columns=["before", "behind"]).assign(side=sides)
-            (h, words, have), least = begin(b), b["least"].to_numpy()
-            for m in range(int(least.max()) + 1 if len(b) else 0):
-                h = np.where(m <= least, step(h, words[:, m]), h)
-            yield b.assign(near=h.view(np.int64))[have > least]
-
-    def lengthen(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            (h, words, have), least = begin(b), b["least"].to_numpy()
-            for m in range(1, SPREAD + 1):
-                h = step(h, words[:, m - 1])
-                at = np.flatnonzero((have >= m) & (least < m))
-                if len(at):
-                    yield b.iloc[at][["ahead", "doc", "place"]].assign(name=h[at].view(np.int64), more=np.int32(m))[["name", "more", "ahead", "doc", "place"]]
-
-    sides = asked.join(context.drop("n"), ["doc", "place"]).select("key", "ahead", "doc", "place", "least", "before", "behind")
-    sides = materialize(sides.mapInPandas(one_more, "key long, ahead boolean, doc long, place long, least long, side binary, near long"), "sides")
-    # who shares not even one word more than all do shares no longer ones
-    shared = broadcast_if_small(sides.groupBy("near").count().where("count > 1").select("near"), "shared")
-    longer = sides.join(shared, "near").mapInPandas(lengthen, "name long, more int, ahead boolean, doc long, place long")
-    longer = materialize(longer, "longer")
-    first = longer.groupBy("name", "more").agg(F.min(F.struct("doc", "place")).alias("first"), F.count("*").alias("c")).where("c > 1")
-    first = broadcast_if_small(first.select("name", "more", F.col("first.doc").alias("kept_doc"), F.col("first.place").alias("kept_place")), "longer-firsts")
-    found = longer.join(first, ["name", "more"]).where("doc <> kept_doc OR place <> kept_place")
-    found = found.groupBy("ahead", "doc", "place").agg(F.max(F.struct("more", "kept_doc", "kept_place")).alias("best")).select("ahead", "doc", "place", "best.*")
-    found = found.join(ends.select("ahead", "doc", "place", "agreed"), ["ahead", "doc", "place"]).where("more > agreed")
-    back = F.when(F.col("ahead"), F.col("more")).otherwise(0)
-    return found.select("doc", (F.col("place") - back).alias("place"), (F.col("more") + LEAST).cast("long").alias("n"), "kept_doc", (F.col("kept_place") - back).alias("kept_place"))
+                    at = np.array([(p["place"], p["n"], p["tag"]) for p in places], np.int64).reshape(-1, 3)
+                    yield read(doc, w.hash[w.first[i] : w.first[i + 1]], at)
+
+    return texts.join(by_doc, "doc").mapInPandas(lambda batches: gathered(run(batches)), schema)
+
+
+def gathered(frames: Iterator[pd.DataFrame], rows: int = 20_000) -> Iterator[pd.DataFrame]:
+    """Small frames put together."""
+    held: list[pd.DataFrame] = []
+    for f in frames:
+        held.append(f)
+        if sum(map(len, held)) >= rows:
+            yield pd.concat(held, ignore_index=True)
+            held = []
+    if held:
+        yield pd.concat(held, ignore_index=True)
+
+
+def sides_of(doc: int, h: np.ndarray, at: np.ndarray) -> pd.DataFrame:
+    """For each stretch of a document the ``SPREAD`` words before and behind it, nearest first, and how many there are."""
+    place, tag, n = at[:, 0], at[:, 2], len(h)
+    reach = np.arange(SPREAD)
+    out = []
+    for ahead, where in ((True, place[:, None] - 1 - reach), (False, place[:, None] + LEAST + reach)):
+        inside = (where >= 0) & (where < n)
+        words = np.where(inside, h[np.clip(where, 0, n - 1)], U64(0))
+        have = inside.sum(1)
+        salt = mix(tag.view(U64) + U64(0x5851F42D4C957F2D + ahead))  # a side may hold the words of its stretch
+        names = mix(_fold(words.ravel(), np.arange(len(place)) * SPREAD, have) + salt)
+        side = [x[:m].astype(np.uint32).tobytes() for x, m in zip(words, have.tolist(), strict=True)]
+        out.append(pd.DataFrame({"key": tag, "ahead": ahead, "name": names.view(np.int64), "side": side, "doc": doc, "place": place}))
+    return pd.concat(out, ignore_index=True)
+
+
+def _agreement(words: np.ndarray, have: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """How many words each row shares with the row before; -1 for another group."""
+    same = words[1:] == words[:-1]
+    n = np.where(same.all(1), SPREAD, same.argmin(1))
+    n = np.minimum(n, np.minimum(have[1:], have[:-1]))
+    return np.concatenate(([-1], np.where(group[1:] == group[:-1], n, -1)))
+
+
+def _unpack(sides: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+    have = np.array([len(x) // 4 for x in sides], np.int64)
+    words = np.frombuffer(b"".join(bytes(x).ljust(4 * SPREAD, b"\0") for x in sides), np.uint32).reshape(-1, SPREAD)
+    return words, have
+
+
+def _sorted_range(b: pd.DataFrame) -> tuple[pd.DataFrame, np.ndarray]:
+    """A range in order, and the agreement of each row with the one before."""
+    b = b.sort_values("at", kind="stable").reset_index(drop=True)
+    words, have = _unpack(b["side"])
+    return b, _agreement(words, have, b["key"].to_numpy().view(U64) * U64(2) + b["ahead"].to_numpy().astype(U64))
+
+
+def range_edges(b: pd.DataFrame) -> pd.DataFrame:
+    """What other ranges need of one: its first and last row, and for each number of words the earliest place among
+    the rows that share so many with the first row, and with the last; and whether that is all rows."""
+    b, agreed = _sorted_range(b)
+    doc, place = b["doc"].to_numpy(), b["place"].to_numpy()
+    out = {"task": [int(b["task"].iloc[0])]}
+    for m in range(SPREAD + 1):
+        start = np.flatnonzero(agreed < m)
+        head, tail = int(start[1]) if len(start) > 1 else len(b), int(start[-1])
+        for name, s, e in (("head", 0, head), ("tail", tail, len(b))):
+            i = s + np.lexsort((place[s:e], doc[s:e]))[0]
+            out.setdefault(name, []).append((int(doc[i]), int(place[i])))
+        out.setdefault("through", []).append(len(start) == 1)
+    row = {"task": out["task"][0]}
+    for name in ("head", "tail"):
+        row[f"{name}_doc"], row[f"{name}_place"] = [d for d, _ in out[name]], [p for _, p in out[name]]
+    row["through"] = out["through"]
+    for name, i in (("first", 0), ("last", len(b) - 1)):
+        row[f"{name}_key"], row[f"{name}_ahead"], row[f"{name}_side"] = int(b["key"].iloc[i]), bool(b["ahead"].iloc[i]), bytes(b["side"].iloc[i])
+    return pd.DataFrame([row])
+
+
+EDGES = (
+    "task int, head_doc array<long>, head_place array<long>, tail_doc array<long>, tail_place array<long>, through array<boolean>, "
+    "first_key long, first_ahead boolean, first_side binary, last_key long, last_ahead boolean, last_side binary"
+)
+Place = tuple[int, int]
+
+
+def carried(edges: list) -> list[tuple[int, list[Place | None], list[Place | None]]]:
+    """For each range, in order, and each number of words: the earliest place in ranges before it that shares so many
+    with its first row, and in ranges behind it with its last row."""
+    edges = sorted(edges, key=lambda r: r["task"])
+    shared = []
+    for x, y in zip(edges, edges[1:]):
+        a, b = np.frombuffer(x["last_side"], np.uint32), np.frombuffer(y["first_side"], np.uint32)
+        n = min(len(a), len(b))
+        same = a[:n] == b[:n]
+        agreed = n if same.all() else int(same.argmin())
+        shared.append(agreed if (x["last_key"], x["last_ahead"]) == (y["first_key"], y["first_ahead"]) else -1)
+
+    def sweep(order: list[int], name: str) -> list[list[Place | None]]:
+        out: list[list[Place | None]] = [[None] * (SPREAD + 1) for _ in edges]
+        for at, nxt in zip(order, order[1:]):
+            own = [*zip(edges[at][f"{name}_doc"], edges[at][f"{name}_place"], strict=True)]
+            for m in range(shared[min(at, nxt)] + 1):
+                through = out[at][m] if edges[at]["through"][m] else None
+                out[nxt][m] = own[m] if through is None else min(own[m], through)
+        return out
+
+    n = list(range(len(edges)))
+    return [(r["task"], a, b) for r, a, b in zip(edges, sweep(n, "tail"), sweep(n[::-1], "head"), strict=True)]
+
+
+def earliest(b: pd.DataFrame, before: list[Place | None], behind: list[Place | None]) -> pd.DataFrame:
+    """For each row of a range, the largest number of words that it shares with an earlier place, and the earliest of
+    those places: ``name``, ``more``, ``kept_doc``, ``kept_place``. Rows without an earlier place are left out."""
+    b, agreed = _sorted_range(b)
+    doc = np.append(b["doc"].to_numpy(), [p[0] for p in [*before, *behind] if p])
+    place = np.append(b["place"].to_numpy(), [p[1] for p in [*before, *behind] if p])
+    order = np.lexsort((place, doc))
+    rank = np.empty(len(order), np.int64)
+    new = np.concatenate(([False], (np.diff(doc[order]) != 0) | (np.diff(place[order]) != 0)))
+    rank[order] = np.cumsum(new)
+    n = len(b)
+    outer = iter(rank[n:].tolist())
+    ahead, after = [[next(outer) if p else None for p in own] for own in (before, behind)]
+    own, best, kept = rank[:n], np.full(n, -1), np.zeros(n, np.int64)
+    for m in range(SPREAD, -1, -1):
+        start = np.flatnonzero(agreed < m)
+        least = np.minimum.reduceat(own, start)
+        if ahead[m] is not None:
+            least[0] = min(least[0], ahead[m])
+        if after[m] is not None:
+            least[-1] = min(least[-1], after[m])
+        least = np.repeat(least, np.diff(np.append(start, n)))
+        found = (best < 0) & (least < own)
+        best[found], kept[found] = m, least[found]
+    some = best >= 0
+    by_rank = np.empty(int(rank.max()) + 1, np.int64)
+    by_rank[rank] = np.arange(len(rank))
+    at = by_rank[kept[some]]
+    return pd.DataFrame({"name": b["name"].to_numpy()[some], "more": best[some].astype(np.int32), "kept_doc": doc[at], "kept_place": place[at]})
+
+
+def passages(held: DataFrame, docs: DataFrame, text: str, key: str) -> DataFrame:
+    """Removals (doc, place, n, kept_doc, kept_place) around the stretches ``held`` (doc, place, n, tag) that more than
+    one place has: on either side as far as any earlier place agrees.
+
+    Equal sides are one row. The rows are sorted as text is, so that the places which share most words with one stand
+    next to it; ranges of the sorted table are tasks, and what spans ranges is settled by their edges."""
+    kind = "key long, ahead boolean, name long, side binary, doc long, place long"
+    sides = materialize(fetch(docs, held, text, key, sides_of, kind), "sides")
+    firsts = sides.groupBy("name", "key", "ahead", "side").agg(F.min(F.struct("doc", "place")).alias("f")).select("name", "key", "ahead", "side", "f.doc", "f.place")
+    firsts = materialize(firsts, "first-sides")
+    ranges = max(docs.sparkSession.sparkContext.defaultParallelism, -(-firsts.count() // RANGE))
+    ordered = firsts.repartitionByRange(ranges, "key", "ahead", "side").sortWithinPartitions("key", "ahead", "side")
+    ordered = materialize(ordered.withColumn("task", F.spark_partition_id()).withColumn("at", F.monotonically_increasing_id()), "ordered")
+    edges = carried(ordered.groupBy("task").applyInPandas(range_edges, EDGES).collect())  # one row a range
+    flat = [(t, [p and list(p) for p in a], [p and list(p) for p in b]) for t, a, b in edges]
+    across = docs.sparkSession.createDataFrame(flat, "task int, before array<array<long>>, behind array<array<long>>")
+
+    def settle(b: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
+        own = [[None if p is None else (int(p[0]), int(p[1])) for p in c[name].iloc[0]] for name in ("before", "behind")]
+        return earliest(b, *own)
+
+    best = ordered.groupBy("task").cogroup(across.groupBy("task")).applyInPandas(settle, "name long, more int, kept_doc long, kept_place long")
+    best = firsts.select("name", F.col("doc").alias("first_doc"), F.col("place").alias("first_place")).join(best, "name", "left")
+    best = broadcast_if_small(best, "best-sides")
+    is_first = (F.col("doc") == F.col("first_doc")) & (F.col("place") == F.col("first_place"))
+    words = (F.octet_length("side") / 4).cast("int")
+    found = sides.join(best, "name").select(
+        "ahead", "doc", "place",
+        F.when(is_first, F.col("more")).otherwise(words).cast("long").alias("more"),
+        F.when(is_first, F.col("kept_doc")).otherwise(F.col("first_doc")).alias("kept_doc"),
+        F.when(is_first, F.col("kept_place")).otherwise(F.col("first_place")).alias("kept_place"),
+    ).where("kept_doc IS NOT NULL")
+    back = F.when(F.col("ahead"), F.col("more")).otherwise(F.lit(0))
+    found = found.select("doc", (F.col("place") - back).alias("place"), (F.col("more") + LEAST).alias("n"), "kept_doc", (F.col("kept_place") - back).alias("kept_place"))
+    return joined(found)
+
+
+def joined(spans: DataFrame) -> DataFrame:
+    """Spans (doc, place, n, kept_doc, kept_place) that overlap or meet at the same distance, as one."""
+    line = Window.partitionBy("doc", "kept_doc", "shift").orderBy("place", "n")
+    reach = F.max(F.col("place") + F.col("n")).over(line.rowsBetween(Window.unboundedPreceding, -1))
+    own = spans.withColumn("shift", F.col("kept_place") - F.col("place")).withColumn("new", F.coalesce(F.col("place") > reach, F.lit(True)).cast("int"))
+    own = own.withColumn("run", F.sum("new").over(line)).groupBy("doc", "kept_doc", "shift", "run").agg(F.min("place").alias("place"), F.max(F.col("place") + F.col("n")).alias("end"))
+    return own.select("doc", "place", (F.col("end") - F.col("place")).alias("n"), "kept_doc", (F.col("place") + F.col("shift")).alias("kept_place"))
+
+
+def inside_of(doc: int, h: np.ndarray, at: np.ndarray) -> pd.DataFrame:
+    """The words of each unit of a document."""
+    return pd.DataFrame({"whole": at[:, 2], "words": [h[s : s + n].tobytes() for s, n in at[:, :2].tolist()]})
 
 
 def similar(sets: list[np.ndarray], rows: np.ndarray, cols: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -381,8 +471,8 @@ def near_paragraphs(bands: DataFrame, firsts: DataFrame, docs: DataFrame, text:
     members = materialize(bands.join(shared, "key").select("key", "whole").distinct(), "members")
     names = members.select(F.col("whole").alias("key")).distinct()
     at = materialize(firsts.join(names, "key").select(F.col("key").alias("whole"), "doc", "place", "n"), "paragraphs")
-    content = fetch(docs, at.select("doc", "place", "n"), text, key, inside=True).select("doc", "place", "n", F.col("before").alias("words")).dropDuplicates(["doc", "place", "n"])
-    content = materialize(at.join(content, ["doc", "place", "n"]).select("whole", "words"), "content")
+    content = fetch(docs, at.select("doc", "place", "n", F.col("whole").alias("tag")), text, key, inside_of, "whole long, words binary")
+    content = materialize(content.dropDuplicates(["whole"]), "content")  # rows of one id would give a paragraph more than once
     most = max(PART, members.count() // 100_000)  # so that crowded bands are at most 100,000 short rows
     crowded = materialize(members.groupBy("key").count().where(F.col("count") > most).select("key", F.ceil(F.col("count") / most).cast("int").alias("parts")), "crowded")
     dealt = members.join(F.broadcast(crowded), "key", "left").withColumn("part", F.when(F.col("parts").isNull(), 0).otherwise(F.pmod(F.xxhash64("whole"), "parts")).cast("int"))
@@ -417,13 +507,11 @@ def duplicate_spans(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
     firsts = exact.groupBy("kind", "key").agg(F.min(place).alias("first"), F.count("*").alias("c")).where(f"kind = {PARAGRAPH} OR c > 1")
     firsts = materialize(firsts.select("kind", "key", "first.*", "c"), "firsts")
     again = firsts.where("c > 1").select("kind", "key", F.col("doc").alias("kept_doc"), F.col("place").alias("kept_place"))
-    hits = exact.join(again, ["kind", "key"]).where("doc <> kept_doc OR place <> kept_place")
-    hits = materialize(hits.select("kind", "key", "doc", "place", "n", "kept_doc", "kept_place"), "hits")
+    hits = materialize(exact.join(again, ["kind", "key"]).select("kind", "key", "doc", "place", "n", "kept_doc", "kept_place"), "hits")
     kept = [F.col("kept_doc"), F.col("kept_place")]
-    repeats = hits.where(f"kind = {STRETCH}")
-    grown = materialize(runs(repeats.drop("kind", "key", "n"), docs, text, key), "grown")
-    passages = grown.drop("left", "right").unionByName(further(grown, repeats, docs, text, key))
-    out = [passages.withColumn("kind", F.lit("passage"))]
+    held = hits.where(f"kind = {STRETCH}").select("doc", "place", "n", F.col("key").alias("tag"))
+    hits = hits.where("doc <> kept_doc OR place <> kept_place")
+    out = [materialize(passages(held, docs, text, key), "passages").withColumn("kind", F.lit("passage"))]
     equal = hits.where(f"kind = {PARAGRAPH}").select("key", "doc", "place", "n", *kept)
     single = firsts.where(f"kind = {PARAGRAPH}")
     links = near_paragraphs(every.where(F.col("kind") == BAND), single, docs, text, key)
@@ -458,18 +546,31 @@ def cut_words(text: str, spans: list[tuple[int, int]]) -> str:
     return "".join([*keep, text[last:]])
 
 
+def _islands(spans: DataFrame, key: str) -> DataFrame:
+    """``doc``, and ``spans``: its spans without overlaps (begin, number of words)."""
+    line = Window.partitionBy("doc").orderBy("s", "e")
+    own = spans.select(F.col(key).alias("doc"), F.col("start_word").alias("s"), (F.col("start_word") + F.col("n_words")).alias("e")).distinct()
+    new = F.col("s") > F.max("e").over(line.rowsBetween(Window.unboundedPreceding, -1))
+    own = own.withColumn("new", F.coalesce(new, F.lit(True)).cast("int")).withColumn("island", F.sum("new").over(line))
+    own = own.groupBy("doc", "island").agg(F.min("s").alias("s"), F.max("e").alias("e"))
+    return own.groupBy("doc").agg(F.collect_list(F.struct("s", (F.col("e") - F.col("s")).alias("n"))).alias("spans"))
+
+
 def remove_spans(docs: DataFrame, spans: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """``docs`` with the spans cut out; documents of which nothing is left are dropped, all others kept."""
-    by_doc = materialize(spans.groupBy(key).agg(F.collect_set(F.struct("start_word", "n_words")).alias("_spans")), "spans")
-    if (by_doc.agg(F.sum(F.size("_spans"))).first()[0] or 0) <= PLACES:
+    by_doc = materialize(_islands(spans, key), "spans")
+    if (by_doc.agg(F.sum(F.size("spans"))).first()[0] or 0) <= PLACES:
         by_doc = F.broadcast(by_doc)
     schema = docs.schema
+    names = [f"c{i}" for i in range(len(schema))]  # whatever the columns are called
+    whole, cut = docs.toDF(*names), names[schema.names.index(text)]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            old = b[text].tolist()
-            new = [t if t is None or s is None else cut_words(t, [(x["start_word"], x["n_words"]) for x in s]) for t, s in zip(old, b["_spans"], strict=True)]
+            old = b[cut].tolist()
+            new = [t if t is None or s is None else cut_words(t, [(x["s"], x["n"]) for x in s]) for t, s in zip(old, b["spans"], strict=True)]
             empty = np.array([bool(t and t.strip()) and not n.strip() for t, n in zip(old, new, strict=True)], bool)
-            yield b.assign(**{text: new})[~empty][schema.names]
+            yield b.assign(**{cut: new})[~empty][names]
 
-    return docs.join(by_doc, key, "left").mapInPandas(run, schema)
+    kinds = ", ".join(f"{n} {f.dataType.simpleString()}" for n, f in zip(names, schema, strict=True))
+    return whole.join(by_doc, F.col(names[schema.names.index(key)]) == F.col("doc"), "left").mapInPandas(run, kinds).toDF(*schema.names)

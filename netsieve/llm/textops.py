@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import numpy as np
+import xxhash
 
 U64 = np.uint64
 _BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
@@ -69,6 +70,26 @@ def span_hashes(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.n
     return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(U64))
 
 
+class _Vocabulary(dict):
+    """Hashes of the words met; a long word, or one beyond the bound, is hashed anew each time."""
+
+    def __missing__(self, word: str) -> int:
+        h = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"), 1)
+        if len(word) <= 64:
+            if len(self) >= 500_000:
+                self.clear()
+            self[word] = h
+        return h
+
+
+_VOCABULARY = _Vocabulary()
+
+
+def word_hashes(text: str) -> np.ndarray:
+    """A 64-bit hash of every word, in the order of :func:`words`."""
+    return np.array(list(map(_VOCABULARY.__getitem__, text.split())), U64)
+
+
 def windows(h: np.ndarray, k: int) -> np.ndarray:
     """A hash of each run of ``k`` values, by its first."""
     n = len(h) - k + 1
