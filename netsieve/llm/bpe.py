@@ -22,7 +22,7 @@ import pandas as pd
 import regex
 from pyspark.sql import DataFrame
 
-from netsieve.llm.textops import U64, IntMap, chunks, code_points, ragged, span_hashes
+from netsieve.llm.textops import U64, IntMap, chunks, code_points, ragged, span_hashes, spans_equal
 
 SPACE, LETTER, DIGIT, OTHER = 0, 1, 2, 3
 BLOCK = 1 << 20  # characters encoded at once
@@ -123,19 +123,22 @@ class Encoder:
     def _forget(self) -> None:
         self.known, self.known_ids = np.zeros(0, U64), np.zeros(0, np.int64)  # hashes of words met more than once, in order
         self.known_at, self.known_n = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.known_bytes, self.known_from, self.known_size = np.zeros(0, np.uint8), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def _distinct(self, key: np.ndarray, often: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids of distinct words in one array, and where each word's begin and how many they are; ``key`` in order."""
         at = np.searchsorted(self.known, key)
         old = at < len(self.known)
         old[old] = self.known[at[old]] == key[old]
+        taken, size = old.copy(), ends - starts  # a hash may belong to another word: bytes decide
+        old[old] = spans_equal(self.known_bytes, self.known_from[at[old]], self.known_size[at[old]], data, starts[old], size[old])
         new = np.flatnonzero(~old)
         ids, n, _ = self.words(data, starts[new], ends[new])
         begin, count = np.empty(len(key), np.int64), np.empty(len(key), np.int64)
         begin[old], count[old] = self.known_at[at[old]], self.known_n[at[old]]
         begin[new], count[new] = len(self.known_ids) + np.cumsum(n) - n, n
         every = np.concatenate([self.known_ids, ids])
-        keep = new[often[new]]
+        keep = new[(often & ~taken)[new]]
         if len(self.known) + len(keep) > KNOWN:
             self._forget()
         else:
@@ -144,6 +147,9 @@ class Encoder:
             order = np.argsort(known)
             self.known_at = np.concatenate([self.known_at, len(self.known_ids) + np.cumsum(count[keep]) - count[keep]])[order]
             self.known, self.known_n = known[order], np.concatenate([self.known_n, count[keep]])[order]
+            self.known_from = np.concatenate([self.known_from, len(self.known_bytes) + np.cumsum(size[keep]) - size[keep]])[order]
+            self.known_bytes = np.concatenate([self.known_bytes, data[ragged(starts[keep], size[keep])]])
+            self.known_size = np.concatenate([self.known_size, size[keep]])[order]
             self.known_ids = np.concatenate([self.known_ids, every[held]])
         return every, begin, count
 
@@ -285,8 +291,13 @@ class Encoder:
         key = span_hashes(data, starts, ends)
         key, one, back, met = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
         ids, offset, n = self._distinct(key, met > 1, data, starts[one], ends[one])
-        each = n[back]
-        flat = ids[ragged(offset[back], each)]
+        each, offset, first = n[back], offset[back], one[back]
+        odd = np.flatnonzero(~spans_equal(data, starts[first], ends[first] - starts[first], data, starts, ends - starts))
+        if len(odd):  # words with the hash of another
+            more, n, _ = self.words(data, starts[odd], ends[odd])
+            each[odd], offset[odd] = n, len(ids) + np.cumsum(n) - n
+            ids = np.concatenate([ids, more])
+        flat = ids[ragged(offset, each)]
         text_of = np.searchsorted(begin + length, at, side="right")
         return flat, np.bincount(text_of, weights=each, minlength=len(texts)).astype(np.int64)
 

@@ -63,7 +63,8 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def span_hashes(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span: equal spans have equal hashes, wherever they stand."""
+    """A 64-bit hash of each span: equal spans have equal hashes, wherever they stand. Different ones may have equal
+    hashes too, and texts can be made so that they do: whoever needs to know compares the spans."""
     up, down = _powers(len(codes) + 1)
     total = np.zeros(len(codes) + 1, U64)
     np.cumsum((codes.astype(U64) + U64(1)) * up[1:], out=total[1:])
@@ -108,6 +109,17 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(total) - np.repeat(first - starts, lengths)
 
 
+def spans_equal(x: np.ndarray, at: np.ndarray, n: np.ndarray, y: np.ndarray, other: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """Which spans of ``x`` (from ``at``, ``n`` long) and ``y`` (from ``other``, ``m`` long) are equal, pair by pair."""
+    out = n == m
+    some = np.flatnonzero(out & (n > 0) & ((at != other) | (x is not y)))
+    if len(some):
+        size = n[some]
+        differ = x[ragged(at[some], size)] != y[ragged(other[some], size)]
+        out[some] = ~np.logical_or.reduceat(differ, np.cumsum(size) - size)
+    return out
+
+
 class IntMap:
     """A fixed map from 63-bit integers to integers, looked up for whole arrays (open addressing)."""
 

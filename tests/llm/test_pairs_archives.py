@@ -5,6 +5,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 from netsieve.llm import ann, components, fingerprints, simhash, substrings, textops, warc
 from netsieve.llm.queries import op1, op7, op8, op9, op10
@@ -255,6 +256,68 @@ def test_blocks_repeated_without_a_break(spark, frame, size):
         assert covered[i][25 + size : -25].all() and not covered[i][: 25 + size].any() and not covered[i][-25:].any()
 
 
+def alike(n=40, bits=10):
+    """Two different lines of words that a polynomial hash modulo 2**64 cannot tell apart, whatever its base."""
+    word = "".join("ab"[i.bit_count() & 1] for i in range(1 << bits))
+    return [" ".join([w] * 2 + [f"x{i}" for i in range(n)]) for w in (word, word.translate(str.maketrans("ab", "ba")))]
+
+
+def test_lines_with_words_made_to_collide_stay(spark, frame):
+    a, b = ("\n".join(" ".join(f"{w}{i}{j}" for j in range(25)) for i in range(3)) for w in (x.split()[0] for x in alike()))
+    assert substrings.duplicate_spans(frame([(1, a), (2, b)])).count() == 0
+    x, y = alike()
+    assert fingerprints.likeness(*(fingerprints.signatures([t]) for t in (" ".join(x.split()[:2]), " ".join(y.split()[:2]))))[0] == 0
+
+
+@pytest.mark.parametrize("ranges", [1, 2, 7, 40])
+def test_what_spans_sorted_ranges_is_settled_by_their_edges(ranges):
+    rng = random.Random(ranges)
+    rows, seen = [], set()
+    while len(rows) < 160:
+        words = [rng.choice([0, 0, 0, 1, 2])] * rng.randrange(4) + [rng.randrange(3) for _ in range(rng.randrange(4))] + [7] * rng.choice([0, 25])
+        side = np.array(words[: substrings.SPREAD], np.uint32).tobytes()
+        key, ahead = rng.choice([-5, 5, 5]), rng.random() < 0.5
+        if (key, ahead, side) not in seen:
+            seen.add((key, ahead, side))
+            rows.append({"key": key, "ahead": ahead, "side": side, "doc": rng.randrange(30) - 3, "place": rng.randrange(4)})
+    rows.sort(key=lambda r: (r["key"], r["ahead"], r["side"]))
+    cuts = sorted(rng.sample(range(1, len(rows)), ranges - 1))
+    table = pd.DataFrame(rows).assign(at=range(len(rows)), name=range(len(rows)), task=np.searchsorted(cuts, range(len(rows)), side="right").astype(np.int32))
+    parts = [p.sample(frac=1, random_state=1) for _, p in table.groupby("task")]
+    edges = [r for p in parts for r in substrings.range_edges(p).to_dict("records")]
+    rng.shuffle(edges)
+    got = {}
+    for (task, before, behind), p in zip(substrings.carried(edges), parts, strict=True):
+        assert set(p["task"]) == {task}
+        got.update({r["name"]: (r["more"], r["kept_doc"], r["kept_place"]) for r in substrings.earliest(p, before, behind).to_dict("records")})
+    for i, r in enumerate(rows):
+        best = None
+        for o in rows:
+            if (o["key"], o["ahead"]) == (r["key"], r["ahead"]) and (o["doc"], o["place"]) < (r["doc"], r["place"]):
+                a, b = np.frombuffer(r["side"], np.uint32), np.frombuffer(o["side"], np.uint32)
+                n = next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+                best = max(best or (-1, 0, 0), (n, -o["doc"], -o["place"]))
+        assert got.get(i) == (best and (best[0], -best[1], -best[2]))
+
+
+def test_passages_over_many_ranges(spark, frame, monkeypatch):
+    monkeypatch.setattr(substrings, "RANGE", 40)
+    rows, passage, _ = planted()
+    rows = [(k, t + " " + passage) for k, t in rows]
+    covered = check_spans(substrings.duplicate_spans(frame(rows)).collect(), dict(rows))
+    wanted = repeated(dict(rows))
+    assert wanted and all(covered[k][i : i + 50].all() for k, i in wanted)
+
+
+def test_spans_are_cut_whatever_columns_are_called(spark):
+    line = " ".join(f"t{i}" for i in range(30))
+    df = spark.createDataFrame([(1, line, 5, "a"), (2, line + "\nend", 6, "b"), (None, line, 7, "c")], "doc_id long, text string, _spans long, `c0` string")
+    spans = substrings.duplicate_spans(df)
+    out = substrings.remove_spans(df, spans)
+    assert out.columns == df.columns
+    assert sorted((str(r["doc_id"]), r["text"].strip(), r["_spans"], r["c0"]) for r in out.collect()) == [("1", line, 5, "a"), ("2", "end", 6, "b"), ("None", line, 7, "c")]
+
+
 def test_substrings_of_odd_tables(spark, frame):
     line = " ".join(f"t{i}" for i in range(30))
     rows = [(1, None), (2, ""), (3, line), (4, line), (None, line), (5, "short one"), (6, "the " * 30000), (7, f"{line}\n{line}")]
