@@ -92,3 +92,9 @@ def broadcast_smaller(left: DataFrame, right: DataFrame, rows: int = 1_000_000)
     if left.limit(rows + 1).count() <= rows:
         return F.broadcast(left), right
     return left, right
+
+
+def drop_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder of :func:`run_dir` that no table in use reads any more."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)

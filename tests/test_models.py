@@ -1,12 +1,13 @@
 """Fitted models against numeric re-computation and their stated properties."""
 
 import math
+from dataclasses import replace
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from netsieve.models import anomaly as an, evaluate as ev
+from netsieve.models import anomaly as an, boosting as bo, evaluate as ev
 from netsieve.models.boosting import fit_boosted
 from netsieve.models.calibrate import fit_calibrator
 from netsieve.models.linear import LinearModel, fit_logistic, score_supervised, top_contributions
@@ -14,6 +15,8 @@ from netsieve.models.neural import fit_neural
 from netsieve.models.novelty import Detector, NoveltyOptions, detect_novel, fit_novelty_calibrator, apply_novelty_calibrator
 from netsieve.models.preprocess import Scaler, fit_scaler
 from netsieve.operators import prototypes as pt
+from netsieve.operators.metrics import macro_f1
+from netsieve.operators.ranking import stratified_split
 from netsieve.sources.bundles import Bundle, feature_hash, load_bundle, same_contract, save_bundle
 
 FEATURES = ["f0", "f1", "f2"]
@@ -105,6 +108,112 @@ def test_boosting_and_neural_learn(data):
         assert right > 400
 
 
+def leaf_by_leaf(bins, grad, hess, s):
+    """A tree grown one leaf at a time from exact sums: (feature, bin, missing left) of each split, by gain, and leaf values by row."""
+
+    def best(rows):
+        sums = [np.zeros((1, 257, 3)) for _ in range(bins.shape[1])]
+        for j, h in enumerate(sums):
+            at = np.where(bins[rows, j] == bo.MISSING, 256, bins[rows, j].astype(int))
+            for i, v in enumerate((grad[rows], hess[rows], np.ones(len(rows)))):
+                h[0, :, i] = np.bincount(at, v, minlength=257)
+        found = [bo.best_splits(h, s).iloc[0] for h in sums]
+        j = int(np.argmax([f["gain"] for f in found]))
+        return found[j]["gain"], j, int(found[j]["bin"]), bool(found[j]["missing_left"])
+
+    leaves, splits = [(0, np.arange(len(bins)))], []
+    while len(leaves) < s.max_leaf_nodes:
+        options = [(*best(rows), i) for i, (d, rows) in enumerate(leaves) if d < (s.max_depth or 99) and len(rows) >= 2 * s.min_samples_leaf]
+        if not options or max(options)[0] <= 0:
+            break
+        gain, j, cut, missing, i = max(options, key=lambda o: o[0])
+        depth, rows = leaves.pop(i)
+        b = bins[rows, j]
+        left = np.where(b == bo.MISSING, missing, b <= cut)
+        splits.append((j, cut, missing))
+        leaves += [(depth + 1, rows[left]), (depth + 1, rows[~left])]
+    value = np.zeros(len(bins))
+    for _, rows in leaves:
+        value[rows] = -s.learning_rate * grad[rows].sum() / (hess[rows].sum() + s.l2_regularization)
+    return splits, value
+
+
+@pytest.mark.parametrize("leaves", [2, 5, 12])
+def test_boosted_trees_equal_leaf_by_leaf_growth(spark, leaves):
+    rng = np.random.default_rng(leaves)
+    x = rng.normal(size=(700, 3)).round(1)
+    x[rng.random(700) < 0.15, 0] = np.nan
+    y = (np.nan_to_num(x[:, 0], nan=1.0) + x[:, 1] ** 2 + rng.normal(size=700) > 1).astype(int) + (x[:, 2] > 1)
+    rows = [("abc"[c], *[None if np.isnan(v) else float(v) for v in r]) for c, r in zip(y, x, strict=True)]
+    df = spark.createDataFrame(rows, "label string, f0 double, f1 double, f2 double").repartition(3)
+    s = bo.BoostingSettings(max_iter=2, max_leaf_nodes=leaves, min_samples_leaf=10, max_depth=4, early_stopping=False)
+    model = fit_boosted(df, "label", ["f0", "f1", "f2"], settings=s)
+    bins = bo.to_bins(x, model.edges)
+    raw = np.tile(np.array(model.baseline), (700, 1))
+    for trees in model.trees:
+        p = bo.probabilities(raw)
+        for k, tree in enumerate(trees):
+            splits, value = leaf_by_leaf(bins, p[:, k] - (y == k), p[:, k] * (1 - p[:, k]), s)
+            have = [(f, b, m) for f, b, m in zip(tree.feature, tree.bin, tree.missing_left) if f >= 0]
+            assert sorted(have) == sorted(splits) and len(tree.feature) == 2 * len(splits) + 1
+            assert np.abs(model.raw_scores(bins)[:, k] - raw[:, k]).max() >= 0
+            a = tree.arrays()
+            assert np.abs(a["value"][bo.walk(a, bins)] - value).max() < 1e-5
+            raw[:, k] += a["value"][bo.walk(a, bins)]
+    scored = model.add_probabilities(df).collect()
+    want = {tuple(r[1:]): p for r, p in zip(rows, bo.probabilities(raw), strict=True)}
+    assert all(np.allclose([r["_p0"], r["_p1"], r["_p2"]], want[r["f0"], r["f1"], r["f2"]]) for r in scored)
+
+
+def test_boosting_stops_early_and_uses_weights(spark):
+    rng = np.random.default_rng(7)
+    rows = [("ab"[int(rng.random() < 0.5)], float(v)) for v in rng.normal(size=1500)]
+    df = spark.createDataFrame(rows, "label string, f0 double").withColumn("w", F.when(F.col("label") == "a", 3.0).otherwise(1.0))
+    s = bo.BoostingSettings(max_leaf_nodes=4, n_iter_no_change=3, validation_fraction=0.3)
+    model = fit_boosted(df, "label", ["f0"], settings=s)
+    assert len(model.trees) < 60 and len(model.losses) == len(model.trees) + 1 and min(model.losses[-3:]) > model.losses[-4] - s.tol
+    heavy = fit_boosted(df, "label", ["f0"], weight="w", settings=s)
+    assert heavy.baseline[0] == pytest.approx(model.baseline[0] - np.log(3), abs=0.2)
+
+
+def test_leaf_wise_and_sampled_boosting(data):
+    for s in (bo.LEAF_WISE, bo.DEPTH_WISE):
+        model = fit_boosted(data, "label", FEATURES, max_iter=4, settings=replace(s, column_fraction=0.5))
+        assert ev.predict(data, model).where("prediction = label").count() > 400
+        assert any({f for f in t.feature if f >= 0} != set(range(len(FEATURES))) for r in model.trees for t in r)
+
+
+def test_boosting_of_odd_tables(spark):
+    schema = "label string, f0 double, f1 double"
+    with pytest.raises(ValueError, match="two classes"):
+        fit_boosted(spark.createDataFrame([("a", 1.0, 2.0)], schema), "label", ["f0", "f1"])
+    with pytest.raises(ValueError, match="two classes"):
+        fit_boosted(spark.createDataFrame([], schema), "label", ["f0", "f1"])
+    rows = [("ab"[i % 2], None, float("inf") if i % 3 else 1.0) for i in range(60)] + [(None, 5.0, 5.0)]
+    model = fit_boosted(spark.createDataFrame(rows, schema), "label", ["f0", "f1"], max_iter=3)
+    assert len(model.trees) >= 1 and model.edges == [[], []]
+
+
+def test_searching_settings_together_equals_fitting_each(spark, data):
+    df = data.withColumn("id", F.monotonically_increasing_id())
+    space = {"learning_rate": [0.1, 0.3], "max_leaf_nodes": [3, 8], "max_iter": [3]}
+    got = bo.search_boosting(df, ["id"], "label", FEATURES, space, n_iter=3, folds=2)
+    assert len(got) == 3 and [r["macro_f1"] for r in got] == sorted((r["macro_f1"] for r in got), reverse=True)
+    assert all(0.5 < r["macro_f1"] <= 1 for r in got)
+    # one of them alone
+    best = got[0]
+    rows = stratified_split(df, ["id"], "label", [("0", 0.5)], "1", 42, out="_fold").persist()
+    s = bo.BoostingSettings(validation_fraction=0.1, n_iter_no_change=10, l2_regularization=0.0, max_leaf_nodes=best["max_leaf_nodes"], learning_rate=best["learning_rate"], max_iter=3)
+    edges, scores = bo.bin_edges(rows, FEATURES), []
+    for f in "01":
+        b = bo.Booster(rows, "label", FEATURES, [bo.Task(s, int(f))], fold="_fold", edges=edges)
+        b.run()
+        held = ev.predict(rows.where(F.col("_fold") == f), b.model(), "_pred")
+        scores.append(macro_f1(held, "label", "_pred").first()["macro_f1"])
+        b.close()
+    assert best["macro_f1"] == pytest.approx(np.mean(scores), abs=1e-9)
+
+
 @pytest.mark.parametrize("method", ["sigmoid", "isotonic"])
 def test_calibration(data, method):
     m = fit_logistic(data, "label", FEATURES)
