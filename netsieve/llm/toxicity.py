@@ -1,16 +1,20 @@
 """Toxicity by compression distance: zstandard dictionaries of toxic and of ordinary text, and window lengths under each.
 
-Training reads a bounded sample of labelled rows that are not held out. Short byte strings that stand in far more
-toxic than ordinary documents mark the words that make a document toxic; one dictionary is trained on windows of
-such words, the other on windows of ordinary text, and both follow the same stretch of ordinary text, so an
-ordinary window costs the same under either. A window is a word in a fixed frame. Every byte is written twice, the
-second time with its highest bit flipped: literals then cost double and matches the same, which makes even a short
-match visible in a length counted in bytes. A document's evidence is the largest savings of its windows under the
-toxic dictionary; a logistic curve fitted across two halves of the sample, with the labels' true proportion,
-calibrates it.
-
-Null and empty texts have no evidence and score as such. Labels other than 0 and 1 are ignored; a document labelled
-twice counts as toxic if one label says so; without both labels every score is the share of toxic labels, or 0.
+Training reads a bounded sample of labelled rows that are not held out. A window is a word in a fixed frame. The toxic
+dictionary is made of windows, and of beginnings of windows, that stand in far more toxic than ordinary documents of the
+sample, the commonest last; the ordinary one is trained on windows of ordinary text; and both follow the same stretch
+of ordinary text, so that an ordinary window costs the same under either. Dictionaries trained on whole stretches of toxic text
+were tried: the lengths of their windows differ by chance more than by a toxic word. Every byte is written twice, the second
+time with its highest bit flipped: literals then cost double and matches the same, which makes even a short match
+visible in a length counted in bytes. A window that shares no ``SHARED`` bytes with the toxic dictionary cannot be shorter
+under it, and is not compressed. A document's evidence is the largest savings of its windows under the toxic
+dictionary, their sum, and their sum by its length. A logistic curve fitted across two halves of the sample, with the
+labels' true proportion, calibrates it; if more than ``FALSE_ALARMS`` of the sample's ordinary rows would be rejected,
+the curve is moved down until they are not.
+
+Null and empty texts have no evidence and score as such. Equal texts score alike, repeated rows stay, rows without an id
+are scored and not learnt from. Labels other than 0 and 1 are ignored; a document labelled twice counts as toxic if one
+label says so; without both labels every score is the share of toxic labels, or 0. Other columns do not matter.
 """
 
 from __future__ import annotations
@@ -29,11 +33,14 @@ from pyspark.sql import DataFrame, functions as F
 
 from netsieve.llm.langid import below, held_out
 
-TOXIC_ROWS, ORDINARY_ROWS = 1200, 2400  # labelled rows that training reads at most
+TOXIC_ROWS, ORDINARY_ROWS = 2000, 5000  # labelled rows that training reads at most
 EXCERPT = 6000  # characters of a training row
-GRAM, SHARED = 5, 4  # bytes of the strings counted; bytes a window must share with the dictionary to gain from it
-DICTIONARY, COMMON = 3000, 30000
-LEVEL, TOP, CAP = 16, 3, 16
+SHARED = 6  # bytes a window must share with the dictionary to gain from it
+BEGINNINGS = range(5, 10)  # bytes of a window's beginning, blank included
+OFTEN, TIMES = 0.01, 10  # share of toxic rows that have a string of the dictionary; how much commoner it is there
+TOXIC, DICTIONARY, COMMON = 16000, 3000, 110_000  # bytes of the toxic and the ordinary dictionary, and of what both follow
+LEVEL, TOP, CAP = 16, 6, 16
+FALSE_ALARMS = 0.005
 FRAME = b" the quick onion said to which in the "
 LONGEST = 64  # bytes of a window; longer words are several
 THRESHOLD = 0.3
@@ -68,11 +75,11 @@ class Model:
     common: bytes
     toxic: bytes
     ordinary: bytes
-    weights: tuple[float, ...]  # of the TOP largest savings, of the number of words, and a constant
+    weights: tuple[float, ...]  # of the TOP largest savings, their sum, their mean, the number of words, and a constant
 
     def scores(self, texts: list[str]) -> np.ndarray:
         savings = _savings(self.common, self.toxic, self.ordinary)
-        x = np.array([evidence(windows_of(t), savings) for t in texts], float).reshape(len(texts), TOP + 1)
+        x = np.array([evidence(windows_of(t), savings) for t in texts], float).reshape(len(texts), TOP + 3)
         return 1 / (1 + np.exp(-(x @ np.array(self.weights[:-1]) + self.weights[-1])))
 
 
@@ -82,7 +89,7 @@ class Savings:
     def __init__(self, common: bytes, toxic: bytes, ordinary: bytes):
         toxic, ordinary = toxic or b" ", ordinary or b" "
         spec = zstandard.ZstdCompressionParameters.from_level(
-            LEVEL, source_size=128, dict_size=2 * (len(common) + DICTIONARY), min_match=4, write_content_size=0, write_checksum=0, write_dict_id=0, format=zstandard.FORMAT_ZSTD1_MAGICLESS
+            LEVEL, source_size=128, dict_size=2 * (len(common) + TOXIC), min_match=4, write_content_size=0, write_checksum=0, write_dict_id=0, format=zstandard.FORMAT_ZSTD1_MAGICLESS
         )
         self.sides = []
         for own in (ordinary, toxic):
@@ -117,27 +124,23 @@ def _savings(common: bytes, toxic: bytes, ordinary: bytes) -> Savings:
 
 
 def evidence(words: list[bytes], savings: Savings) -> list[float]:
-    best = heapq.nlargest(TOP, savings.of(words))
-    return [*(min(v, CAP) / CAP for v in best + [0] * (TOP - len(best))), np.log1p(len(words)) / 8]
+    every = [min(v, CAP) / CAP for v in savings.of(words)]
+    best, total = heapq.nlargest(TOP, every), sum(every)
+    return [*best, *[0.0] * (TOP - len(best)), np.log1p(total), np.sqrt(total / max(1, len(words))), np.log1p(len(words)) / 8]
 
 
-def marked_words(toxic: list[list[bytes]], ordinary: list[list[bytes]]) -> Counter[bytes]:
-    """Words of toxic documents that hold a string far commoner there, with their counts."""
+def strings_of(words: list[bytes]) -> set[bytes]:
+    """The windows of a document, blanks around them, and their beginnings."""
+    out = {b" " + w + b" " for w in words}
+    return out | {x[:n] for x in out for n in BEGINNINGS if n < len(x) - 1}
 
-    def strings(words: list[bytes]) -> set[bytes]:
-        text = b" " + b" ".join(words) + b" "
-        return {text[i : i + GRAM] for i in range(len(text) - GRAM + 1)}
 
-    here, there = Counter(g for w in toxic for g in strings(w)), Counter(g for w in ordinary for g in strings(w))
-    least = max(3, 0.01 * len(toxic))
-    good = {g for g, n in here.items() if n >= least and n / len(toxic) >= 12 * (there[g] + 0.5) / max(1, len(ordinary))}
-    out: Counter[bytes] = Counter()
-    for words in toxic:
-        for w in words:
-            x = b" " + w + b" "
-            if any(x[i : i + GRAM] in good for i in range(len(x) - GRAM + 1)):
-                out[w] += 1
-    return out
+def marked_strings(toxic: list[list[bytes]], ordinary: list[list[bytes]]) -> dict[bytes, int]:
+    """Strings that are far commoner in toxic documents, and how many of those have them."""
+    least = max(4, OFTEN * len(toxic))
+    here = {x: n for x, n in Counter(x for w in toxic for x in strings_of(w)).items() if n >= least}
+    there = Counter(x for w in ordinary for x in strings_of(w) if x in here)
+    return {x: n for x, n in here.items() if n / len(toxic) >= TIMES * (there[x] + 0.5) / max(1, len(ordinary))}
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, share: float) -> np.ndarray:
@@ -156,12 +159,9 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, share: float) -> np.ndarray:
 
 def dictionaries(bad: list[list[bytes]], good: list[list[bytes]], rng: random.Random) -> tuple[bytes, bytes, bytes]:
     """Common stretch, toxic and ordinary dictionary of some documents' words."""
-    words = [w for w, n in sorted(marked_words(bad, good).items()) for _ in range(min(n, 50))]
-    rng.shuffle(words)
-    toxic_windows = [b" " + b" ".join(words[i : i + 6]) + b" " for i in range(0, len(words), 6)]
+    toxic = b"".join(x for x, _ in sorted(marked_strings(bad, good).items(), key=lambda x: (x[1], x[0])))[-TOXIC:]
     plain = [b" " + b" ".join(w[i : i + 8]) + b" " for w in good for i in range(0, len(w), 32)]
     rng.shuffle(plain)
-    toxic = trained(toxic_windows, DICTIONARY) if toxic_windows else b""
     return b"".join(plain)[:COMMON], toxic, trained(plain[-4000:], DICTIONARY) if plain else b""
 
 
@@ -176,7 +176,11 @@ def train(toxic: list[str], ordinary: list[str], share: float, seed: int = 5) ->
         for docs, mark in ((bad[1 - half :: 2], 1), (good[1 - half :: 2], 0)):
             x += [evidence(w, savings) for w in docs]
             y += [mark] * len(docs)
-    return Model(*dictionaries(bad, good, rng), tuple(map(float, fit_logistic(np.array(x), np.array(y), share))))
+    x, y = np.array(x), np.array(y)
+    weights = fit_logistic(x, y, share)
+    highest = np.quantile(x[y == 0] @ weights[:-1] + weights[-1], 1 - FALSE_ALARMS) if (y == 0).any() else 0.0
+    weights[-1] += min(0.0, np.log(THRESHOLD / (1 - THRESHOLD)) - highest)
+    return Model(*dictionaries(bad, good, rng), tuple(map(float, weights)))
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, text: str, key: str) -> tuple[list[str], list[str], float]:

@@ -85,6 +85,29 @@ def test_op4_on_held_out_rows(spark, larger):
     assert np.mean([s >= 0.3 for s in yes]) > 0.9 and np.mean([s >= 0.3 for s in no]) < 0.05
 
 
+def test_op4_in_each_language(spark):
+    sf = "/root/testdata/sf0.1"
+    marks = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{sf}/labels.parquet").collect() if held(r["doc_id"])}
+    got = {r["doc_id"]: r["score"] for r in op4(spark, sf).collect() if r["doc_id"] in marks}
+    lang = {r["doc_id"]: r["lang"] for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang").collect()}
+    alarms = []
+    for name in ("en", "fr", "de", "es"):
+        yes, no = (np.array([s for k, s in got.items() if lang[k] == name and marks[k] == m]) for m in (1, 0))
+        assert len(yes) > 10 and np.mean((yes[:, None] > no) + 0.5 * (yes[:, None] == no)) >= 0.9, name
+        alarms += (no >= 0.3).tolist()
+        assert np.mean(yes >= 0.3) > (0.85 if name == "en" else 0.1)
+    assert np.mean(alarms) < 0.02
+
+
+def test_repeated_rows_and_rows_without_an_id_are_scored(spark, frame):
+    rows = [(k, "good words here " * 5 if k % 3 else "utterly vile words here " * 5) for k in range(1, 60)]
+    labels = spark.createDataFrame([(k, 0 if k % 3 else 1) for k in range(1, 60)], "doc_id long, toxic int")
+    docs = frame(rows + rows[:5] + [(None, "utterly vile words"), (None, None)])
+    got = toxicity.score(docs, toxicity.fit(docs, labels)).collect()
+    assert len(got) == 66 and all(not r["held_out"] for r in got if r["doc_id"] is None)
+    assert len({(r["doc_id"], r["score"]) for r in got if r["doc_id"] is not None}) == 59
+
+
 def test_scores_do_not_depend_on_labels_of_held_out_rows(spark, larger):
     docs, labels = spark.read.parquet(f"{larger}/documents.parquet").limit(300), spark.read.parquet(f"{larger}/labels.parquet")
     flipped = labels.selectExpr("doc_id", "CASE WHEN crc32(CAST(CAST(doc_id AS STRING) AS BINARY)) % 4 = 2 THEN 1 - toxic ELSE toxic END AS toxic")
