@@ -10,7 +10,9 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from netsieve.functions.guards import col
-from netsieve.session import broadcast_if_small
+from netsieve.session import broadcast_if_small, materialize
+
+SENT = 200_000  # suppressions sent to the rows
 
 
 def find_field(columns: Sequence[str], name: str) -> str | None:
@@ -94,9 +96,10 @@ def rule_hits(df: DataFrame, rules: Sequence[Mapping], tenant: Column) -> Column
 def is_suppressed(df: DataFrame, suppressions: DataFrame, tenant: str | None, now_ts: int, out: str = "_suppressed") -> DataFrame:
     """Flag rows that an unexpired suppression covers.
 
-    Rows are reduced to their distinct combinations of address, label and tenant. Each combination lists what could
-    cover it (its IP, its label, its IP's prefixes of the lengths in use, for all tenants and for its own), one equi
-    join finds the suppressions among them, and the covered combinations are joined back, broadcast after a count.
+    Suppressions are grouped by kind and value, with the tenants they hold for. Up to ``SENT`` of them, by count, are sent
+    to the rows, which look up their IP, their label, and their IP's prefixes of the lengths in use where they are: the rows
+    are not shuffled. Beyond that, rows are reduced to their distinct combinations of address, label and tenant, which
+    list what could cover them; one equi join finds the suppressions among that, and the covered ones are joined back.
     """
     tid = F.col("tenant_id").cast("string")
     live = suppressions.where(F.col("until_ts").isNull() | (F.col("until_ts") > F.lit(now_ts))).select(
@@ -116,6 +119,9 @@ def is_suppressed(df: DataFrame, suppressions: DataFrame, tenant: str | None, no
         r[0] for r in live.where(F.col("kind") == "subnet").select(F.length("value")).distinct().collect() if r[0] is not None
     )
     base_ip = F.coalesce(ip_field.cast("string"), F.lit(""))
+    grouped = materialize(live.where("value IS NOT NULL").groupBy("kind", "value").agg(F.collect_set("scope").alias("scopes")), "suppressions")
+    if (grouped.agg(F.sum(F.size("scopes"))).first()[0] or 0) <= SENT:
+        return _look_up(df, grouped, ip, label, base_ip, lengths, own, out)
     probe = lambda kind, value, scope: F.struct(F.lit(kind).alias("kind"), value.alias("value"), scope.alias("scope"))
     shape = F.to_json(F.struct(ip.alias("ip"), label.alias("label"), base_ip.alias("base"), own.alias("own")))
     shapes = df.select(shape.alias("_t"), ip.alias("ip"), label.alias("label"), base_ip.alias("base"), own.alias("own")).distinct()
@@ -131,6 +137,25 @@ def is_suppressed(df: DataFrame, suppressions: DataFrame, tenant: str | None, no
     return res.withColumn(out, F.coalesce("_hit", F.lit(False))).select(*[col(c) for c in df.columns], F.col(out))
 
 
+def _look_up(df: DataFrame, grouped: DataFrame, ip: Column, label: Column, base_ip: Column, lengths: Sequence[int], own: Column, out: str) -> DataFrame:
+    """``df`` with ``out``, by one broadcast join for the IP, one for the label, and one for each prefix length."""
+    names, own_name = df.columns, "_sup"
+    while any(c.startswith(own_name) for c in names):
+        own_name += "_"
+    mine = {k: F.col(f"{own_name}{k}") for k in ("ip", "label", "base", "own")}
+    res = df.withColumns({f"{own_name}{k}": v for k, v in (("ip", ip), ("label", label), ("base", base_ip), ("own", own))})
+    probes = [("ip", mine["ip"], F.lit(True)), ("label", mine["label"], F.lit(True))]
+    for n in lengths:
+        probes.append(("subnet", F.when(F.length(mine["base"]) >= n, F.substring(mine["base"], 1, n)), F.length("value") == n))
+    found = F.lit(False)
+    for i, (kind, value, wanted) in enumerate(probes):
+        theirs, scopes = f"{own_name}v{i}", F.col(f"{own_name}s{i}")
+        side = grouped.where((F.col("kind") == kind) & wanted).select(F.col("value").alias(theirs), F.col("scopes").alias(f"{own_name}s{i}"))
+        res = res.join(F.broadcast(side), value == F.col(theirs), "left")
+        found = found | F.coalesce(F.array_contains(scopes, F.lit("")), F.lit(False)) | F.coalesce(F.array_contains(scopes, mine["own"]), F.lit(False))
+    return res.select(*[col(c) for c in names], found.alias(out))
+
+
 def enrich(df: DataFrame, suppressions: DataFrame, rules: Sequence[Mapping], tenant: str | None, now_ts: int) -> DataFrame:
     """Add ``_suppressed`` and ``_rule_hits`` to scored rows."""
     owner = F.lit(None) if tenant is None else col(tenant)

@@ -157,3 +157,10 @@ def probability_columns(classes: Sequence[str]) -> list[str]:
             name = f"{base}_{j}"
         out.append(name)
     return out
+
+
+def class_columns(df: DataFrame, label: str) -> DataFrame:
+    """``class`` and ``column_name`` of the probability column of every label of a table, in the order of the names."""
+    found = df.where(col(label).isNotNull()).select(col(label).cast("string").alias("class")).distinct().orderBy("class").collect()  # a model's classes: few
+    names = [r["class"] for r in found]
+    return df.sparkSession.createDataFrame([*zip(names, probability_columns(names), strict=True)], "class string, column_name string")

@@ -524,3 +524,23 @@ def f15(spark: SparkSession, sf: str) -> DataFrame:
         F.upper(F.trim("event_type")).alias("label"), F.get_json_object("props", "$.k").cast("bigint").alias("k"),
         F.coalesce(F.nullif(blank, F.lit("")), F.lit("none")).alias("first_text"),
     )
+
+
+ODD_CLASSES = """CASE c_nationkey % 5 WHEN 0 THEN '7 ' || c_mktsegment WHEN 1 THEN repeat(c_mktsegment, 30) WHEN 2 THEN ' ' || c_mktsegment || ' / x '
+  WHEN 3 THEN CASE WHEN c_nationkey = 3 THEN ' ' ELSE c_mktsegment || '-' || c_nationkey END ELSE c_mktsegment END"""
+
+
+@query(
+    "p23_class_columns",
+    with_(
+        f"classes AS (SELECT DISTINCT {ODD_CLASSES} AS class FROM customer)",
+        "safe AS (SELECT class, regexp_replace(trim(class), '[^A-Za-z0-9_]+', '_', 'g') AS s FROM classes)",
+        "named AS (SELECT class, 'p_' || substr(CASE WHEN s = '' THEN 'cls' WHEN regexp_matches(s, '^[0-9]') THEN 'c_' || s ELSE s END, 1, 120) AS base FROM safe)",
+        "counted AS (SELECT *, row_number() OVER (PARTITION BY base ORDER BY class) - 1 AS again FROM named)",
+        select="SELECT class, base || CASE WHEN again > 0 THEN '_' || again ELSE '' END AS column_name FROM counted",
+    ),
+)
+def p23(spark: SparkSession, sf: str) -> DataFrame:
+    """Names of probability columns for class names with leading digits, blanks, signs, and of many characters."""
+    rows = table(spark, sf, "customer").select(F.expr(ODD_CLASSES).alias("class"))
+    return sc.class_columns(rows, "class")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from netsieve.functions.guards import col
 from netsieve.models import anomaly as an, boosting as bo, evaluate as ev
-from netsieve.models.calibrate import fit_calibrator
+from netsieve.models.calibrate import fit_calibrator, fit_isotonic, isotonic_value
 from netsieve.models.linear import argmax_label, fit_logistic, score_supervised, soft_vote, top_contributions
 from netsieve.models.neural import fit_neural
 from netsieve.models.novelty import (
@@ -22,7 +22,7 @@ from netsieve.operators.triage import count_by, decision_counts
 from netsieve.plans.measure import one_row, r6, triaged
 from netsieve.plans.registry import query
 from netsieve.plans.views import (
-    CONTRACT, CONTRACT_COLUMNS, FLOWS, SCALED, STATS, TO_PROBS, contract, detector, family_model, fused,
+    BINARY_COEF, BINARY_INTERCEPT, CONTRACT, CONTRACT_COLUMNS, FAMILY_COEF, FAMILY_INTERCEPT, FLOWS, SCALED, STATS, TO_PROBS, contract, detector, family_model, flows, fused,
     table, with_,
 )
 
@@ -214,7 +214,7 @@ LONG = "long AS (" + " UNION ALL ".join(f"SELECT label, '{n}' AS feature, c{i} A
         "edges AS (SELECT feature, edge FROM (SELECT feature, unnest(e) AS edge, top FROM q) WHERE edge < top)",
         "prior AS (SELECT label AS class, count(*) / (SELECT count(*) FROM contract) AS p, (SELECT count(*) FROM contract) AS n FROM contract GROUP BY label)",
         "lefts AS (SELECT feature, edge, class, n, p, count(*) AS rows_left, count(*) * p - count(*) FILTER (WHERE label = class) AS g, count(*) * p * (1 - p) AS h FROM edges JOIN long USING (feature), prior WHERE x <= edge GROUP BY feature, edge, class, n, p)",
-        select="""SELECT class, feature, round(edge, 6) AS edge, rows_left, round(g, 4) + 0.0 AS gradient_left, round(h, 3) AS hessian_left,
+        select="""SELECT class, feature, round(edge, 6) AS edge, rows_left, floor(g * 10000 + 0.318) / 10000 + 0.0 AS gradient_left, floor(h * 1000 + 0.318) / 1000 AS hessian_left,
         CASE WHEN rows_left >= 15 AND n - rows_left >= 15 AND h >= 0.001 AND n * p * (1 - p) - h >= 0.001 THEN round(g * g / (h + 0.05) + g * g / (n * p * (1 - p) - h + 0.05), 5) END AS gain FROM lefts""",
     ),
 )
@@ -226,7 +226,10 @@ def m3b(spark: SparkSession, sf: str) -> DataFrame:
     edges = [sorted({v for v in found[c] if v < top[i]}) for i, c in enumerate(CONTRACT_COLUMNS)]
     booster = bo.Booster(rows, "label", CONTRACT_COLUMNS, [bo.Task(bo.BoostingSettings(early_stopping=False))], edges=edges)
     booster.start()
-    return booster.cuts().select("class", "feature", F.round("edge", 6).alias("edge"), "rows_left", (F.round("gradient_left", 4) + 0.0).alias("gradient_left"), F.round("hessian_left", 3).alias("hessian_left"), F.round("gain", 5).alias("gain"))
+    return booster.cuts().select("class", "feature", F.round("edge", 6).alias("edge"), "rows_left", 
+        # sums of fractions often end in 5: cut where they do not
+        (F.floor(F.col("gradient_left") * 10000 + 0.318) / 10000 + 0.0).alias("gradient_left"), (F.floor(F.col("hessian_left") * 1000 + 0.318) / 1000).alias("hessian_left"), F.round("gain", 5).alias("gain"),
+    )
 
 
 @query("m4_voting_ensemble")
@@ -261,6 +264,23 @@ def m5b(spark: SparkSession, sf: str) -> DataFrame:
     return _calibrated(spark, sf, "isotonic")
 
 
+@query(
+    "m5_isotonic_fit",
+    with_(
+        FLOWS, "points AS (SELECT orig_pkts AS x, avg(CASE WHEN label = 'DoS' THEN 1.0::DOUBLE ELSE 0.0 END) AS y, count(*) AS w FROM flows GROUP BY orig_pkts)",
+        "sums AS (SELECT x, sum(y * w) OVER (ORDER BY x) AS s, sum(w) OVER (ORDER BY x) AS n, y * w AS own, w FROM points)",
+        "means AS (SELECT a.x AS lo, b.x AS hi, (b.s - a.s + a.own) / (b.n - a.n + a.w) AS m FROM sums a JOIN sums b ON a.x <= b.x)",
+        "least_of AS (SELECT p.x, m.lo, min(m.m) AS m FROM points p JOIN means m ON m.lo <= p.x AND m.hi >= p.x GROUP BY p.x, m.lo)",
+        select="SELECT x AS score, round(max(m), 9) AS fitted FROM least_of GROUP BY x",
+    ),
+)
+def m5c(spark: SparkSession, sf: str) -> DataFrame:
+    """The share of DoS flows by number of packets, made monotone: the largest, over beginnings, of the least mean over ends."""
+    rows = flows(spark, sf).select(F.col("orig_pkts").alias("f"), (F.col("label") == "DoS").cast("double").alias("y"))
+    curve = fit_isotonic(rows)
+    return rows.select("f").distinct().select(F.col("f").alias("score"), F.round(isotonic_value(F.col("f"), curve), 9).alias("fitted"))
+
+
 @query("m6_neural_classifier")
 def m6(spark: SparkSession, sf: str) -> DataFrame:
     train, val = _split(spark, sf)
@@ -331,12 +351,37 @@ def m11d(spark: SparkSession, sf: str) -> DataFrame:
     return spark.range(1).select(F.explode(F.array(*rows)).alias("r")).select("r.*")
 
 
-@query("m15_perturbation")
+def _noise(j: int) -> str:
+    unit = [f"((CAST('0x' || substr(md5(CAST(uid AS VARCHAR) || '|42|{j}|{k}'), 1, 13) AS BIGINT) + 0.5) / 4503599627370496.0::DOUBLE)" for k in (0, 1)]
+    return f"sqrt(-2.0::DOUBLE * ln({unit[0]})) * cos(6.283185307179586::DOUBLE * {unit[1]})"
+
+
+NOISE = "noise AS (SELECT scaled.*, " + ", ".join(f"{_noise(j)} AS g{j + 1}" for j in range(6)) + " FROM scaled)"
+SPREADS = "spreads AS (SELECT " + ", ".join(f"CASE WHEN stddev_pop(z{i}) > 0 THEN stddev_pop(z{i}) ELSE 1.0 END AS d{i}" for i in range(1, 7)) + " FROM scaled)"
+
+
+def _noisy(scale: float) -> str:
+    return "noisy AS (SELECT " + ", ".join(f"z{i}, z{i} + g{i} * {scale!r}::DOUBLE * d{i} AS y{i}" for i in range(1, 7)) + " FROM noise, spreads)"
+
+
+def _dot_sql(weights: list[float], bias: float, x: str) -> str:
+    return f"{bias}::DOUBLE" + "".join(f" + ({w}::DOUBLE) * {x}{i}" for i, w in enumerate(weights, 1))
+
+
+def _family_sql(x: str) -> str:
+    a, b, c = (f"({_dot_sql(w, bias, x)})" for w, bias in zip(FAMILY_COEF, FAMILY_INTERCEPT))
+    return f"CASE WHEN {a} >= {b} AND {a} >= {c} THEN 0 WHEN {b} >= {c} THEN 1 ELSE 2 END"
+
+
+FLIPS = "SELECT avg(CASE WHEN before <> after THEN 1.0::DOUBLE ELSE 0.0 END) AS prediction_flip_rate, count(*) AS n_rows FROM pairs"
+
+
+@query("m15_perturbation", with_(FLOWS, CONTRACT, STATS, SCALED, NOISE, SPREADS, _noisy(0.02), f"pairs AS (SELECT {_family_sql('z')} AS before, {_family_sql('y')} AS after FROM noisy)", select=FLIPS))
 def m15(spark: SparkSession, sf: str) -> DataFrame:
     return ev.perturbation_flip_rate(contract(spark, sf), detector(spark, sf).families, ["uid"], max_rows=None)
 
 
-@query("a18_flip_rate")
+@query("a18_flip_rate", with_(FLOWS, CONTRACT, STATS, SCALED, NOISE, SPREADS, _noisy(0.1), f"pairs AS (SELECT ({_dot_sql(BINARY_COEF, BINARY_INTERCEPT, 'z')}) > 0 AS before, ({_dot_sql(BINARY_COEF, BINARY_INTERCEPT, 'y')}) > 0 AS after FROM noisy)", select=FLIPS))
 def a18(spark: SparkSession, sf: str) -> DataFrame:
     return ev.perturbation_flip_rate(contract(spark, sf), detector(spark, sf).binary, ["uid"], 0.1, max_rows=None)
 

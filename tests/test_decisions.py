@@ -1,6 +1,7 @@
 """Truth tables of the decision operators, with NaN, NULL, ties and empty inputs."""
 
 import math
+import random
 
 import pytest
 from pyspark.sql import Row, functions as F
@@ -179,6 +180,29 @@ def suppressed(spark, rules, ip, label="KnownAttack", tenant=None, dst=None):
     return out.first()["_suppressed"]
 
 
+@pytest.mark.parametrize("sent", [0, 200_000])
+def test_suppressions_looked_up_or_joined(spark, monkeypatch, sent):
+    monkeypatch.setattr(po, "SENT", sent)
+    rng = random.Random(4)
+    ips = [f"10.{a}.{b}.{c}" for a in range(2) for b in range(3) for c in range(4)]
+    rows = [(i, rng.choice([*ips, "", None]), rng.choice(["KnownAttack", "Benign", None]), rng.choice([1, 2, None])) for i in range(300)]
+    supp = [(rng.choice(["ip", "subnet", "label", "decision"]), rng.choice([*ips, "10.0.", "10.1.2", "Benign", "KnownAttack", "", None]), rng.choice([None, 50, 150]), rng.choice([None, None, 1, 2])) for _ in range(14)]
+    df = spark.createDataFrame(rows, "_sup_own long, ip string, decision_label string, tenant long")
+    table = spark.createDataFrame([(i, *r) for i, r in enumerate(supp)], "id long, target_type string, target_value string, until_ts long, tenant_id long")
+    out = po.is_suppressed(df, table, "tenant", 100)
+
+    def covered(ip, label, tenant):
+        for kind, value, until, owner in supp:
+            if (until is None or until > 100) and value is not None and owner in (None, tenant):
+                if kind == "ip" and ip and ip == value or kind in ("label", "decision") and label == value or kind == "subnet" and (ip or "").startswith(value):
+                    return True
+        return False
+
+    assert {r["_sup_own"]: r["_suppressed"] for r in out.collect()} == {i: covered(ip, label, t) for i, ip, label, t in rows}
+    if sent:  # the rows stay where they are
+        assert "Exchange hashpartitioning" not in out._jdf.queryExecution().executedPlan().toString().replace("BroadcastExchange", "")
+
+
 def test_suppressions(spark):
     assert suppressed(spark, [(1, "IP", "1.1.1.1", None, None)], "1.1.1.1")
     assert not suppressed(spark, [(1, "ip", "1.1.1.1", None, None)], "1.1.1.2")

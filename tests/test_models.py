@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from netsieve.models import anomaly as an, boosting as bo, evaluate as ev
 from netsieve.models.boosting import fit_boosted
-from netsieve.models.calibrate import fit_calibrator
+from netsieve.models.calibrate import fit_calibrator, fit_isotonic, isotonic_value
 from netsieve.models.linear import LinearModel, fit_logistic, score_supervised, top_contributions
 from netsieve.models.neural import fit_neural
 from netsieve.models.novelty import Detector, NoveltyOptions, detect_novel, fit_novelty_calibrator, apply_novelty_calibrator
@@ -214,6 +214,29 @@ def test_searching_settings_together_equals_fitting_each(spark, data):
     assert best["macro_f1"] == pytest.approx(np.mean(scores), abs=1e-9)
 
 
+@pytest.mark.parametrize("ranges", [1, 5, 40])
+def test_isotonic_curve_equals_pooling_in_one_go(spark, ranges):
+    rng = np.random.default_rng(ranges)
+    f = rng.normal(size=3000).round(2)
+    y = (rng.random(3000) < 1 / (1 + np.exp(-f))).astype(float)
+    df = spark.createDataFrame([*zip(f.tolist(), y.tolist()), (None, 1.0), (float("nan"), 0.0)], "f double, y double").repartition(6)
+    curve = fit_isotonic(df, ranges)
+    xs = np.unique(f)
+    means = [[y[f == x].sum(), (f == x).sum(), 1] for x in xs]
+    pooled = []
+    for m in means:
+        pooled.append(m)
+        while len(pooled) > 1 and pooled[-2][0] / pooled[-2][1] >= pooled[-1][0] / pooled[-1][1]:
+            a = pooled.pop()
+            pooled[-1] = [p + q for p, q in zip(pooled[-1], a, strict=True)]
+    want = np.concatenate([[s / n] * k for s, n, k in pooled])
+    got = {r["f"]: r["v"] for r in df.select("f", isotonic_value(F.col("f"), curve).alias("v")).collect() if r["f"] is not None}
+    assert np.allclose([got[x] for x in xs], want)
+    odd = spark.createDataFrame([(-99.0,), (99.0,), (None,), (float("nan"),)], "f double").select(isotonic_value(F.col("f"), curve).alias("v")).collect()
+    assert odd[0]["v"] == pytest.approx(want[0]) and odd[1]["v"] == pytest.approx(want[-1]) and odd[2]["v"] is None and odd[3]["v"] is None
+    assert fit_isotonic(df.where("false")) == {"x": [], "y": []}
+
+
 @pytest.mark.parametrize("method", ["sigmoid", "isotonic"])
 def test_calibration(data, method):
     m = fit_logistic(data, "label", FEATURES)
