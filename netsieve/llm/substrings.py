@@ -32,15 +32,15 @@ be words that do not repeat.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from netsieve.llm.components import connected_components, join_labels
 from netsieve.llm.textops import U64, chunks, code_points, mix, windows, word_hashes, words
-from netsieve.session import broadcast_if_small, materialize
+from netsieve.session import broadcast_if_small, drop_folder, materialize, run_dir
 
 SHINGLE, SIMILAR = 5, 0.8
 LEAST, SPREAD = 20, 31  # words of a unit; places among which one begins a stretch
@@ -48,6 +48,8 @@ BANDS, ROWS = 6, 2
 BLOCK = 1 << 20
 PART, COLUMNS = 1024, 4096  # paragraphs of a band in one group's part; shared shingles counted at once
 PLACES = 1_000_000  # at most so many are broadcast
+KEYS = 1_000_000  # hashes of stretches sent to the tasks
+SENT = 200_000  # sides sent to the tasks
 RANGE = 150_000  # sides of a sorted range
 FEW = 24  # paragraphs of a group that are compared pair by pair
 PARAGRAPH, STRETCH, BAND = 0, 1, 2
@@ -200,9 +202,9 @@ def units(docs: DataFrame, text: str, key: str) -> DataFrame:
     return src.mapInPandas(run, "kind int, key long, whole long, doc long, place long, n long")
 
 
-def fetch(docs: DataFrame, wanted: DataFrame, text: str, key: str, read, schema: str) -> DataFrame:
-    """Rows that ``read`` makes of the places ``wanted`` (doc, place, n, tag): it gets a document's id, word hashes, and
-    its places.
+def fetch(docs: DataFrame, wanted: DataFrame, text: str, key: str, read: Callable, schema: str) -> DataFrame:
+    """Rows that ``read`` makes of the places ``wanted`` (doc, place, n, tag): it gets words, and for each place the
+    number of its first word, n, tag, and the document's id.
 
     The places are gathered by document and meet the texts in a join. Up to ``PLACES`` of them, 24 bytes each, are sent
     round; beyond that both sides are shuffled."""
@@ -216,41 +218,58 @@ def fetch(docs: DataFrame, wanted: DataFrame, text: str, key: str, read, schema:
             texts = b["_text"].tolist()
             for lo, hi in chunks([len(t) for t in texts], BLOCK):
                 w = Words(texts[lo:hi])
-                for i, (doc, places) in enumerate(zip(b["doc"].iloc[lo:hi], b["places"].iloc[lo:hi], strict=True)):
-                    at = np.array([(p["place"], p["n"], p["tag"]) for p in places], np.int64).reshape(-1, 3)
-                    yield read(doc, w.hash[w.first[i] : w.first[i + 1]], at)
-
-    return texts.join(by_doc, "doc").mapInPandas(lambda batches: gathered(run(batches)), schema)
-
-
-def gathered(frames: Iterator[pd.DataFrame], rows: int = 20_000) -> Iterator[pd.DataFrame]:
-    """Small frames put together."""
-    held: list[pd.DataFrame] = []
-    for f in frames:
-        held.append(f)
-        if sum(map(len, held)) >= rows:
-            yield pd.concat(held, ignore_index=True)
-            held = []
-    if held:
-        yield pd.concat(held, ignore_index=True)
-
-
-def sides_of(doc: int, h: np.ndarray, at: np.ndarray) -> pd.DataFrame:
-    """For each stretch of a document the ``SPREAD`` words before and behind it, nearest first, and how many there are."""
-    place, tag, n = at[:, 0], at[:, 2], len(h)
-    reach = np.arange(SPREAD)
-    out = []
-    for ahead, where in ((True, place[:, None] - 1 - reach), (False, place[:, None] + LEAST + reach)):
-        inside = (where >= 0) & (where < n)
-        words = np.where(inside, h[np.clip(where, 0, n - 1)], U64(0))
+                rows = [(w.first[i] + p["place"], p["n"], p["tag"], doc) for i, (doc, own) in enumerate(zip(b["doc"].iloc[lo:hi], b["places"].iloc[lo:hi], strict=True)) for p in own]
+                yield read(w, *np.array(rows, np.int64).reshape(-1, 4).T)
+
+    return texts.join(by_doc, "doc").mapInPandas(run, schema)
+
+
+SIDES = "key long, ahead boolean, name long, side binary, doc long, place long"
+
+
+def sides_of(w: Words, at: np.ndarray, _: np.ndarray, tag: np.ndarray, doc: np.ndarray) -> pd.DataFrame:
+    """For stretches that begin at words ``at``: the ``SPREAD`` words of the text before and behind, nearest first."""
+    out, reach, own = [], np.arange(SPREAD), w.doc[at]
+    for ahead, where in ((True, at[:, None] - 1 - reach), (False, at[:, None] + LEAST + reach)):
+        near = np.clip(where, 0, max(len(w.hash) - 1, 0))
+        inside = (where == near) & (w.doc[near] == own[:, None])
+        words = np.where(inside, w.hash[near], U64(0))
         have = inside.sum(1)
-        salt = mix(tag.view(U64) + U64(0x5851F42D4C957F2D + ahead))  # a side may hold the words of its stretch
-        names = mix(_fold(words.ravel(), np.arange(len(place)) * SPREAD, have) + salt)
-        side = [x[:m].astype(np.uint32).tobytes() for x, m in zip(words, have.tolist(), strict=True)]
-        out.append(pd.DataFrame({"key": tag, "ahead": ahead, "name": names.view(np.int64), "side": side, "doc": doc, "place": place}))
+        name = mix(tag.view(U64) + U64(0x5851F42D4C957F2D + ahead))  # a side may hold the words of its stretch
+        for m in range(SPREAD):
+            name = np.where(have > m, mix(name * U64(0x100000001B3) + words[:, m]), name)
+        raw, wide = words.astype(np.uint32).tobytes(), 4 * SPREAD
+        side = [raw[i * wide : i * wide + 4 * m] for i, m in enumerate(have.tolist())]
+        out.append(pd.DataFrame({"key": tag, "ahead": ahead, "name": name.view(np.int64), "side": side, "doc": doc, "place": at - w.first[own]}))
     return pd.concat(out, ignore_index=True)
 
 
+def repeated_sides(docs: DataFrame, shared: DataFrame, every: DataFrame, text: str, key: str) -> DataFrame:
+    """The sides of all stretches (``every``) that more than one place has, whose keys are ``shared``.
+
+    Up to ``KEYS`` keys, 8 bytes each, are sent to the tasks, which find the stretches again in their texts. Beyond that
+    the places are joined to the texts."""
+    if shared.count() > KEYS:
+        return fetch(docs, every.join(shared, "key").select("doc", "place", "n", F.col("key").alias("tag")), text, key, sides_of, SIDES)
+    packed = shared.select("key").mapInPandas(lambda batches: (pd.DataFrame({"keys": [b["key"].to_numpy(np.int64).tobytes()]}) for b in batches), "keys binary")
+    known = docs.sparkSession.sparkContext.broadcast(np.sort(np.frombuffer(b"".join(r["keys"] for r in packed.toLocalIterator()), np.int64)))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        keys = known.value
+        for b in batches:
+            texts, ids = b["_text"].tolist(), b["doc"].to_numpy()
+            for lo, hi in chunks([len(t) for t in texts], BLOCK):
+                w = Words(texts[lo:hi])
+                at, h = stretches(w)
+                tag = h.view(np.int64)
+                near = np.minimum(np.searchsorted(keys, tag), max(len(keys) - 1, 0))
+                again = keys[near] == tag if len(keys) else np.zeros(len(tag), bool)
+                yield sides_of(w, at[again], at[again], tag[again], ids[lo:hi][w.doc[at[again]]])
+
+    src = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("doc"), F.coalesce(text, F.lit("")).alias("_text"))
+    return src.mapInPandas(run, SIDES)
+
+
 def _agreement(words: np.ndarray, have: np.ndarray, group: np.ndarray) -> np.ndarray:
     """How many words each row shares with the row before; -1 for another group."""
     same = words[1:] == words[:-1]
@@ -294,6 +313,15 @@ def range_edges(b: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame([row])
 
 
+def with_edges(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The rows of a sorted range, and one row more that holds its edges."""
+    rows = pd.concat(list(batches), ignore_index=True)  # a range
+    if len(rows):
+        rows = rows.assign(at=np.arange(len(rows)))
+        yield rows.assign(edges=None)
+        yield pd.DataFrame([{"task": rows["task"].iloc[0], "edges": range_edges(rows).iloc[0].to_dict()}]).reindex(columns=[*rows.columns, "edges"])
+
+
 EDGES = (
     "task int, head_doc array<long>, head_place array<long>, tail_doc array<long>, tail_place array<long>, through array<boolean>, "
     "first_key long, first_ahead boolean, first_side binary, last_key long, last_ahead boolean, last_side binary"
@@ -357,30 +385,48 @@ def earliest(b: pd.DataFrame, before: list[Place | None], behind: list[Place | N
     return pd.DataFrame({"name": b["name"].to_numpy()[some], "more": best[some].astype(np.int32), "kept_doc": doc[at], "kept_place": place[at]})
 
 
-def passages(held: DataFrame, docs: DataFrame, text: str, key: str) -> DataFrame:
-    """Removals (doc, place, n, kept_doc, kept_place) around the stretches ``held`` (doc, place, n, tag) that more than
-    one place has: on either side as far as any earlier place agrees.
+class Scratch:
+    """Written tables that are deleted as soon as nothing reads them any more."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def write(self, df: DataFrame, name: str) -> DataFrame:
+        path = run_dir(self.spark, name)
+        df.write.parquet(path)
+        self.paths.append(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self) -> None:
+        while self.paths:
+            drop_folder(self.spark, self.paths.pop())
+
+
+def passages(sides: DataFrame, scratch: Scratch) -> DataFrame:
+    """Removals (doc, place, n, kept_doc, kept_place) around the stretches that more than one place has: on either side
+    as far as any earlier place agrees.
 
     Equal sides are one row. The rows are sorted as text is, so that the places which share most words with one stand
     next to it; ranges of the sorted table are tasks, and what spans ranges is settled by their edges."""
-    kind = "key long, ahead boolean, name long, side binary, doc long, place long"
-    sides = materialize(fetch(docs, held, text, key, sides_of, kind), "sides")
+    spark = sides.sparkSession
     firsts = sides.groupBy("name", "key", "ahead", "side").agg(F.min(F.struct("doc", "place")).alias("f")).select("name", "key", "ahead", "side", "f.doc", "f.place")
-    firsts = materialize(firsts, "first-sides")
-    ranges = max(docs.sparkSession.sparkContext.defaultParallelism, -(-firsts.count() // RANGE))
-    ordered = firsts.repartitionByRange(ranges, "key", "ahead", "side").sortWithinPartitions("key", "ahead", "side")
-    ordered = materialize(ordered.withColumn("task", F.spark_partition_id()).withColumn("at", F.monotonically_increasing_id()), "ordered")
-    edges = carried(ordered.groupBy("task").applyInPandas(range_edges, EDGES).collect())  # one row a range
+    firsts = scratch.write(firsts, "first-sides")
+    ranges = max(spark.sparkContext.defaultParallelism, -(-firsts.count() // RANGE))
+    ordered = firsts.repartitionByRange(ranges, "key", "ahead", "side").sortWithinPartitions("key", "ahead", "side").withColumn("task", F.spark_partition_id())
+    kinds = "name long, key long, ahead boolean, side binary, doc long, place long, task int, at long"
+    ordered = scratch.write(ordered.mapInPandas(with_edges, f"{kinds}, edges struct<{EDGES.replace(' ', ':').replace(',:', ', ')}>"), "ordered")
+    edges = carried([r["edges"] for r in ordered.where("edges IS NOT NULL").select("edges").collect()])  # one row a range
     flat = [(t, [p and list(p) for p in a], [p and list(p) for p in b]) for t, a, b in edges]
-    across = docs.sparkSession.createDataFrame(flat, "task int, before array<array<long>>, behind array<array<long>>")
+    across = spark.createDataFrame(flat, "task int, before array<array<long>>, behind array<array<long>>")
 
     def settle(b: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
         own = [[None if p is None else (int(p[0]), int(p[1])) for p in c[name].iloc[0]] for name in ("before", "behind")]
-        return earliest(b, *own)
+        found = b[["name", "doc", "place"]].merge(earliest(b, *own), on="name", how="left")
+        return found.rename(columns={"doc": "first_doc", "place": "first_place"}).astype({"more": "Int32", "kept_doc": "Int64", "kept_place": "Int64"})
 
-    best = ordered.groupBy("task").cogroup(across.groupBy("task")).applyInPandas(settle, "name long, more int, kept_doc long, kept_place long")
-    best = firsts.select("name", F.col("doc").alias("first_doc"), F.col("place").alias("first_place")).join(best, "name", "left")
-    best = broadcast_if_small(best, "best-sides")
+    rows = ordered.where("edges IS NULL").drop("edges").groupBy("task").cogroup(across.groupBy("task"))
+    best = rows.applyInPandas(settle, "name long, first_doc long, first_place long, more int, kept_doc long, kept_place long")
+    best = broadcast_if_small(best, "best-sides", SENT)
     is_first = (F.col("doc") == F.col("first_doc")) & (F.col("place") == F.col("first_place"))
     words = (F.octet_length("side") / 4).cast("int")
     found = sides.join(best, "name").select(
@@ -403,9 +449,9 @@ def joined(spans: DataFrame) -> DataFrame:
     return own.select("doc", "place", (F.col("end") - F.col("place")).alias("n"), "kept_doc", (F.col("place") + F.col("shift")).alias("kept_place"))
 
 
-def inside_of(doc: int, h: np.ndarray, at: np.ndarray) -> pd.DataFrame:
-    """The words of each unit of a document."""
-    return pd.DataFrame({"whole": at[:, 2], "words": [h[s : s + n].tobytes() for s, n in at[:, :2].tolist()]})
+def inside_of(w: Words, at: np.ndarray, n: np.ndarray, tag: np.ndarray, _: np.ndarray) -> pd.DataFrame:
+    """The words of each unit."""
+    return pd.DataFrame({"whole": tag, "words": [w.hash[s : s + k].tobytes() for s, k in zip(at.tolist(), n.tolist(), strict=True)]})
 
 
 def similar(sets: list[np.ndarray], rows: np.ndarray, cols: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -501,24 +547,29 @@ def near_paragraphs(bands: DataFrame, firsts: DataFrame, docs: DataFrame, text:
 def duplicate_spans(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """Removals: ``doc_id``, ``start_word``, ``n_words``, ``kind`` (paragraph, near_paragraph or passage), and the place
     that stays, ``kept_doc_id`` and ``kept_start_word``. Spans of one document may overlap."""
-    every = materialize(units(docs, text, key), "units")
+    lasting, passing = Scratch(docs.sparkSession), Scratch(docs.sparkSession)
+    every = lasting.write(units(docs, text, key), "units")
     exact = every.where(F.col("kind") != BAND)
     place = F.struct("doc", "place", "n")
-    firsts = exact.groupBy("kind", "key").agg(F.min(place).alias("first"), F.count("*").alias("c")).where(f"kind = {PARAGRAPH} OR c > 1")
-    firsts = materialize(firsts.select("kind", "key", "first.*", "c"), "firsts")
-    again = firsts.where("c > 1").select("kind", "key", F.col("doc").alias("kept_doc"), F.col("place").alias("kept_place"))
-    hits = materialize(exact.join(again, ["kind", "key"]).select("kind", "key", "doc", "place", "n", "kept_doc", "kept_place"), "hits")
+    paragraph = exact.where(f"kind = {PARAGRAPH}")
+    single = paragraph.groupBy("key").agg(F.min(place).alias("first"), F.count("*").alias("c"))
+    single = materialize(single.select("key", "first.*", "c"), "firsts")
     kept = [F.col("kept_doc"), F.col("kept_place")]
-    held = hits.where(f"kind = {STRETCH}").select("doc", "place", "n", F.col("key").alias("tag"))
-    hits = hits.where("doc <> kept_doc OR place <> kept_place")
-    out = [materialize(passages(held, docs, text, key), "passages").withColumn("kind", F.lit("passage"))]
-    equal = hits.where(f"kind = {PARAGRAPH}").select("key", "doc", "place", "n", *kept)
-    single = firsts.where(f"kind = {PARAGRAPH}")
+    shared = materialize(exact.where(f"kind = {STRETCH}").groupBy("key").count().where("count > 1").select("key"), "shared")
+    sides = passing.write(repeated_sides(docs, shared, exact.where(f"kind = {STRETCH}"), text, key), "sides")
+    out = [materialize(passages(sides, passing), "passages").withColumn("kind", F.lit("passage"))]
+    passing.drop()
+    again = single.where("c > 1").select("key", F.col("doc").alias("kept_doc"), F.col("place").alias("kept_place"))
+    hits = paragraph.join(again, "key").where("doc <> kept_doc OR place <> kept_place")
+    hits = materialize(hits.select("key", "doc", "place", "n", *kept), "hits")
+    equal = hits.select("key", "doc", "place", "n", *kept)
     links = near_paragraphs(every.where(F.col("kind") == BAND), single, docs, text, key)
+    links = None if links is None else materialize(links, "similar")
+    lasting.drop()
     if links is None:
         out.append(equal.drop("key").withColumn("kind", F.lit("paragraph")))
     else:
-        label = connected_components(materialize(links, "similar")).select(F.col("node").alias("key"), "component")
+        label = connected_components(links).select(F.col("node").alias("key"), "component")
         member = materialize(single.join(label, "key").select("key", "component", "doc", "place", "n"), "clusters")
         stays = materialize(member.groupBy("component").agg(F.min(place).alias("s")).select("component", F.col("s.doc").alias("kept_doc"), F.col("s.place").alias("kept_place")), "keepers")
         near = materialize(member.join(stays, "component"), "near")
