@@ -117,7 +117,7 @@ def leaf_by_leaf(bins, grad, hess, s):
             at = np.where(bins[rows, j] == bo.MISSING, 256, bins[rows, j].astype(int))
             for i, v in enumerate((grad[rows], hess[rows], np.ones(len(rows)))):
                 h[0, :, i] = np.bincount(at, v, minlength=257)
-        found = [bo.best_splits(h, s).iloc[0] for h in sums]
+        found = [{k: v[0] for k, v in bo.best_splits(h, s).items()} for h in sums]
         j = int(np.argmax([f["gain"] for f in found]))
         return found[j]["gain"], j, int(found[j]["bin"]), bool(found[j]["missing_left"])
 
