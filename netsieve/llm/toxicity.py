@@ -3,8 +3,7 @@
 Training reads a bounded sample of labelled rows that are not held out. A window is a word in a fixed frame. The toxic
 dictionary is made of windows, and of beginnings of windows, that stand in far more toxic than ordinary documents of the
 sample, the commonest last; the ordinary one is trained on windows of ordinary text; and both follow the same stretch
-of ordinary text, so that an ordinary window costs the same under either. Dictionaries trained on whole stretches of toxic text
-were tried: the lengths of their windows differ by chance more than by a toxic word. Every byte is written twice, the second
+of ordinary text, so that an ordinary window costs the same under either. Every byte is written twice, the second
 time with its highest bit flipped: literals then cost double and matches the same, which makes even a short match
 visible in a length counted in bytes. A window that shares no ``SHARED`` bytes with the toxic dictionary cannot be shorter
 under it, and is not compressed. A document's evidence is the largest savings of its windows under the toxic
