@@ -43,7 +43,7 @@ FALSE_ALARMS = 0.005
 FRAME = b" the quick onion said to which in the "
 LONGEST = 64  # bytes of a window; longer words are several
 THRESHOLD = 0.3
-CACHE = 400_000
+CACHE = 50_000
 _FLIP = bytes(x ^ 0x80 for x in range(256))
 
 
