@@ -98,16 +98,17 @@ def run_once(query: StreamingQuery, checkpoint: str) -> int:
     return rows_scored(SparkSession.active(), checkpoint)
 
 
-def run_for(start: Callable[[float | None], StreamingQuery], seconds: float, checkpoint: str, poll_seconds: float = 0.5) -> int:
+def run_for(start: Callable[[float | None], StreamingQuery], seconds: float, checkpoint: str, poll_seconds: float = 0.5, grace_seconds: float = 30.0) -> int:
     """Poll for a while, then finish what has arrived; returns the rows scored so far.
 
     ``start(poll_seconds)`` starts the query on its checkpoint. After the time the polling query is stopped between two
-    batches, and a one-shot pass reads the rest, a batch that a stop may still have cut short included. A failed
-    query raises.
+    batches, or after ``grace_seconds`` more inside one where batches follow each other without a gap; a one-shot pass
+    reads the rest, a batch that the stop has cut short included. A failed query raises.
     """
     query = start(poll_seconds)
     query.awaitTermination(max(1, int(seconds)))
-    while query.isActive and query.status["isTriggerActive"]:
+    last = time.monotonic() + grace_seconds
+    while query.isActive and query.status["isTriggerActive"] and time.monotonic() < last:
         time.sleep(0.1)
     query.stop()
     if query.exception() is not None:
