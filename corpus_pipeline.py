@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from netsieve.llm import packing, secrets, simhash, substrings, toxicity
 from netsieve.llm.queries import BYTE_BPE
 from netsieve.plans.registry import query
-from netsieve.session import broadcast_smaller, materialize
+from netsieve.session import bound_batches, broadcast_smaller, materialize
 
 
 def _measured(docs: DataFrame) -> DataFrame:
@@ -49,12 +49,25 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return packing.pack_documents(docs, BYTE_BPE, with_ids=False)
 
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
-    ("toxicity", drop_toxic),
-    ("simhash", drop_near_duplicates),
-    ("substrings", cut_repeats),
-    ("secrets", mask_secrets),
-    ("packing", pack_sequences),
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def _in_small_batches(stage: Stage) -> Stage:
+    """One set of workers runs all stages, and what a batch took in one of them is still held in the next."""
+
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        bound_batches(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("toxicity", _in_small_batches(drop_toxic)),
+    ("simhash", _in_small_batches(drop_near_duplicates)),
+    ("substrings", _in_small_batches(cut_repeats)),
+    ("secrets", _in_small_batches(mask_secrets)),
+    ("packing", _in_small_batches(pack_sequences)),
 ]
 #: Compression lengths, hashes and BPE are beyond SQL; tests compare every stage with a brute-force version.
 ORACLE_SQL: str | None = None

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from netsieve.llm.textops import U64, IntMap, chunks, code_points, ragged, span_hashes, spans_equal
 
 SPACE, LETTER, DIGIT, OTHER = 0, 1, 2, 3
-BLOCK = 1 << 20  # characters encoded at once
+BLOCK = 1 << 19  # characters encoded at once
 NEVER = 1 << 40
 KNOWN = 200_000  # words kept from block to block
 

@@ -36,6 +36,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from netsieve.llm.components import connected_components, join_labels
@@ -45,12 +46,12 @@ from netsieve.session import broadcast_if_small, drop_folder, materialize, run_d
 SHINGLE, SIMILAR = 5, 0.8
 LEAST, SPREAD = 20, 31  # words of a unit; places among which one begins a stretch
 BANDS, ROWS = 6, 2
-BLOCK = 1 << 20
+BLOCK = 1 << 19
 PART, COLUMNS = 1024, 4096  # paragraphs of a band in one group's part; shared shingles counted at once
 PLACES = 1_000_000  # at most so many are broadcast
 KEYS = 1_000_000  # hashes of stretches sent to the tasks
 SENT = 200_000  # sides sent to the tasks
-RANGE = 150_000  # sides of a sorted range
+RANGE = 50_000  # sides of a sorted range
 FEW = 24  # paragraphs of a group that are compared pair by pair
 PARAGRAPH, STRETCH, BAND = 0, 1, 2
 NOWHERE = np.iinfo(np.uint64).max
@@ -416,8 +417,9 @@ def passages(sides: DataFrame, scratch: Scratch) -> DataFrame:
     kinds = "name long, key long, ahead boolean, side binary, doc long, place long, task int, at long"
     ordered = scratch.write(ordered.mapInPandas(with_edges, f"{kinds}, edges struct<{EDGES.replace(' ', ':').replace(',:', ', ')}>"), "ordered")
     edges = carried([r["edges"] for r in ordered.where("edges IS NOT NULL").select("edges").collect()])  # one row a range
-    flat = [(t, [p and list(p) for p in a], [p and list(p) for p in b]) for t, a, b in edges]
-    across = spark.createDataFrame(flat, "task int, before array<array<long>>, behind array<array<long>>")
+    places = pa.list_(pa.list_(pa.int64()))
+    flat = {"task": pa.array([t for t, _, _ in edges], pa.int32()), "before": pa.array([a for _, a, _ in edges], places), "behind": pa.array([b for _, _, b in edges], places)}
+    across = spark.createDataFrame(pa.table(flat))  # from Arrow, which unlike rows needs no Python workers of its own
 
     def settle(b: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
         own = [[None if p is None else (int(p[0]), int(p[1])) for p in c[name].iloc[0]] for name in ("before", "behind")]

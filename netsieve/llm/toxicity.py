@@ -27,6 +27,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
@@ -117,7 +118,7 @@ class Savings:
         return out
 
 
-@functools.lru_cache(2)
+@functools.lru_cache(1)  # a worker outlives a model
 def _savings(common: bytes, toxic: bytes, ordinary: bytes) -> Savings:
     return Savings(common, toxic, ordinary)
 
@@ -195,7 +196,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, text: str, key: str) ->
             side[r[0]] = mark
     if not side:
         return [], [], 0.0
-    ids = spark.createDataFrame([(k,) for k in sorted(side)], f"`{key}` {docs.schema[key].dataType.simpleString()}")
+    # from Arrow, which unlike rows needs no Python workers of its own
+    ids = spark.createDataFrame(pa.table({key: pa.array(sorted(side))}), f"`{key}` {docs.schema[key].dataType.simpleString()}")
     cut = F.expr(f"substring(`{text}`, 1 + pmod(xxhash64(`{key}`), greatest(1, length(`{text}`) - {EXCERPT})), {EXCERPT})")
     rows = docs.where(F.col(text).isNotNull()).join(F.broadcast(ids), key).select(key, cut.alias("t")).orderBy(key, "t").limit(2 * len(side)).collect()
     return [r["t"] for r in rows if side[r[key]] == 1], [r["t"] for r in rows if side[r[key]] == 0], n.get(1, 0) / max(1, sum(n.values()))
