@@ -33,14 +33,16 @@ be words that do not repeat.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from netsieve.llm.components import connected_components, join_labels
-from netsieve.llm.textops import U64, chunks, code_points, mix, windows, word_hashes, words
+from netsieve.llm.textops import U64, binaries, chunks, code_points, mix, ragged, windows, word_hashes, words
 from netsieve.session import broadcast_if_small, drop_folder, materialize, run_dir
 
 SHINGLE, SIMILAR = 5, 0.8
@@ -73,6 +75,16 @@ class Words:
         self.first = np.searchsorted(self.doc, np.arange(len(texts) + 1))  # of each text
         self.offset = end - np.array([len(t) + 1 for t in texts])
 
+    @cached_property
+    def shingles(self) -> np.ndarray:
+        return windows(self.hash, SHINGLE)
+
+
+def _word_blocks(texts: pa.Array) -> Iterator[tuple[int, int, Words]]:
+    """The words of texts ``lo`` to ``hi`` of a batch, block by block, so that few texts stand as strings at once."""
+    for lo, hi in chunks(pc.utf8_length(texts).to_pylist(), BLOCK):
+        yield lo, hi, Words(texts.slice(lo, hi - lo).to_pylist())
+
 
 def _runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Begin and length of runs of equal values."""
@@ -82,10 +94,14 @@ def _runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _fold(h: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
     """A hash of each range of word hashes, by its length and content."""
-    out = mix(size.astype(U64))
-    for i in range(int(size.max()) if len(size) else 0):
-        more = np.flatnonzero(size > i)
-        out[more] = mix(out[more] * U64(0x100000001B3) + h[begin[more] + i])
+    order = np.argsort(-size, kind="stable")  # so that those with more words stand first
+    begin, size = begin[order], size[order]
+    folded = mix(size.astype(U64))
+    for i in range(int(size[0]) if len(size) else 0):
+        more = len(size) if size[-1] > i else int(np.searchsorted(-size, -i))
+        folded[:more] = mix(folded[:more] * U64(0x100000001B3) + h[begin[:more] + i])
+    out = np.empty_like(folded)
+    out[order] = folded
     return out
 
 
@@ -138,7 +154,7 @@ def paragraphs(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray
     begin, size, piece = blocks(w)
     if not len(begin):
         return begin, size, np.zeros(0, U64), np.zeros((0, BANDS), U64)
-    shingle = np.append(windows(w.hash, SHINGLE), U64(0))  # the last only ends ranges
+    shingle = np.append(w.shingles, U64(0))  # the last only ends ranges
     edges = np.column_stack([begin, begin + size - SHINGLE + 1]).ravel()
     least = np.stack([np.minimum.reduceat(mix(shingle ^ seed), edges)[0::2] for seed in _SEEDS])
     bands = np.stack([mix(sum((least[b * ROWS + r] * U64(2 * r + 1) for r in range(1, ROWS)), least[b * ROWS]) + U64(b + 1)) for b in range(BANDS)], axis=1)
@@ -158,7 +174,7 @@ def stretches(w: Words) -> tuple[np.ndarray, np.ndarray]:
     if places <= 0:
         return np.zeros(0, np.int64), np.zeros(0, U64)
     inside = w.doc[:places] == w.doc[LEAST - 1 :]
-    value = windows(w.hash, SHINGLE)[:places] & U64(NOWHERE << 28 & NOWHERE) | np.arange(places, dtype=U64)  # ties: the first
+    value = w.shingles[:places] & U64(NOWHERE << 28 & NOWHERE) | np.arange(places, dtype=U64)  # ties: the first
     value[~inside] = NOWHERE
     chosen = []
     if places >= SPREAD:
@@ -177,11 +193,10 @@ def stretches(w: Words) -> tuple[np.ndarray, np.ndarray]:
 def units(docs: DataFrame, text: str, key: str) -> DataFrame:
     """``kind``, ``key``, ``whole`` (bands only), ``doc``, ``place`` (first word) and ``n`` (words)."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts, ids = b["_text"].tolist(), b["doc"].to_numpy()
-            for lo, hi in chunks([len(t) for t in texts], BLOCK):
-                w = Words(texts[lo:hi])
+            ids = b.column("doc").to_numpy()
+            for lo, hi, w in _word_blocks(b.column("_text")):
                 if not len(w.lo):
                     continue
                 begin, size, whole, bands = paragraphs(w)
@@ -193,19 +208,18 @@ def units(docs: DataFrame, text: str, key: str) -> DataFrame:
                 ):
                     if not len(k):
                         continue
-                    out = pd.DataFrame({"kind": np.full(len(k), kind, np.int32), "key": k.view(np.int64)})
-                    if p is None:
-                        yield out.assign(whole=full, doc=None, place=None, n=None)
-                    else:
-                        yield out.assign(whole=None, doc=ids[lo:hi][w.doc[p]], place=p - w.first[w.doc[p]], n=n)
+                    stands = [None] * 3 if p is None else [ids[lo:hi][w.doc[p]], p - w.first[w.doc[p]], n]
+                    own = [np.full(len(k), kind, np.int32), k.view(np.int64), full, *stands]
+                    own = [pa.nulls(len(k), pa.int64()) if x is None else pa.array(x) for x in own]
+                    yield pa.RecordBatch.from_arrays(own, names=["kind", "key", "whole", "doc", "place", "n"])
 
     src = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("doc"), F.coalesce(text, F.lit("")).alias("_text"))
-    return src.mapInPandas(run, "kind int, key long, whole long, doc long, place long, n long")
+    return src.mapInArrow(run, "kind int, key long, whole long, doc long, place long, n long")
 
 
 def fetch(docs: DataFrame, wanted: DataFrame, text: str, key: str, read: Callable, schema: str) -> DataFrame:
     """Rows that ``read`` makes of the places ``wanted`` (doc, place, n, tag): it gets words, and for each place the
-    number of its first word, n, tag, and the document's id.
+    number of its first word, n, tag, and the document's id. Of documents that share an id, each gives what it has there.
 
     The places are gathered by document and meet the texts in a join. Up to ``PLACES`` of them, 24 bytes each, are sent
     round; beyond that both sides are shuffled."""
@@ -214,35 +228,41 @@ def fetch(docs: DataFrame, wanted: DataFrame, text: str, key: str, read: Callabl
     if (by_doc.agg(F.sum(F.size("places"))).first()[0] or 0) <= PLACES:
         by_doc = F.broadcast(by_doc)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = b["_text"].tolist()
-            for lo, hi in chunks([len(t) for t in texts], BLOCK):
-                w = Words(texts[lo:hi])
-                rows = [(w.first[i] + p["place"], p["n"], p["tag"], doc) for i, (doc, own) in enumerate(zip(b["doc"].iloc[lo:hi], b["places"].iloc[lo:hi], strict=True)) for p in own]
-                yield read(w, *np.array(rows, np.int64).reshape(-1, 4).T)
+            ids, lists = b.column("doc").to_numpy(), b.column("places")
+            own = np.repeat(np.arange(len(ids)), np.diff(lists.offsets.to_numpy()))
+            place, n, tag = (x.to_numpy() for x in lists.flatten().flatten())
+            for lo, hi, w in _word_blocks(b.column("_text")):
+                some = slice(*np.searchsorted(own, [lo, hi]))
+                at, doc = w.first[own[some] - lo] + place[some], own[some]
+                has = at + n[some] <= w.first[doc - lo + 1]
+                yield read(w, at[has], n[some][has], tag[some][has], ids[doc[has]])
 
-    return texts.join(by_doc, "doc").mapInPandas(run, schema)
+    return texts.join(by_doc, "doc").mapInArrow(run, schema)
 
 
 SIDES = "key long, ahead boolean, name long, side binary, doc long, place long"
 
 
-def sides_of(w: Words, at: np.ndarray, _: np.ndarray, tag: np.ndarray, doc: np.ndarray) -> pd.DataFrame:
+def sides_of(w: Words, at: np.ndarray, _: np.ndarray, tag: np.ndarray, doc: np.ndarray) -> pa.RecordBatch:
     """For stretches that begin at words ``at``: the ``SPREAD`` words of the text before and behind, nearest first."""
-    out, reach, own = [], np.arange(SPREAD), w.doc[at]
-    for ahead, where in ((True, at[:, None] - 1 - reach), (False, at[:, None] + LEAST + reach)):
-        near = np.clip(where, 0, max(len(w.hash) - 1, 0))
-        inside = (where == near) & (w.doc[near] == own[:, None])
-        words = np.where(inside, w.hash[near], U64(0))
-        have = inside.sum(1)
+    own = w.doc[at]
+    place, names, sides = at - w.first[own], [], []
+    for ahead in (True, False):
+        start, step = (at - 1, -1) if ahead else (at + LEAST, 1)
+        have = np.minimum(at - w.first[own] if ahead else w.first[own + 1] - start, SPREAD)
+        words = np.zeros((SPREAD, len(at)), U64)  # the words next to the stretches, those behind them, and so on
         name = mix(tag.view(U64) + U64(0x5851F42D4C957F2D + ahead))  # a side may hold the words of its stretch
         for m in range(SPREAD):
-            name = np.where(have > m, mix(name * U64(0x100000001B3) + words[:, m]), name)
-        raw, wide = words.astype(np.uint32).tobytes(), 4 * SPREAD
-        side = [raw[i * wide : i * wide + 4 * m] for i, m in enumerate(have.tolist())]
-        out.append(pd.DataFrame({"key": tag, "ahead": ahead, "name": name.view(np.int64), "side": side, "doc": doc, "place": at - w.first[own]}))
-    return pd.concat(out, ignore_index=True)
+            more = np.flatnonzero(have > m) if m >= have.min(initial=SPREAD) else slice(None)
+            words[m, more] = w.hash[start[more] + step * m]
+            name[more] = mix(name[more] * U64(0x100000001B3) + words[m, more])
+        names.append(name.view(np.int64))
+        sides.append(binaries(words.T.astype(np.uint32)[np.arange(SPREAD) < have[:, None]], 4 * have))
+    key, doc, place = (pa.array(np.concatenate([x, x])) for x in (tag, doc, place))
+    columns = [key, pa.array(np.repeat([True, False], len(at))), pa.array(np.concatenate(names)), pa.concat_arrays(sides), doc, place]
+    return pa.RecordBatch.from_arrays(columns, names=["key", "ahead", "name", "side", "doc", "place"])
 
 
 def repeated_sides(docs: DataFrame, shared: DataFrame, every: DataFrame, text: str, key: str) -> DataFrame:
@@ -255,12 +275,11 @@ def repeated_sides(docs: DataFrame, shared: DataFrame, every: DataFrame, text: s
     packed = shared.select("key").mapInPandas(lambda batches: (pd.DataFrame({"keys": [b["key"].to_numpy(np.int64).tobytes()]}) for b in batches), "keys binary")
     known = docs.sparkSession.sparkContext.broadcast(np.sort(np.frombuffer(b"".join(r["keys"] for r in packed.toLocalIterator()), np.int64)))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys = known.value
         for b in batches:
-            texts, ids = b["_text"].tolist(), b["doc"].to_numpy()
-            for lo, hi in chunks([len(t) for t in texts], BLOCK):
-                w = Words(texts[lo:hi])
+            ids = b.column("doc").to_numpy()
+            for lo, hi, w in _word_blocks(b.column("_text")):
                 at, h = stretches(w)
                 tag = h.view(np.int64)
                 near = np.minimum(np.searchsorted(keys, tag), max(len(keys) - 1, 0))
@@ -268,7 +287,7 @@ def repeated_sides(docs: DataFrame, shared: DataFrame, every: DataFrame, text: s
                 yield sides_of(w, at[again], at[again], tag[again], ids[lo:hi][w.doc[at[again]]])
 
     src = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("doc"), F.coalesce(text, F.lit("")).alias("_text"))
-    return src.mapInPandas(run, SIDES)
+    return src.mapInArrow(run, SIDES)
 
 
 def _agreement(words: np.ndarray, have: np.ndarray, group: np.ndarray) -> np.ndarray:
@@ -451,9 +470,9 @@ def joined(spans: DataFrame) -> DataFrame:
     return own.select("doc", "place", (F.col("end") - F.col("place")).alias("n"), "kept_doc", (F.col("place") + F.col("shift")).alias("kept_place"))
 
 
-def inside_of(w: Words, at: np.ndarray, n: np.ndarray, tag: np.ndarray, _: np.ndarray) -> pd.DataFrame:
+def inside_of(w: Words, at: np.ndarray, n: np.ndarray, tag: np.ndarray, _: np.ndarray) -> pa.RecordBatch:
     """The words of each unit."""
-    return pd.DataFrame({"whole": tag, "words": [w.hash[s : s + k].tobytes() for s, k in zip(at.tolist(), n.tolist(), strict=True)]})
+    return pa.RecordBatch.from_arrays([pa.array(tag), binaries(w.hash[ragged(at, n)], 8 * n)], names=["whole", "words"])
 
 
 def similar(sets: list[np.ndarray], rows: np.ndarray, cols: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -475,12 +494,34 @@ def similar(sets: list[np.ndarray], rows: np.ndarray, cols: np.ndarray) -> Itera
     yield rows[i[near]], cols[j[near]]
 
 
+def contents(whole: np.ndarray, words: pd.Series) -> dict[int, np.ndarray]:
+    """The distinct shingles of each paragraph, in order. Paragraphs are hashed together, those met before not again."""
+    out: dict[int, np.ndarray] = {}
+    first = np.sort(np.unique(whole, return_index=True)[1])
+    whole, words = whole[first], words.iloc[first].tolist()
+    for lo, hi in chunks([len(x) // 8 for x in words], BLOCK):
+        end = np.cumsum([len(x) // 8 for x in words[lo:hi]])
+        every = windows(np.frombuffer(b"".join(words[lo:hi]), U64), SHINGLE)
+        for name, s, e in zip(whole[lo:hi].tolist(), [0, *end.tolist()], (end - SHINGLE + 1).tolist()):
+            own = np.sort(every[s : max(s, e)])
+            again = own[1:] == own[:-1]
+            out[name] = np.delete(own, np.flatnonzero(again)) if again.any() else own
+    return out
+
+
+def _common(m: np.ndarray, n: np.ndarray) -> int:
+    """How many numbers two ordered arrays of distinct ones share."""
+    both = np.concatenate((m, n))
+    both.sort(kind="stable")
+    return int(np.count_nonzero(both[1:] == both[:-1]))
+
+
 def matched(rows: pd.DataFrame) -> pd.DataFrame:
     """A spanning forest of the similar pairs of complete groups: part ``lo`` against part ``hi`` of a band."""
     rows = rows.sort_values(["key", "lo", "hi", "whole"], kind="stable")
     whole, part = rows["whole"].to_numpy(), rows["part"].to_numpy()
     low, high = part == rows["lo"].to_numpy(), part == rows["hi"].to_numpy()
-    content = {w: np.unique(windows(np.frombuffer(x, U64), SHINGLE)) for w, x in zip(whole, rows["words"], strict=True)}
+    content = contents(whole, rows["words"])
     cols = rows[["key", "lo", "hi"]].to_numpy()
     edge = np.flatnonzero(np.concatenate(([True], (cols[1:] != cols[:-1]).any(1), [True])))
     found: dict[tuple[int, int], bool] = {}  # pairs meet in several bands
@@ -488,7 +529,7 @@ def matched(rows: pd.DataFrame) -> pd.DataFrame:
     for s, e in zip(edge[:-1].tolist(), edge[1:].tolist()):
         i, j = np.flatnonzero(low[s:e]), np.flatnonzero(high[s:e])
         if e - s > FEW:
-            sets, label = [content[w] for w in whole[s:e]], np.arange(e - s)
+            sets, label = [content[w] for w in whole[s:e].tolist()], np.arange(e - s)
             for x, y in similar(sets, i, j) if len(i) and len(j) else ():
                 join_labels(label, x, y)
             moved = np.flatnonzero(label != np.arange(e - s))
@@ -501,7 +542,7 @@ def matched(rows: pd.DataFrame) -> pd.DataFrame:
                     near = found.get((x, y))
                     if near is None:
                         m, n = content[x], content[y]
-                        both = len(np.intersect1d(m, n, assume_unique=True)) if SIMILAR * len(m) <= len(n) <= len(m) / SIMILAR else 0
+                        both = _common(m, n) if SIMILAR * len(m) <= len(n) <= len(m) / SIMILAR else 0
                         near = found[x, y] = both >= SIMILAR * (len(m) + len(n) - both)
                         if near:
                             a.append(x)

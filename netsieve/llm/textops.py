@@ -1,10 +1,11 @@
-"""Vectorised text helpers shared by the operators: code points, words, hashes, gathers. NumPy only, no Spark."""
+"""Vectorised text helpers shared by the operators: code points, words, hashes, gathers. NumPy and Arrow, no Spark."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 
 U64 = np.uint64
@@ -13,16 +14,19 @@ _INV = pow(_BASE, -1, 1 << 64)
 SPACES = np.array([*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000], np.uint32)
 _IS_SPACE = np.zeros(0x3002, bool)
 _IS_SPACE[SPACES] = True
+_SOLID_BYTE = np.append(~_IS_SPACE[:128], np.ones(128, bool))  # of UTF-8: not white space of ASCII
+_OTHER_SPACES = {chr(c).encode()[:1] for c in SPACES.tolist() if c >= 128}  # first bytes of white space beyond ASCII
 _POWERS: list[np.ndarray] = [np.ones(1, U64), np.ones(1, U64)]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective finaliser on unsigned 64-bit integers."""
-    x = x ^ (x >> U64(30))
-    x = x * U64(0xBF58476D1CE4E5B9)
-    x = x ^ (x >> U64(27))
-    x = x * U64(0x94D049BB133111EB)
-    return x ^ (x >> U64(31))
+    x = x ^ (x >> U64(30))  # new, so the rest may be in place
+    x *= U64(0xBF58476D1CE4E5B9)
+    x ^= x >> U64(27)
+    x *= U64(0x94D049BB133111EB)
+    x ^= x >> U64(31)
+    return x
 
 
 def chunks(sizes: Sequence[int], limit: int) -> Iterator[tuple[int, int]]:
@@ -71,24 +75,31 @@ def span_hashes(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.n
     return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(U64))
 
 
-class _Vocabulary(dict):
-    """Hashes of the words met; a long word, or one beyond the bound, is hashed anew each time."""
-
-    def __missing__(self, word: str) -> int:
-        h = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"), 1)
-        if len(word) <= 64:
-            if len(self) >= 500_000:
-                self.clear()
-            self[word] = h
-        return h
-
-
-_VOCABULARY = _Vocabulary()
+def binaries(data: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """``data`` cut into byte strings of ``sizes`` bytes, one after another."""
+    ends = np.concatenate(([0], np.cumsum(sizes)))
+    wide = ends[-1] > np.iinfo(np.int32).max
+    kind, width = (pa.large_binary(), np.int64) if wide else (pa.binary(), np.int32)
+    return pa.Array.from_buffers(kind, len(sizes), [None, pa.py_buffer(ends.astype(width)), pa.py_buffer(np.ascontiguousarray(data))])
 
 
 def word_hashes(text: str) -> np.ndarray:
-    """A 64-bit hash of every word, in the order of :func:`words`."""
-    return np.array(list(map(_VOCABULARY.__getitem__, text.split())), U64)
+    """A 64-bit hash of every word, in the order of :func:`words`. Each distinct word is hashed once."""
+    data = text.encode("utf-8", "surrogatepass")
+    raw = np.frombuffer(data, np.uint8)
+    if any(byte in data for byte in _OTHER_SPACES):
+        solid = ~is_space(code_points(text))[np.cumsum((raw & 0xC0) != 0x80) - 1]  # of each byte: that of its character
+    else:
+        solid = _SOLID_BYTE[raw]
+    edge = np.flatnonzero(np.diff(solid, prepend=False, append=False))
+    if not len(edge):
+        return np.zeros(0, U64)
+    found = binaries(raw[solid], edge[1::2] - edge[0::2]).dictionary_encode()
+    _, ends, data = found.dictionary.buffers()
+    width = np.int64 if pa.types.is_large_binary(found.dictionary.type) else np.int32
+    at, data = np.frombuffer(ends, width)[: len(found.dictionary) + 1].tolist(), data.to_pybytes()
+    digest = xxhash.xxh3_64_intdigest
+    return np.array([digest(data[i:j], 1) for i, j in zip(at, at[1:])], U64)[found.indices.to_numpy()]
 
 
 def windows(h: np.ndarray, k: int) -> np.ndarray:
@@ -98,7 +109,8 @@ def windows(h: np.ndarray, k: int) -> np.ndarray:
         return np.zeros(0, U64)
     out = np.zeros(n, U64)
     for i in range(k):
-        out = out * U64(0x100000001B3) + mix(h[i : i + n] + U64(i + 1))
+        out *= U64(0x100000001B3)
+        out += mix(h[i : i + n] + U64(i + 1))
     return mix(out)
 
 
