@@ -40,7 +40,8 @@ def byte_letters() -> dict[str, int]:
 @functools.lru_cache(1)
 def char_classes() -> np.ndarray:
     out = np.full(0x110000, OTHER, np.uint8)
-    every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
+    codes = np.arange(0x110000, dtype="<u4")
+    every = np.delete(codes, np.s_[0xD800:0xE000]).tobytes().decode("utf-32-le")
     for kind, pattern in ((LETTER, r"\p{L}+"), (DIGIT, r"\p{N}+"), (SPACE, r"\p{White_Space}+")):
         for m in regex.finditer(pattern, every):
             a, b = ord(every[m.start()]), ord(every[m.end() - 1])

@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from netsieve.llm.bpe import BLOCK, encoder
-from netsieve.llm.textops import chunks
+from netsieve.llm.textops import chunks, tidy
 from netsieve.session import materialize
 
 CAPACITY = 1024
@@ -59,7 +59,7 @@ def token_pieces(docs: DataFrame, path: str, end_id: int, capacity: int = CAPACI
                 yield pd.DataFrame(rows, columns=cols)
 
     src = docs.selectExpr(f"`{key}`", f"coalesce(`{text}`, '') AS _text")
-    return src.mapInPandas(run, f"`{key}` {kind}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids)
+    return src.mapInPandas(tidy(run), f"`{key}` {kind}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids)
 
 
 class Bins:
@@ -213,7 +213,7 @@ def _packed(pieces: DataFrame, shares: int, level: int, capacity: int, key: str,
         yield rows.assign(sequence_id=seq, offset=off, loose=loose)
 
     dealt = pieces.repartition(1) if shares == 1 else pieces.repartition(shares, F.xxhash64(key, "piece", "start"))
-    return dealt.mapInPandas(run, schema)
+    return dealt.mapInPandas(tidy(run), schema)
 
 
 def pack_documents(docs: DataFrame, path: str, end_id: int = 2, capacity: int = CAPACITY, with_ids: bool = True) -> DataFrame:

@@ -22,7 +22,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from netsieve.llm.textops import chunks
+from netsieve.llm.textops import chunks, tidy
 
 #: Kinds in the order of the reports, with their rules. The first three are the base kinds, fixed values.
 ASSIGN = rb"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]+"""
@@ -259,7 +259,7 @@ def find_secrets(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Da
             yield pd.DataFrame({key: b[key].to_numpy(), "spans": out})
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.selectExpr(f"`{key}`", f"coalesce(`{text}`, '') AS _text").mapInPandas(run, f"`{key}` {kind}, spans {SPANS}")
+    return docs.selectExpr(f"`{key}`", f"coalesce(`{text}`, '') AS _text").mapInPandas(tidy(run), f"`{key}` {kind}, spans {SPANS}")
 
 
 def digest(found: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -295,7 +295,7 @@ def redact(docs: DataFrame, mark: str = "[secret]", text: str = "text") -> DataF
                 out.append(t)
             yield b.assign(**{text: out})[cols]
 
-    return docs.mapInPandas(run, docs.schema)
+    return docs.mapInPandas(tidy(run), docs.schema)
 
 
 def base_sha256(spans: list[tuple[str, int, int]]) -> str:

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from netsieve.llm.components import connected_components, join_labels
-from netsieve.llm.textops import ragged
+from netsieve.llm.textops import ragged, tidy
 from netsieve.session import materialize
 
 RADIUS, WORDS, SEED = 3, 3, 42
@@ -54,7 +54,7 @@ def fingerprints(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Da
         for b in batches:
             yield pd.DataFrame({key: b[key].to_numpy(), "fp": np.array([fingerprint(t) for t in b["_text"]], np.uint64).view(np.int64)})
 
-    return docs.selectExpr(f"`{key}`", f"coalesce(`{text}`, '') AS _text").mapInPandas(run, f"`{key}` {kind}, fp long")
+    return docs.selectExpr(f"`{key}`", f"coalesce(`{text}`, '') AS _text").mapInPandas(tidy(run), f"`{key}` {kind}, fp long")
 
 
 def shard_keys(distinct: int, radius: int = RADIUS) -> list[list[tuple[int, int]]]:
@@ -163,7 +163,7 @@ def links(reps: DataFrame, radius: int = RADIUS) -> DataFrame:
 
     n = int(reps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = rows.repartition(n, "shard", "lo", "hi").sortWithinPartitions("shard", "lo", "hi")
-    return dealt.mapInPandas(run, "a long, b long")
+    return dealt.mapInPandas(tidy(run), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, text: str = "text", key: str = "doc_id") -> DataFrame:

@@ -42,14 +42,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from netsieve.llm.components import connected_components, join_labels
-from netsieve.llm.textops import U64, binaries, chunks, code_points, mix, ragged, windows, word_hashes, words
+from netsieve.llm.textops import U64, binaries, chunks, code_points, mix, ragged, tidy, windows, word_hashes, words
 from netsieve.session import broadcast_if_small, drop_folder, materialize, run_dir
 
 SHINGLE, SIMILAR = 5, 0.8
 LEAST, SPREAD = 20, 31  # words of a unit; places among which one begins a stretch
 BANDS, ROWS = 6, 2
 BLOCK = 1 << 19
-PART, COLUMNS = 1024, 4096  # paragraphs of a band in one group's part; shared shingles counted at once
+PART, COLUMNS, LINES = 1024, 512, 128  # paragraphs of a band in one group's part; shared shingles counted, and rows of counts judged, at once
 PLACES = 1_000_000  # at most so many are broadcast
 KEYS = 1_000_000  # hashes of stretches sent to the tasks
 SENT = 200_000  # sides sent to the tasks
@@ -214,7 +214,7 @@ def units(docs: DataFrame, text: str, key: str) -> DataFrame:
                     yield pa.RecordBatch.from_arrays(own, names=["kind", "key", "whole", "doc", "place", "n"])
 
     src = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("doc"), F.coalesce(text, F.lit("")).alias("_text"))
-    return src.mapInArrow(run, "kind int, key long, whole long, doc long, place long, n long")
+    return src.mapInArrow(tidy(run), "kind int, key long, whole long, doc long, place long, n long")
 
 
 def fetch(docs: DataFrame, wanted: DataFrame, text: str, key: str, read: Callable, schema: str) -> DataFrame:
@@ -239,7 +239,7 @@ def fetch(docs: DataFrame, wanted: DataFrame, text: str, key: str, read: Callabl
                 has = at + n[some] <= w.first[doc - lo + 1]
                 yield read(w, at[has], n[some][has], tag[some][has], ids[doc[has]])
 
-    return texts.join(by_doc, "doc").mapInArrow(run, schema)
+    return texts.join(by_doc, "doc").mapInArrow(tidy(run), schema)
 
 
 SIDES = "key long, ahead boolean, name long, side binary, doc long, place long"
@@ -287,7 +287,7 @@ def repeated_sides(docs: DataFrame, shared: DataFrame, every: DataFrame, text: s
                 yield sides_of(w, at[again], at[again], tag[again], ids[lo:hi][w.doc[at[again]]])
 
     src = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("doc"), F.coalesce(text, F.lit("")).alias("_text"))
-    return src.mapInArrow(run, SIDES)
+    return src.mapInArrow(tidy(run), SIDES)
 
 
 def _agreement(words: np.ndarray, have: np.ndarray, group: np.ndarray) -> np.ndarray:
@@ -434,7 +434,7 @@ def passages(sides: DataFrame, scratch: Scratch) -> DataFrame:
     ranges = max(spark.sparkContext.defaultParallelism, -(-firsts.count() // RANGE))
     ordered = firsts.repartitionByRange(ranges, "key", "ahead", "side").sortWithinPartitions("key", "ahead", "side").withColumn("task", F.spark_partition_id())
     kinds = "name long, key long, ahead boolean, side binary, doc long, place long, task int, at long"
-    ordered = scratch.write(ordered.mapInPandas(with_edges, f"{kinds}, edges struct<{EDGES.replace(' ', ':').replace(',:', ', ')}>"), "ordered")
+    ordered = scratch.write(ordered.mapInPandas(tidy(with_edges), f"{kinds}, edges struct<{EDGES.replace(' ', ':').replace(',:', ', ')}>"), "ordered")
     edges = carried([r["edges"] for r in ordered.where("edges IS NOT NULL").select("edges").collect()])  # one row a range
     places = pa.list_(pa.list_(pa.int64()))
     flat = {"task": pa.array([t for t, _, _ in edges], pa.int32()), "before": pa.array([a for _, a, _ in edges], places), "behind": pa.array([b for _, _, b in edges], places)}
@@ -482,16 +482,21 @@ def similar(sets: list[np.ndarray], rows: np.ndarray, cols: np.ndarray) -> Itera
     _, name, n = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     often = n > 1  # what only one paragraph has is never shared
     owner, name = owner[often[name]], (np.cumsum(often) - 1)[name[often[name]]]
+    order = np.argsort(name, kind="stable")
+    owner, name = owner[order], name[order]
     both = np.zeros((len(rows), len(cols)), np.float32)
     for lo in range(0, int(often.sum()), COLUMNS):
-        some = (name >= lo) & (name < lo + COLUMNS)
+        some = slice(*np.searchsorted(name, [lo, lo + COLUMNS]))
         has = np.zeros((len(sets), COLUMNS), np.float32)
         has[owner[some], name[some] - lo] = 1
         both += has[rows] @ has[cols].T
-    i, j = np.nonzero(both >= SIMILAR * (size[rows][:, None] + size[cols][None, :] - both) - 1e-3)
-    exact = both[i, j].astype(np.int64)
-    near = (exact >= SIMILAR * (size[rows[i]] + size[cols[j]] - exact)) & (rows[i] != cols[j])
-    yield rows[i[near]], cols[j[near]]
+    for lo in range(0, len(rows), LINES):
+        own = both[lo : lo + LINES]
+        i, j = np.nonzero(own >= SIMILAR * (size[rows[lo : lo + LINES]][:, None] + size[cols][None, :] - own) - 1e-3)
+        exact = own[i, j].astype(np.int64)
+        i += lo
+        near = (exact >= SIMILAR * (size[rows[i]] + size[cols[j]] - exact)) & (rows[i] != cols[j])
+        yield rows[i[near]], cols[j[near]]
 
 
 def contents(whole: np.ndarray, words: pd.Series) -> dict[int, np.ndarray]:
@@ -584,7 +589,7 @@ def near_paragraphs(bands: DataFrame, firsts: DataFrame, docs: DataFrame, text:
             yield matched(pd.concat(held, ignore_index=True))
 
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(n, "key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").mapInPandas(run, "a long, b long")
+    return rows.repartition(n, "key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").mapInPandas(tidy(run), "a long, b long")
 
 
 def duplicate_spans(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -667,4 +672,4 @@ def remove_spans(docs: DataFrame, spans: DataFrame, text: str = "text", key: str
             yield b.assign(**{cut: new})[~empty][names]
 
     kinds = ", ".join(f"{n} {f.dataType.simpleString()}" for n, f in zip(names, schema, strict=True))
-    return whole.join(by_doc, F.col(names[schema.names.index(key)]) == F.col("doc"), "left").mapInPandas(run, kinds).toDF(*schema.names)
+    return whole.join(by_doc, F.col(names[schema.names.index(key)]) == F.col("doc"), "left").mapInPandas(tidy(run), kinds).toDF(*schema.names)

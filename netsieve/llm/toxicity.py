@@ -32,6 +32,7 @@ import zstandard
 from pyspark.sql import DataFrame, functions as F
 
 from netsieve.llm.langid import below, held_out
+from netsieve.llm.textops import tidy
 
 TOXIC_ROWS, ORDINARY_ROWS = 2000, 5000  # labelled rows that training reads at most
 EXCERPT = 6000  # characters of a training row
@@ -219,7 +220,7 @@ def score(docs: DataFrame, model: Model | float, text: str = "text", key: str =
 
     kind = docs.schema[key].dataType.simpleString()
     src = docs.select(key, F.coalesce(held_out(key), F.lit(False)).alias("held_out"), F.coalesce(text, F.lit("")).alias("_text"))
-    return src.mapInPandas(run, f"`{key}` {kind}, held_out boolean, score double, predicted int")
+    return src.mapInPandas(tidy(run), f"`{key}` {kind}, held_out boolean, score double, predicted int")
 
 
 def keep_ordinary(docs: DataFrame, model: Model | float, text: str = "text") -> DataFrame:
@@ -230,4 +231,4 @@ def keep_ordinary(docs: DataFrame, model: Model | float, text: str = "text") ->
             s = model.scores([t or "" for t in b[text]]) if isinstance(model, Model) else np.full(len(b), float(model))
             yield b[s < THRESHOLD]
 
-    return docs.mapInPandas(run, docs.schema)
+    return docs.mapInPandas(tidy(run), docs.schema)

@@ -1,11 +1,14 @@
 """What the pipeline's stages keep in the executors' Python workers."""
 
+import tracemalloc
+
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark import SparkContext
 
 import corpus_pipeline
-from netsieve.llm import substrings, toxicity
+from netsieve.llm import bpe, substrings, textops, toxicity
 from netsieve.session import BATCH_BYTES, bound_batches
 
 
@@ -53,3 +56,37 @@ def test_a_worker_keeps_one_model():
     for m in (model, other):
         m.scores(["plain words"])
     assert toxicity._savings.cache_info().currsize == 1
+
+
+def most_held(work):
+    tracemalloc.start()
+    try:
+        return work(), tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+
+
+def test_a_crowded_band_is_compared_in_little_memory():
+    rng = np.random.default_rng(1)
+    words = np.tile(rng.integers(0, 1 << 63, 60, dtype=np.uint64), (1500, 1))
+    words[np.arange(1500), rng.integers(0, 60, 1500)] = np.arange(1500)
+    words[-1] = rng.integers(0, 1 << 63, 60, dtype=np.uint64)  # like none of the others
+    rows = pd.DataFrame({"key": 7, "lo": 0, "hi": 0, "part": 0, "whole": np.arange(1500), "words": [w.tobytes() for w in words]})
+    links, most = most_held(lambda: substrings.matched(rows))
+    assert set(links["a"]) == set(range(1, 1499)) and set(links["b"]) == {0}
+    assert most < 45
+
+
+def test_classes_of_characters_need_no_string_each():
+    bpe.char_classes.cache_clear()
+    classes, most = most_held(bpe.char_classes)
+    assert classes[[ord(c) for c in "a1 ."]].tolist() == [bpe.LETTER, bpe.DIGIT, bpe.SPACE, bpe.OTHER] and (classes[0xD800:0xE000] == bpe.OTHER).all()
+    assert most < 40
+
+
+def test_a_worker_gives_back_what_is_free_behind_a_task(monkeypatch):
+    done = []
+    monkeypatch.setattr(textops, "release", lambda: done.append("released"))
+    for _ in textops.tidy(lambda batches: (b + 1 for b in batches))(iter([1, 2])):
+        done.append("batch")
+    assert done == ["batch", "batch", "released"]
