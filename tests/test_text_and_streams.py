@@ -5,6 +5,7 @@ import os
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -73,6 +74,52 @@ def test_retrieval_against_brute_force(spark, max_terms):
         assert [m[0] for m in mine] == [w[0] for w in want] and [m[1] for m in mine] == pytest.approx([w[1] for w in want])
 
 
+def shuffled_rows(df):
+    """Rows that all exchanges of a plan that has run wrote."""
+    total, todo = 0, [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        node = todo.pop()
+        kind = node.getClass().getSimpleName()
+        if kind == "AdaptiveSparkPlanExec":
+            todo.append(node.executedPlan())
+        elif kind.endswith("QueryStageExec"):
+            todo.append(node.plan())
+        else:
+            found = node.metrics().get("shuffleRecordsWritten")
+            total += found.get().value() if found.isDefined() else 0
+            todo += [node.children().apply(i) for i in range(node.children().size())]
+    return total
+
+
+def test_retrieval_shuffles_no_pairs(spark):
+    docs = spark.range(1, 401).selectExpr("id AS doc_id", "concat('prediction flow', id % 7, ' word', id) AS text").repartition(2)
+    queries = spark.range(300).selectExpr("id AS query_id", "concat('prediction flow', id % 5, ' word', id) AS text")
+    got = rt.retrieve(docs, rt.build_index(docs, "doc_id", "text"), queries, top_k=3)
+    assert len(got.collect()) == 900 and shuffled_rows(got) < 30_000  # every query shares a word with all 400 documents
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_retrieval_of_common_and_rare_terms(spark, small, monkeypatch):
+    if small:
+        monkeypatch.setattr(rt, "SLICE", 60)
+        monkeypatch.setattr(rt, "CELLS", 500)
+    rng = np.random.default_rng(7)
+    words = np.array([f"w{i}" for i in range(60)])
+    share = 1 / np.arange(1, 61)
+    texts = [" ".join(rng.choice(words, rng.integers(1, 30), p=share / share.sum())) for _ in range(150)]
+    docs = {i: texts[i % 120] for i in range(300)}  # most texts are there several times
+    docs[300] = "w1"
+    d = spark.createDataFrame(list(docs.items()), "doc_id long, text string").repartition(4)
+    # Queries of common terms only, with rarer ones beside them, of one term several times, and of none.
+    queries = {i: " ".join(rng.choice(words[: 6 if i % 2 else 60], rng.integers(1, 9))) for i in range(60)} | {60: "w0 w0 w0 w1", 61: "none of them"}
+    q = spark.createDataFrame(list(queries.items()), "query_id long, text string")
+    got = rt.retrieve(d, rt.build_index(d, "doc_id", "text"), q, top_k=5).collect()
+    for i, text in queries.items():
+        mine = [(r["doc_id"], r["score"]) for r in sorted(got, key=lambda r: r["rank"]) if r["query_id"] == i]
+        want = brute_force(docs, text, 5)
+        assert [m[0] for m in mine] == [w[0] for w in want] and [m[1] for m in mine] == pytest.approx([w[1] for w in want])
+
+
 def test_explain_rows(spark):
     docs = spark.createDataFrame([(1, "T1", "fam", "src.example.org", "novel_flag attack"), (2, "T2", None, None, "other words")], "doc_id long, title string, family string, source string, text string")
     rows = spark.createDataFrame([(1, "AttackUncertain", "novel_flag"), (2, "KnownAttack", "novel_flag"), (3, "AttackUncertain", "zzz")], "id int, decision_label string, reason_codes string")
