@@ -354,3 +354,34 @@ def test_leave_family_out_and_noise(data):
     wild = ev.perturbation_flip_rate(data, m, ["id"], 2.0).first()["prediction_flip_rate"]
     again = ev.perturbation_flip_rate(data.repartition(2), m, ["id"], 2.0).first()["prediction_flip_rate"]
     assert calm == 0.0 and wild > 0.2 and wild == pytest.approx(again, abs=0.01)
+
+
+def test_memory_of_many_boosted_models(spark):
+    """Workers that search 24 models hold blocks and histograms of bounded size, and give the same trees."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(12_000, 3))
+    y = np.where(x[:, 0] + rng.normal(size=12_000) > 0, "b", "a")
+    df = spark.createDataFrame([(str(c), *map(float, v)) for c, v in zip(y, x)], "label string, f0 double, f1 double, f2 double").coalesce(1)
+    s = bo.BoostingSettings(max_iter=1, max_leaf_nodes=31, early_stopping=False)
+    booster = bo.Booster(df, "label", ["f0", "f1", "f2"], [bo.Task(s) for _ in range(240)])
+    booster.start()
+    # Raw scores of all models: 11.5 MB in one row before.
+    assert booster.blocks.agg(F.max(F.length("raw"))).first()[0] <= bo.BLOCK_BYTES
+    keys = {(t, 0): list(range(30)) for t in range(240)}
+    shares = list(booster.shares(keys, {key: [0, 1, 2] for key in keys}))
+    assert sum(map(len, shares)) == 240 and len(shares) > 1  # 132 MB at once before
+    assert all(24 * 30 * 3 * 256 * len(share) <= bo.HELD for share in shares)
+    booster.close()
+
+
+def test_shares_of_histograms_give_the_same_trees(spark, data, monkeypatch):
+    def leaves():
+        tasks = [bo.Task(bo.BoostingSettings(max_iter=2, max_leaf_nodes=n, min_samples_leaf=2, early_stopping=False)) for n in (4, 8)]
+        booster = bo.Booster(data, "label", FEATURES, tasks)
+        booster.run()
+        booster.close()
+        return [(t.feature, t.bin, [round(v, 9) for v in t.value]) for task in tasks for r in task.trees for t in r]
+
+    whole = leaves()
+    monkeypatch.setattr(bo, "HELD", 1)
+    assert leaves() == whole
