@@ -13,18 +13,24 @@ from netsieve.operators.ranking import latest_per_key
 from netsieve.operators.triage import alerts
 
 
+# Every alert repeats its field names, so as plain text alerts take over ten times the scored rows. A gzip file is read
+# by one task, so its rows are bounded.
+ALERTS_A_FILE = 1_000_000
+
+
 def emit_alerts(df: DataFrame, path: str, only_known: bool = False, batch_id: int | None = None) -> int:
-    """Append alert rows as JSON lines and return how many there were.
+    """Append alert rows as JSON lines, gzip files of at most ``ALERTS_A_FILE`` rows, and return how many there were.
 
     With a batch id (from ``foreachBatch``) the rows go to that batch's own folder, which a retry replaces: a
     repeated batch leaves the sink as it was.
     """
     seen = Observation()
     out = alerts(df, only_known).observe(seen, F.count(F.lit(1)).alias("n"))
+    writer = out.write.options(compression="gzip", maxRecordsPerFile=ALERTS_A_FILE)
     if batch_id is None:
-        out.write.mode("append").json(path)
+        writer.mode("append").json(path)
     else:
-        out.write.mode("overwrite").json(f"{path}/batch={batch_id}")
+        writer.mode("overwrite").json(f"{path}/batch={batch_id}")
     return seen.get.get("n", 0)
 
 

@@ -61,7 +61,7 @@ def start_scoring(
     def write(batch: DataFrame, batch_id: int) -> None:
         seen = Observation()
         place = f"{output}/batch={batch_id}"
-        batch.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(place)
+        batch.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("overwrite").option("compression", "zstd").parquet(place)
         if alerts is not None:
             emit_alerts(batch.sparkSession.read.schema(batch.schema).parquet(place), alerts, only_known, batch_id)
         _note_batch(batch.sparkSession, checkpoint, batch_id, seen.get.get("n", 0))

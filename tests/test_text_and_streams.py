@@ -191,6 +191,20 @@ def test_alert_sink_is_idempotent_per_batch(spark, tmp_path):
         sinks.scored_events(df, None, 0)
 
 
+def folder_bytes(path):
+    return sum(os.path.getsize(os.path.join(d, f)) for d, _, names in os.walk(path) for f in names)
+
+
+def test_alerts_are_small_on_disk(spark, tmp_path):
+    rows = spark.range(20_000).selectExpr("concat('uid-', id) AS uid", "'AttackUncertain' AS decision_label", "rand(1) AS p_attack", "'binary_attack_low_conf' AS reason_codes")
+    rows = rows.withColumns({f"a_rather_long_column_name_{i}": F.lit(f"value {i}") for i in range(20)}).cache()
+    path = str(tmp_path / "alerts")
+    assert sinks.emit_alerts(rows, path, batch_id=0) == 20_000
+    text = rows.agg(F.sum(F.length(F.to_json(F.struct("*"))) + 1)).first()[0]
+    assert folder_bytes(path) < text / 8
+    assert sorted(spark.read.schema(rows.schema).json(path).select("uid", "p_attack").collect()) == sorted(rows.select("uid", "p_attack").collect())
+
+
 def test_history_and_audit(spark):
     df = spark.createDataFrame([("a" * 64_000, 1), ("a" * 64_001, 2)], "d string, n int")
     got = sinks.history_rows(df, "d", "score", "n", "me", F.lit(5)).collect()
