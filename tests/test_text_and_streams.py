@@ -120,6 +120,39 @@ def test_retrieval_of_common_and_rare_terms(spark, small, monkeypatch):
         assert [m[0] for m in mine] == [w[0] for w in want] and [m[1] for m in mine] == pytest.approx([w[1] for w in want])
 
 
+@pytest.mark.parametrize("frequent", [1_000_000, 12, 3])
+@pytest.mark.parametrize("max_terms", [None, 25])
+def test_index_of_terms_sent_and_shuffled(spark, frequent, max_terms, monkeypatch):
+    monkeypatch.setattr(rt, "FREQUENT", frequent)
+    rng = np.random.default_rng(3)
+    docs = {i: " ".join(f"w{w}" for w in rng.zipf(1.6, 12) if w < 50) for i in range(40)} | {40: "", 41: "single"}
+    d = spark.createDataFrame([*docs.items(), (42, None)], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in rt.build_index(d, "doc_id", "text", max_terms)[1].collect()}
+    words = {i: re.findall(r"\w\w+", t) for i, t in docs.items()}
+    tf = {i: Counter(w + [f"{a} {b}" for a, b in zip(w, w[1:])]) for i, w in words.items()}
+    total = sum(tf.values(), Counter())
+    kept = set(sorted(total, key=lambda t: (-total[t], t))[:max_terms])
+    idf = {t: math.log(44 / (1 + sum(t in c for c in tf.values()))) + 1 for t in kept}
+    for i, c in tf.items():
+        w = [n * idf[t] for t, n in c.items() if t in kept]
+        if not w:
+            assert i not in got
+            continue
+        norm = math.sqrt(sum(x * x for x in w))
+        assert got[i]["n_terms"] == len(w) and got[i]["norm"] == pytest.approx(norm) and got[i]["top"] == pytest.approx(max(w) / norm)
+
+
+def test_index_takes_little_disk(spark, tmp_path, monkeypatch):
+    """What is written, shuffles aside: counts, totals, vocabulary and weights stood there before, a row a term."""
+    monkeypatch.setattr(rt, "run_dir", lambda spark, name: str(tmp_path / name))
+    monkeypatch.setattr(rt, "materialize", lambda df, name="stage": (df.write.parquet(str(tmp_path / name)), spark.read.parquet(str(tmp_path / name)))[1])
+    rng = np.random.default_rng(1)
+    rows = [(i, " ".join(f"word{w}" for w in rng.integers(0, 5000, 300))) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    rt.build_index(docs, "doc_id", "text")[1].count()
+    assert folder_bytes(tmp_path) < 2 * sum(len(t) for _, t in rows)
+
+
 def test_explain_rows(spark):
     docs = spark.createDataFrame([(1, "T1", "fam", "src.example.org", "novel_flag attack"), (2, "T2", None, None, "other words")], "doc_id long, title string, family string, source string, text string")
     rows = spark.createDataFrame([(1, "AttackUncertain", "novel_flag"), (2, "KnownAttack", "novel_flag"), (3, "AttackUncertain", "zzz")], "id int, decision_label string, reason_codes string")
