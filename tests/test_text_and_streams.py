@@ -348,3 +348,16 @@ def test_logs_with_headers_of_their_own(spark, tmp_path):
 def test_load_thresholds(spark, tmp_path):
     (tmp_path / "t.json").write_text('{"min_p_attack_known": 0.8,\n "source": "x"}')
     assert sg.load_thresholds(spark, str(tmp_path / "t.json")) == {"min_p_attack_known": 0.8, "min_szd_uncertain": 70.0, "min_open_set_uncertain": 0.6}
+
+
+def test_timed_session_writes_packed_files(spark, tmp_path, detector):
+    df = spark.createDataFrame([(i, "3", "1.5") for i in range(50)], "uid int, orig_pkts string, duration string")
+    df.write.parquet(str(tmp_path / "in"))
+    src = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
+
+    def start(poll):
+        return sg.start_scoring(src, detector, ["uid"], str(tmp_path / "out"), str(tmp_path / "state"), options=NoveltyOptions(reference_max=1.2), alerts=str(tmp_path / "a"), poll_seconds=poll)
+
+    assert sg.run_for(start, 1, str(tmp_path / "state")) == 50
+    files = [f for place in ("out", "a") for _, _, names in os.walk(tmp_path / place) for f in names if f.startswith("part-")]
+    assert files and all(f.endswith((".zstd.parquet", ".json.gz")) for f in files)
